@@ -80,8 +80,8 @@ def id_number(cleaned: Column) -> Column:
 
 
 def percent(score: Column) -> Column:
-    """100 * score, clipped to 0..100."""
-    return F.least(F.greatest(score * 100, F.lit(0.0)), F.lit(100.0))
+    """100 * score, clipped to 0..100; null stays null."""
+    return F.when(score.isNotNull(), F.least(F.greatest(score * 100, F.lit(0.0)), F.lit(100.0)))
 
 
 def unit_score(score: Column) -> Column:

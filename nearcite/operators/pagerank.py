@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearcite.session import cut_lineage
+from nearcite.session import materialize
 
 GROUPED_EDGES = 500_000  # a larger graph (or one with as many nodes) is solved iteratively
 EDGES_PER_SALT = 100_000  # edges of one source that stay in one partition
@@ -50,7 +50,7 @@ def personalized_pagerank(
     large = sizes.where(F.greatest("n", "e") > grouped_edges).select("query_id")
     if large.isEmpty():
         return _grouped(nodes, edges, *settings)
-    large = cut_lineage(large)
+    large = materialize(large)
     small_scores = _grouped(
         nodes.join(large, "query_id", "left_anti"), edges.join(large, "query_id", "left_anti"), *settings
     )
@@ -125,7 +125,7 @@ def _iterative(
     per_query = nodes.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.max(F.when(F.col("is_seed"), F.col("node"))).alias("seed")
     )
-    state = cut_lineage(
+    state = materialize(
         nodes.select("query_id", "node", "is_seed")
         .join(degrees, ["query_id", "node"], "left")
         .join(per_query, "query_id")
@@ -141,7 +141,7 @@ def _iterative(
         )
     )
     hot = degrees.where(F.col("targets") > EDGES_PER_SALT).select("query_id", F.col("node").alias("src"), salts.alias("salts"))
-    salted = cut_lineage(
+    salted = materialize(
         edges.select("query_id", "src", "dst")
         .join(hot, ["query_id", "src"], "left")
         .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
@@ -176,7 +176,7 @@ def _iterative(
             )
             .drop("part")
         )
-        stepped = cut_lineage(stepped)
+        stepped = materialize(stepped)
         done = (
             stepped.groupBy("query_id", "n_nodes")
             .agg(F.sum(F.abs(F.col("rank") - F.col("last"))).alias("change"))
@@ -190,7 +190,7 @@ def _iterative(
             settled, state = None, stepped
         else:
             settled = stepped.join(done, "query_id", "left_semi")
-            state = cut_lineage(stepped.join(done, "query_id", "left_anti"))
+            state = materialize(stepped.join(done, "query_id", "left_anti"))
         if settled is not None:
             part = settled.select("query_id", "node", F.col("rank").alias("ppr_raw"))
             finished = part if finished is None else finished.unionByName(part)

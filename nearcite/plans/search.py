@@ -13,6 +13,7 @@ from nearcite.operators.knn import knn_join
 from nearcite.operators.pagerank import minmax_normalize, personalized_pagerank
 from nearcite.operators.resolve import resolve_ids
 from nearcite.schema import LINK_COLUMNS, NEIGHBOR_COLUMNS, SEARCH_COLUMNS
+from nearcite.session import materialize
 from nearcite.sources.corpus import query_vectors
 
 
@@ -25,8 +26,8 @@ def resolved_queries(inputs: DataFrame, corpus: DataFrame, mode: str = "auto") -
 class Search:
     """The tables of one batch of searches, each built on first use.
 
-    Tables that several others read are narrow (ids and scores) and kept in executor storage until
-    ``close``; titles, texts and arrays are joined to them only where a table shows them.
+    Tables that several others read are narrow (ids and scores) and are written to the checkpoint
+    folder; titles, texts and arrays are joined to them only where a table shows them.
     """
 
     def __init__(
@@ -44,22 +45,12 @@ class Search:
         self.queries, self.corpus, self.k = queries, corpus, k
         self.max_neighbors, self.damping, self.similarity_weight = max_neighbors, damping, similarity_weight
         self.with_graph, self.index, self.nprobe = with_graph, index, nprobe
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._kept.append(df.persist())
-        return df
-
-    def close(self) -> None:
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
 
     # ids and scores
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return self._keep(query_vectors(self.queries, self.corpus))
+        return materialize(query_vectors(self.queries, self.corpus))
 
     @cached_property
     def found(self) -> DataFrame:
@@ -68,34 +59,34 @@ class Search:
             nearest = knn_join(self.vectors, self.corpus, self.k)
         else:
             nearest = ivf_topk(self.vectors, self.index, self.k, self.nprobe)
-        return self._keep(ranking.number_rows(nearest))
+        return materialize(ranking.number_rows(nearest))
 
     @cached_property
     def expanded_ids(self) -> DataFrame:
         """``(query_id, publication_number, neighbor_order)`` of the neighbours that the corpus has."""
         neighbors = expand.citation_neighbors(self.found, self.corpus, self.max_neighbors, max_rows=self.k)
-        return self._keep(expand.fetch_neighbors(neighbors, self.corpus, ["publication_number"]))
+        return materialize(expand.fetch_neighbors(neighbors, self.corpus, ["publication_number"]))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._keep(expand.graph_nodes(self.found, self.expanded_ids))
+        return materialize(expand.graph_nodes(self.found, self.expanded_ids))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._keep(expand.graph_edges(self.nodes, self.corpus))
+        return materialize(expand.graph_edges(self.nodes, self.corpus))
 
     @cached_property
     def scores(self) -> DataFrame:
         """``(query_id, node, ppr_raw, ppr_score)``; no rows for a query whose graph has no ranking."""
         raw = personalized_pagerank(self.nodes, self.edges, self.damping)
-        return self._keep(minmax_normalize(self._keep(raw)))
+        return minmax_normalize(materialize(raw))
 
     @cached_property
     def scored(self) -> DataFrame:
         """Results without the query's own row, with similarity, PPR and blended scores."""
         results = ranking.exclude_self(ranking.with_similarity(self.found))
         if self.with_graph:
-            return self._keep(ranking.blend(results, self.scores, self.similarity_weight))
+            return materialize(ranking.blend(results, self.scores, self.similarity_weight))
         none = F.lit(None).cast("double")
         columns = ("ppr_raw", "ppr_score", "ppr_pct", "blended_score", "blended_pct")
         return results.withColumn("ppr_available", F.lit(False)).withColumns({c: none for c in columns})
@@ -228,6 +219,6 @@ def second_level_knn(results: DataFrame, corpus: DataFrame, k: int) -> DataFrame
         .where(F.coalesce(F.col("via_id"), F.lit("")) != "")
         .distinct()
     )
-    vectors = query_vectors(via.select(F.col("via_id").alias("query_id")), corpus).persist()
+    vectors = materialize(query_vectors(via.select(F.col("via_id").alias("query_id")), corpus))
     nearest = knn_join(vectors, corpus, k).withColumnRenamed("query_id", "via_id")
     return via.join(nearest, "via_id").select("query_id", "via_id", "publication_number", "distance")

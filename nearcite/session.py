@@ -1,9 +1,10 @@
-"""Session helpers: a local session for tests and bench, and the checkpoint folder."""
+"""Session helpers: a local session for tests and bench, and tables in the checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "nearcit
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the one the session names, or a new one in local mode.
+    """The shared folder for intermediate tables: the one the session names, or a new one in local mode.
 
     On a cluster a machine-local folder would not survive an executor, so an unset
     ``spark.checkpoint.dir`` is an error there.
@@ -42,7 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and go on from there.
+
+    The plan starts anew at a columnar scan with known sizes, and a lost executor costs no recomputation.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

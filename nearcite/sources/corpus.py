@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearcite.functions.text import first_name
 from nearcite.schema import CORPUS_COLUMNS
-from nearcite.session import cut_lineage
+from nearcite.session import materialize
 
 MINIMAL_COLUMNS = [
     "publication_number",
@@ -90,7 +90,7 @@ def id_position_map(df: DataFrame, key: str = "publication_number") -> DataFrame
     Range partitions are numbered one after the other: the only thing that is summed up in one place is
     the row count of each partition.
     """
-    ranged = cut_lineage(
+    ranged = materialize(
         df.select(key)
         .repartitionByRange(key)
         .sortWithinPartitions(key)
