@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearcite.functions.text import cpc_label, cpc_section
-from nearcite.operators.expand import link_ids, sequence_key
+from nearcite.operators.expand import link_count, sequence_key
 
 
 def unnest_names(results: DataFrame, column: str) -> DataFrame:
@@ -87,7 +87,7 @@ def citation_counts(df: DataFrame) -> DataFrame:
         "parent_count": "parent",
         "child_count": "child",
     }
-    return df.withColumns({name: F.size(link_ids(df, column)) for name, column in lengths.items()})
+    return df.withColumns({name: link_count(column) for name, column in lengths.items()})
 
 
 def shared_assignees(ranked: DataFrame, head: int = 10) -> DataFrame:

@@ -33,8 +33,12 @@ def link_ids(df: DataFrame, name: str) -> Column:
     return F.coalesce(ids, F.array().cast("array<string>"))
 
 
-def link_rows(source: DataFrame, *carried: str) -> DataFrame:
-    """One row per link: ``(publication_number, rel, pos, other)``; rel numbers LINK_COLUMNS from 0, pos starts at 1."""
+def link_array(source: DataFrame) -> Column:
+    """All links of a row as structs ``(rel, pos, other)``; rel numbers LINK_COLUMNS from 0, pos starts at 1.
+
+    Loops onto the row itself and empty ids are left out.
+    """
+
     def places(rel: int, name: str) -> Column:
         return F.transform(
             link_ids(source, name),
@@ -42,9 +46,13 @@ def link_rows(source: DataFrame, *carried: str) -> DataFrame:
         )
 
     links = F.concat(*[places(rel, name) for rel, name in enumerate(LINK_COLUMNS)])
-    return source.select("publication_number", *carried, F.inline(links)).where(
-        F.coalesce(F.col("other"), F.lit("")) != ""
-    )
+    empty = F.array(F.lit(""), F.coalesce("publication_number", F.lit("")))
+    return F.filter(links, lambda link: ~F.array_contains(empty, F.coalesce(link["other"], F.lit(""))))
+
+
+def link_count(*names: str) -> Column:
+    """Length of link arrays together, missing ones counting 0."""
+    return sum((F.coalesce(F.greatest(F.size(n), F.lit(0)), F.lit(0)) for n in names), F.lit(0))
 
 
 def neighbor_lists(source: DataFrame, limit: int | None = None) -> DataFrame:
@@ -168,22 +176,20 @@ def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
     rows = nodes.where(F.col("row_no").isNotNull()).select(
         "query_id", F.col("node").alias("publication_number"), "row_no"
     )
-    sized = source.select(
-        "publication_number",
-        *LINK_COLUMNS,
-        sum((F.size(link_ids(source, c)) for c in LINK_COLUMNS), F.lit(0)).alias("links"),
-    )
-    light = link_rows(rows.join(sized.where(F.col("links").between(1, HEAVY_ROW)), "publication_number"), "query_id", "row_no")
     members = nodes.select("query_id", F.col("node").alias("other"))
-    from_light = light.where(F.col("other") != F.col("publication_number")).join(
-        members, ["query_id", "other"], "left_semi"
+    size = link_count(*LINK_COLUMNS)
+    # The arrays are shaped here, once per row of the source, and only unfolded per query.
+    light = source.where(size.between(1, HEAVY_ROW)).select("publication_number", link_array(source).alias("links"))
+    from_light = (
+        rows.join(light, "publication_number")
+        .select("query_id", "publication_number", "row_no", F.inline("links"))
+        .join(members, ["query_id", "other"], "left_semi")
     )
 
-    heavy = sized.where(F.col("links") > HEAVY_ROW)
+    heavy = source.where(size > HEAVY_ROW)
     inward = F.col("rel").isin(*[LINK_COLUMNS.index(c) for c in _INWARD])
     heavy_links = (
-        link_rows(heavy)
-        .where(F.col("other") != F.col("publication_number"))
+        heavy.select("publication_number", F.inline(link_array(source)))
         .groupBy("publication_number", "other", inward.alias("inward"))
         .agg(F.max(sequence_key(F.col("rel"), F.col("pos"))).alias("last"))
         .select(
@@ -198,7 +204,6 @@ def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
 
     columns = ["query_id", "publication_number", "row_no", "rel", "pos", "other"]
     links = from_light.select(columns).unionByName(from_heavy.select(columns))
-    inward = F.col("rel").isin(*[LINK_COLUMNS.index(c) for c in _INWARD])
     own, other = F.col("publication_number"), F.col("other")
     written = links.select(
         "query_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearcite.functions.text import node_size, score_color, score_tier, similar_width, unit_score, whole_percent
-from nearcite.operators.expand import link_rows
+from nearcite.operators.expand import link_array
 from nearcite.schema import LINK_COLUMNS
 
 # Fixed values of the network view.
@@ -130,9 +130,8 @@ def viz_edges(
     )
     keys = rows.select("query_id", "publication_number")
     first = source.select("publication_number", *[F.slice(c, 1, caps[c]).alias(c) for c in LINK_COLUMNS])
-    links = link_rows(keys.join(first, "publication_number"), "query_id").where(
-        F.col("other") != F.col("publication_number")
-    )
+    shaped = first.select("publication_number", link_array(first).alias("links"))
+    links = keys.join(shaped, "publication_number").select("query_id", "publication_number", F.inline("links"))
     members = keys.withColumnRenamed("publication_number", "other")
     drawn = F.array(
         *[

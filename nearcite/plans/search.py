@@ -59,7 +59,7 @@ class Search:
             nearest = knn_join(self.vectors, self.corpus, self.k)
         else:
             nearest = ivf_topk(self.vectors, self.index, self.k, self.nprobe)
-        return materialize(ranking.number_rows(nearest))
+        return materialize(ranking.number_rows(nearest), spread=("publication_number", "query_id"))
 
     @cached_property
     def expanded_ids(self) -> DataFrame:
@@ -69,7 +69,7 @@ class Search:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return materialize(expand.graph_nodes(self.found, self.expanded_ids))
+        return materialize(expand.graph_nodes(self.found, self.expanded_ids), spread=("node", "query_id"))
 
     @cached_property
     def edges(self) -> DataFrame:

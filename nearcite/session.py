@@ -43,11 +43,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and go on from there.
 
     The plan starts anew at a columnar scan with known sizes, and a lost executor costs no recomputation.
+    ``spread`` names columns by which rows are distributed over all cores first: for small tables whose
+    rows the next step multiplies, which file sizes cannot tell. (A repartition by the very columns the
+    rows are already hashed by would be optimised away and the partitions coalesced.)
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        df = df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *spread)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
