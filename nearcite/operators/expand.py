@@ -186,24 +186,24 @@ def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
         .join(members, ["query_id", "other"], "left_semi")
     )
 
-    heavy = source.where(size > HEAVY_ROW)
+    columns = ["query_id", "publication_number", "row_no", "rel", "pos", "other"]
+    links = from_light.select(columns)
     inward = F.col("rel").isin(*[LINK_COLUMNS.index(c) for c in _INWARD])
-    heavy_links = (
-        heavy.select("publication_number", F.inline(link_array(source)))
-        .groupBy("publication_number", "other", inward.alias("inward"))
-        .agg(F.max(sequence_key(F.col("rel"), F.col("pos"))).alias("last"))
-        .select(
-            "publication_number",
-            "other",
-            F.shiftright("last", 32).cast("int").alias("rel"),
-            (F.col("last").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("pos"),
+    heavy = source.where(size > HEAVY_ROW)
+    if not heavy.isEmpty():
+        heavy_links = (
+            heavy.select("publication_number", F.inline(link_array(source)))
+            .groupBy("publication_number", "other", inward.alias("inward"))
+            .agg(F.max(sequence_key(F.col("rel"), F.col("pos"))).alias("last"))
+            .select(
+                "publication_number",
+                "other",
+                F.shiftright("last", 32).cast("int").alias("rel"),
+                (F.col("last").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("pos"),
+            )
         )
-    )
-    probes = rows.join(heavy.select("publication_number"), "publication_number").join(members, "query_id")
-    from_heavy = probes.join(heavy_links, ["publication_number", "other"])
-
-    columns = ["query_id", "publication_number", "row_no", "rel", "pos", "other"]
-    links = from_light.select(columns).unionByName(from_heavy.select(columns))
+        probes = rows.join(heavy.select("publication_number"), "publication_number").join(members, "query_id")
+        links = links.unionByName(probes.join(heavy_links, ["publication_number", "other"]).select(columns))
     own, other = F.col("publication_number"), F.col("other")
     written = links.select(
         "query_id",

@@ -98,20 +98,31 @@ def ivf_topk(
     n_lists = len(index.centers)
     nprobe = min(n_lists, nprobe or max(1, round(math.sqrt(n_lists))))
     q = with_vector(queries, "query_id", query_vector)
-    lists = index.lists.select("publication_number", "vec", F.col("list_id").alias("cell"))
-    first = _visit(q, index, nprobe=nprobe)
-    found = nearest(block_search(first, lists, k, "cosine", cells=n_lists), k)
+    found = _search_lists(_visit(q, index, nprobe=nprobe), index, k)
     if not exact or nprobe == n_lists:
         return found
     reach = found.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(2.0)).alias("reach")
     )
     bounded = q.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(2.0)))
-    further = _visit(bounded, index, nprobe=nprobe, beyond=True)
-    more = block_search(further, lists, k, "cosine", cells=n_lists)
+    more = _search_lists(_visit(bounded, index, nprobe=nprobe, beyond=True), index, k)
     return nearest(found.unionByName(more), k)
 
 
+def _search_lists(visits: DataFrame, index: IvfIndex, k: int) -> DataFrame:
+    """The k nearest within the visited lists.
+
+    The numbers of those lists, at most as many as there are centroids, become a filter on the partition
+    column of a stored index: lists that no query visits are not read.
+    """
+    visited = [row["cell"] for row in visits.select("cell").distinct().collect()]
+    lists = index.lists
+    if len(visited) < len(index.centers):
+        lists = lists.where(F.col("list_id").isin(visited))
+    cells = lists.select("publication_number", "vec", F.col("list_id").alias("cell"))
+    return nearest(block_search(visits, cells, k, "cosine", cells=len(index.centers)), k)
+
+
 def write_index(index: IvfIndex, path: str) -> None:
     """Store the index, one folder per list; a large list becomes several files written by several tasks."""
     sizes = index.lists.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("int").alias("files"))

@@ -140,13 +140,22 @@ def _iterative(
             (F.lit(1.0) / F.col("n_nodes")).alias("rank"),
         )
     )
-    hot = degrees.where(F.col("targets") > EDGES_PER_SALT).select("query_id", F.col("node").alias("src"), salts.alias("salts"))
-    salted = materialize(
-        edges.select("query_id", "src", "dst")
-        .join(hot, ["query_id", "src"], "left")
-        .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
-        .select("query_id", "src", "dst", "salt")
-        .repartition("query_id", "src", "salt")
+    hot = degrees.where(F.col("targets") > EDGES_PER_SALT).select(
+        "query_id", F.col("node").alias("src"), salts.alias("salts")
+    )
+    by = ["query_id", "src", "salt"]
+    # Kept in the layout of the join, so that a step moves ranks but never edges. A lost partition is
+    # read again from the written table.
+    salted = (
+        materialize(
+            edges.select("query_id", "src", "dst")
+            .join(hot, ["query_id", "src"], "left")
+            .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
+            .select(*by, "dst")
+        )
+        .repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+        .sortWithinPartitions(*by)
+        .persist()
     )
     finished: DataFrame | None = None
     for step in range(max_iter):
@@ -157,7 +166,7 @@ def _iterative(
             F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
         )
         arriving = (
-            salted.join(sent, ["query_id", "src", "salt"])
+            salted.join(sent, by)
             .select("query_id", F.col("dst").alias("node"), "part")
             .unionByName(
                 state.where(F.col("targets") == 0).select(
@@ -197,6 +206,7 @@ def _iterative(
         if settled is not None and state.isEmpty():
             break
         state = state.drop("last")
+    salted.unpersist()
     if finished is None:
         return state.select("query_id", "node", F.col("rank").alias("ppr_raw")).limit(0)
     return finished

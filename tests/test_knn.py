@@ -118,6 +118,8 @@ def test_index_maintenance(clustered, spark, tmp_path):
     assert np.allclose(stored.centers, grown.centers)
     a = result(ivf.ivf_topk(queries, stored, 10, exact=True))
     assert a == result(knn.knn_join(queries, wider, 10))
+    plan = ivf.ivf_topk(queries.limit(1), stored, 10, nprobe=1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan
     assert ivf.list_count_range(4_000_000) == (2000, 8000)
 
 
