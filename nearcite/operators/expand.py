@@ -55,14 +55,12 @@ def link_count(*names: str) -> Column:
     return sum((F.coalesce(F.greatest(F.size(n), F.lit(0)), F.lit(0)) for n in names), F.lit(0))
 
 
-def neighbor_lists(source: DataFrame, limit: int | None = None) -> DataFrame:
-    """Each row's linked ids in reading order, without repeats: ``(publication_number, neighbors)``."""
+def neighbor_list(source: DataFrame, limit: int | None = None) -> Column:
+    """A row's linked ids in reading order, without repeats."""
     ids = F.array_distinct(
         F.filter(F.concat(*[link_ids(source, c) for c in LINK_COLUMNS]), lambda i: F.coalesce(i, F.lit("")) != "")
     )
-    if limit is not None:
-        ids = F.slice(ids, 1, limit)
-    return source.select("publication_number", ids.alias("neighbors"))
+    return ids if limit is None else F.slice(ids, 1, limit)
 
 
 def citation_neighbors(
@@ -82,21 +80,22 @@ def citation_neighbors(
     them are results themselves; the rest is cut inside the row, before anything multiplies.
     """
     limit = None if max_neighbors is None or max_rows is None else max_neighbors + max_rows
-    shown = results.select("query_id", "publication_number", "row_no")
     if source is None:
-        unfolded = neighbor_lists_of(results, limit)
+        rows = results.select("query_id", "publication_number", "row_no", neighbor_list(results, limit).alias("ids"))
     else:
-        lists = neighbor_lists(source, limit).where(F.size("neighbors") > 0)
-        unfolded = shown.join(lists, "publication_number")
-    seen = unfolded.select("query_id", "row_no", F.posexplode("neighbors").alias("pos", "publication_number")).select(
-        "query_id", "publication_number", sequence_key(F.col("row_no"), F.col("pos")).alias("first_seen")
+        lists = source.select("publication_number", neighbor_list(source, limit).alias("ids"))
+        rows = results.select("query_id", "publication_number", "row_no").join(lists, "publication_number", "left")
+    # Whole rows are brought together by query while they are still folded; counting and numbering
+    # then need no further shuffle. A result opens its own list, which marks it as known.
+    own = F.array("publication_number")
+    opened = F.concat(own, F.coalesce("ids", F.array().cast("array<string>")))
+    seen = rows.repartition("query_id").select(
+        "query_id", "row_no", F.posexplode(opened).alias("pos", "publication_number")
     )
-    # A result is its own earliest sighting, which removes it without another join.
-    existing = shown.select("query_id", "publication_number", F.lit(-1).cast("bigint").alias("first_seen"))
+    sighted = F.when(F.col("pos") == 0, -1).otherwise(sequence_key(F.col("row_no"), F.col("pos")))
     fresh = (
-        seen.unionByName(existing)
-        .groupBy("query_id", "publication_number")
-        .agg(F.min("first_seen").alias("first_seen"))
+        seen.groupBy("query_id", "publication_number")
+        .agg(F.min(sighted).alias("first_seen"))
         .where(F.col("first_seen") >= 0)
     )
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("first_seen"))
@@ -106,14 +105,6 @@ def citation_neighbors(
     return numbered.select("query_id", "publication_number", "neighbor_order")
 
 
-def neighbor_lists_of(results: DataFrame, limit: int | None) -> DataFrame:
-    """As ``neighbor_lists``, keeping the result keys of rows that carry their own arrays."""
-    ids = F.array_distinct(
-        F.filter(F.concat(*[link_ids(results, c) for c in LINK_COLUMNS]), lambda i: F.coalesce(i, F.lit("")) != "")
-    )
-    return results.select("query_id", "row_no", (ids if limit is None else F.slice(ids, 1, limit)).alias("neighbors"))
-
-
 def sequence_key(first: Column, second: Column) -> Column:
     """One sortable number for two counters, the second below 2**32."""
     return F.shiftleft(first.cast("bigint"), 32) + second

