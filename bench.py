@@ -14,7 +14,7 @@ import time
 
 import registry
 from nearcite.plans.search import Search
-from nearcite.session import local_session
+from nearcite.session import drop_materialized, local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 NAMES = [
@@ -70,6 +70,7 @@ def main() -> None:
             }
         )
     )
+    drop_materialized(spark)
 
 
 if __name__ == "__main__":

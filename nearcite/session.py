@@ -43,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and go on from there.
 
@@ -57,4 +60,18 @@ def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
         cores = spark.sparkContext.defaultParallelism
         df = df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *spread)
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables this application has written with ``materialize``; returns how many.
+
+    DataFrames that read them, such as those of a ``Search``, must not be used any more.
+    """
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    paths = _WRITTEN.pop(context.applicationId, [])
+    for path in paths:
+        table = jvm.org.apache.hadoop.fs.Path(path)
+        table.getFileSystem(context._jsc.hadoopConfiguration()).delete(table, True)
+    return len(paths)

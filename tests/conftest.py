@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from nearcite.session import local_session  # noqa: E402
+from nearcite.session import drop_materialized, local_session  # noqa: E402
 
 LINKS = "array<struct<publication_number:string>>"
 NAMES = "array<struct<name:string,country:string>>"
@@ -23,6 +23,7 @@ def spark():
     session = local_session(4, memory="6g", name="tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    drop_materialized(session)
     session.stop()
 
 
