@@ -57,8 +57,10 @@ def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        df = df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *spread)
+        tasks = spark.sparkContext.defaultParallelism
+        if not spark.sparkContext.master.startswith("local"):  # executors may yet be added
+            tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df = df.repartition(tasks, *spread)
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
