@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearcite.llm import decontamination, line_dedup, quality_rules
+from nearcite.llm import decontamination, license_scan, line_dedup, near_dedup, piece_coding, quality_rules
 from nearcite.llm.common import documents
 
 
@@ -20,5 +20,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_line_dedup, op7_decontamination)}
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(documents(spark, sf_dir))
+
+
+def op8_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.report(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_near_dedup, op3_quality_rules, op5_line_dedup, op7_decontamination, op8_piece_coding, op10_license_scan)
+}
 ORACLES: dict[str, str] = {}
