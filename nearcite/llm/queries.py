@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearcite.llm import decontamination, license_scan, line_dedup, near_dedup, piece_coding, quality_rules
+from nearcite.llm import (
+    decontamination,
+    html_extraction,
+    kneser_ney,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    pii,
+    piece_coding,
+    quality_classifier,
+    quality_rules,
+)
 from nearcite.llm.common import documents
 
 
@@ -32,8 +43,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(documents(spark, sf_dir))
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.report(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_near_dedup, op3_quality_rules, op5_line_dedup, op7_decontamination, op8_piece_coding, op10_license_scan)
-}
+    for f in (
+        op1_kneser_ney, op2_near_dedup, op3_quality_rules, op4_pii, op5_line_dedup, op6_html_extraction,
+        op7_decontamination, op8_piece_coding, op9_quality_classifier, op10_license_scan,
+    )
+}
+#: The methods need signatures, models, samples or trees: tests/llm holds every query against brute force instead.
 ORACLES: dict[str, str] = {}
