@@ -312,13 +312,12 @@ def _coder(model: str, seed: int, dropout: float, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(model).texts
         for batch in batches:
-            for part in slices(batch, "_text", 2 * SLICE_BYTES):
+            for part in slices(batch, "_text", SLICE_BYTES // 2):
                 texts = part["_text"].to_pylist()
                 keys = part["_k"].to_numpy().view(np.uint64)
                 flat, bounds = encode_texts(part["_text"], keys, model, seed, dropout, variants)
-                raw = flat.tolist()
                 same = [
-                    b"".join(map(table.__getitem__, raw[a:b]))[1:] == (t or "").encode("utf-8", "surrogatepass")
+                    b"".join(map(table.__getitem__, flat[a:b].tolist()))[1:] == (t or "").encode("utf-8", "surrogatepass")
                     for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
                 ]
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
