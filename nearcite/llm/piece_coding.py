@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearcite.llm.common import row_key
 from nearcite.llm.tokens import SLICE_BYTES, mixed, slices
@@ -106,7 +107,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 def _drop(seed: int, variant, left, right, begin, end, dropout: float):
     """True where the keyed hash skips the merge of these pieces over these places."""
-    key = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(variant).astype(np.uint64)
+    key = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)) + np.asarray(variant).astype(np.uint64)
     key = mixed(key + (np.asarray(left).astype(np.uint64) << np.uint64(32) | np.asarray(right).astype(np.uint64)))
     key = mixed(key + (np.asarray(begin).astype(np.uint64) << np.uint64(32) | np.asarray(end).astype(np.uint64)))
     return key < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1)) if dropout > 0 else np.zeros(key.shape, bool)
@@ -357,7 +358,7 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
             texts = [None if ids is None else decode_ids(ids, model) for ids in batch[ids_col].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

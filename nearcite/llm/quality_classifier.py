@@ -49,10 +49,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; zeros without rows of both classes."""
+    """Weights of a ridge logistic regression by Newton steps; zeros without rows of both classes.
+
+    The penalty falls on features in units of their deviation; the first is the constant.
+    """
     weights = np.zeros(x.shape[1])
     if len(np.unique(y)) < 2:
         return weights
+    scale = x.std(axis=0)
+    scale[scale < 1e-12] = 1.0
+    x = x / scale
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
@@ -62,7 +68,7 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
         weights += change
         if np.abs(change).max() < 1e-8:
             break
-    return weights
+    return weights / scale
 
 
 def _logit(p: Column) -> Column:
