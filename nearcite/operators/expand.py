@@ -17,11 +17,8 @@ EDGE_TYPES = {"citation": "cites", "cited_by": "cited_by", "parent": "parent", "
 # Links that point from the other document to the row's own.
 _INWARD = ("cited_by", "parent")
 
-# A row with more links than this is probed by node pair instead of unfolded per query.
-HEAVY_ROW = 2048
-
-# Expanded rows come after all results when edges are written in row order.
-_AFTER_RESULTS = 1 << 20
+# Links of a row are handed on in pieces of so many, so that no row of a join grows with one document.
+CHUNK = 4096
 
 
 def link_ids(df: DataFrame, name: str) -> Column:
@@ -55,58 +52,49 @@ def link_count(*names: str) -> Column:
     return sum((F.coalesce(F.greatest(F.size(n), F.lit(0)), F.lit(0)) for n in names), F.lit(0))
 
 
-def neighbor_list(source: DataFrame, limit: int | None = None) -> Column:
+def neighbor_list(source: DataFrame) -> Column:
     """A row's linked ids in reading order, without repeats."""
-    ids = F.array_distinct(
+    return F.array_distinct(
         F.filter(F.concat(*[link_ids(source, c) for c in LINK_COLUMNS]), lambda i: F.coalesce(i, F.lit("")) != "")
     )
-    return ids if limit is None else F.slice(ids, 1, limit)
 
 
-def citation_neighbors(
-    results: DataFrame,
-    source: DataFrame | None = None,
-    max_neighbors: int | None = 500,
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Linked ids not among the results: ``(query_id, publication_number, neighbor_order)``.
+def citation_neighbors(results: DataFrame, source: DataFrame | None = None, max_neighbors: int | None = None) -> DataFrame:
+    """Linked ids not among the results: ``(query_id, publication_number, first_seen)``.
 
     ``results`` needs ``(query_id, publication_number, row_no)``; without a ``source`` it must carry
-    the arrays itself. At most ``max_neighbors`` per query, first seen first, reading rows by
-    ``row_no``, arrays in LINK_COLUMNS order, elements by position.
-
-    ``max_rows`` states how many results a query has at most. Then only the first
-    ``max_neighbors + max_rows`` distinct links of a row can ever count, since at most ``max_rows`` of
-    them are results themselves; the rest is cut inside the row, before anything multiplies.
+    the arrays itself. ``first_seen`` orders them: rows by ``row_no``, arrays in LINK_COLUMNS order,
+    elements by position. All are returned; with ``max_neighbors`` only so many of a query, first seen
+    first, with their place as ``neighbor_order``.
     """
-    limit = None if max_neighbors is None or max_rows is None else max_neighbors + max_rows
     if source is None:
-        rows = results.select("query_id", "publication_number", "row_no", neighbor_list(results, limit).alias("ids"))
+        rows = results.select("query_id", "publication_number", "row_no", neighbor_list(results).alias("ids"))
     else:
-        lists = source.select("publication_number", neighbor_list(source, limit).alias("ids"))
+        lists = source.select("publication_number", neighbor_list(source).alias("ids"))
         rows = results.select("query_id", "publication_number", "row_no").join(lists, "publication_number", "left")
-    # Whole rows are brought together by query while they are still folded; counting and numbering
-    # then need no further shuffle. A result opens its own list, which marks it as known.
+    # A result opens its own list, which marks it as known.
     own = F.array("publication_number")
     opened = F.concat(own, F.coalesce("ids", F.array().cast("array<string>")))
-    seen = rows.repartition("query_id").select(
-        "query_id", "row_no", F.posexplode(opened).alias("pos", "publication_number")
-    )
+    seen = rows.select("query_id", "row_no", F.posexplode(opened).alias("pos", "publication_number"))
     sighted = F.when(F.col("pos") == 0, -1).otherwise(sequence_key(F.col("row_no"), F.col("pos")))
     fresh = (
         seen.groupBy("query_id", "publication_number")
         .agg(F.min(sighted).alias("first_seen"))
         .where(F.col("first_seen") >= 0)
     )
+    if max_neighbors is None:
+        return fresh
+    return number_neighbors(fresh).where(F.col("neighbor_order") <= max_neighbors)
+
+
+def number_neighbors(neighbors: DataFrame) -> DataFrame:
+    """Adds ``neighbor_order``, the place of a neighbour among those of its query."""
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("first_seen"))
-    numbered = fresh.withColumn("neighbor_order", order)
-    if max_neighbors is not None:
-        numbered = numbered.where(F.col("neighbor_order") <= max_neighbors)
-    return numbered.select("query_id", "publication_number", "neighbor_order")
+    return neighbors.withColumn("neighbor_order", order)
 
 
 def sequence_key(first: Column, second: Column) -> Column:
-    """One sortable number for two counters, the second below 2**32."""
+    """One sortable number for a row number and a place in an array, which is below 2**31 in any engine on the JVM."""
     return F.shiftleft(first.cast("bigint"), 32) + second
 
 
@@ -131,83 +119,62 @@ def fetch_neighbors(neighbors: DataFrame, corpus: DataFrame, columns: list[str]
 
 
 def graph_nodes(results: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
-    """Nodes of every query's graph: ``(query_id, node, row_no, is_seed)``.
+    """Nodes of every query's graph: ``(query_id, node, is_expanded, row_no, is_seed)``.
 
-    Results, expanded rows and the query itself, once each. ``row_no`` is the place of the row that
-    brings the node's links, null when only the query id is known.
+    Results, expanded rows and the query itself, once each. ``is_expanded`` and ``row_no`` order the rows
+    that bring the nodes' links, results first; both are null when only the query id is known.
     """
-    rows = results.select("query_id", F.col("publication_number").alias("node"), F.col("row_no").cast("bigint"))
+
+    def placed(rows: DataFrame, node: Column, is_expanded: bool, number: Column | None) -> DataFrame:
+        kind = "struct<is_expanded:boolean,row_no:bigint>"
+        place = F.lit(None) if number is None else F.struct(F.lit(is_expanded).alias("is_expanded"), number.cast("bigint").alias("row_no"))
+        return rows.select("query_id", node.alias("node"), place.cast(kind).alias("place"))
+
+    rows = placed(results, F.col("publication_number"), False, F.col("row_no"))
     if expanded is not None:
-        rows = rows.unionByName(
-            expanded.select(
-                "query_id",
-                F.col("publication_number").alias("node"),
-                (F.col("neighbor_order") + _AFTER_RESULTS).cast("bigint").alias("row_no"),
-            )
-        )
-    seeds = results.select("query_id", F.col("query_id").alias("node"), F.lit(None).cast("bigint").alias("row_no"))
-    return (
-        rows.unionByName(seeds)
-        .groupBy("query_id", "node")
-        .agg(F.min("row_no").alias("row_no"))
-        .withColumn("is_seed", F.col("node") == F.col("query_id"))
-    )
+        rows = rows.unionByName(placed(expanded, F.col("publication_number"), True, F.col("first_seen")))
+    rows = rows.unionByName(placed(results, F.col("query_id"), False, None))
+    first = rows.groupBy("query_id", "node").agg(F.min("place").alias("place"))
+    return first.select("query_id", "node", "place.*", (F.col("node") == F.col("query_id")).alias("is_seed"))
 
 
 def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Directed edges between nodes of the same query: ``(query_id, src, dst, edge_type)``.
 
     No loops, one edge per ordered pair. When rows disagree on the type of a pair, the link written
-    last counts: rows in ``row_no`` order, arrays in LINK_COLUMNS order, then position.
+    last counts: results before expanded rows, those by ``row_no``, arrays in LINK_COLUMNS order, then
+    position.
 
-    Ordinary rows unfold their links per query and keep those that end in the node set. A row with
-    very many links would be unfolded once for each query that holds it, so it is unfolded once, and
-    each query asks for the at most |nodes| pairs it could contribute.
+    Links are shaped once per row of the source, handed on in pieces of bounded size and unfolded where
+    they meet a node; those that end in the node set of the query stay.
     """
+    after = F.col("is_expanded") if "is_expanded" in nodes.columns else F.lit(False)
     rows = nodes.where(F.col("row_no").isNotNull()).select(
-        "query_id", F.col("node").alias("publication_number"), "row_no"
+        "query_id", F.col("node").alias("publication_number"), after.alias("is_expanded"), "row_no"
     )
     members = nodes.select("query_id", F.col("node").alias("other"))
-    size = link_count(*LINK_COLUMNS)
-    # The arrays are shaped here, once per row of the source, and only unfolded per query.
-    light = source.where(size.between(1, HEAVY_ROW)).select("publication_number", link_array(source).alias("links"))
-    from_light = (
-        rows.join(light, "publication_number")
-        .select("query_id", "publication_number", "row_no", F.inline("links"))
+    shaped = source.where(link_count(*LINK_COLUMNS) > 0).select("publication_number", link_array(source).alias("all"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(CHUNK))
+    pieces = shaped.select("publication_number", "all", F.explode_outer(starts).alias("start"))
+    pieces = pieces.select("publication_number", F.slice("all", F.col("start"), F.lit(CHUNK)).alias("links"))
+    links = (
+        rows.join(pieces, "publication_number")
+        .select("query_id", "publication_number", "is_expanded", "row_no", F.inline("links"))
         .join(members, ["query_id", "other"], "left_semi")
     )
-
-    columns = ["query_id", "publication_number", "row_no", "rel", "pos", "other"]
-    links = from_light.select(columns)
     inward = F.col("rel").isin(*[LINK_COLUMNS.index(c) for c in _INWARD])
-    heavy = source.where(size > HEAVY_ROW)
-    if not heavy.isEmpty():
-        heavy_links = (
-            heavy.select("publication_number", F.inline(link_array(source)))
-            .groupBy("publication_number", "other", inward.alias("inward"))
-            .agg(F.max(sequence_key(F.col("rel"), F.col("pos"))).alias("last"))
-            .select(
-                "publication_number",
-                "other",
-                F.shiftright("last", 32).cast("int").alias("rel"),
-                (F.col("last").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("pos"),
-            )
-        )
-        probes = rows.join(heavy.select("publication_number"), "publication_number").join(members, "query_id")
-        links = links.unionByName(probes.join(heavy_links, ["publication_number", "other"]).select(columns))
     own, other = F.col("publication_number"), F.col("other")
     written = links.select(
         "query_id",
         F.when(inward, other).otherwise(own).alias("src"),
         F.when(inward, own).otherwise(other).alias("dst"),
-        sequence_key(F.col("row_no") * len(LINK_COLUMNS) + F.col("rel"), F.col("pos")).alias("written"),
+        F.struct("is_expanded", "row_no", "rel", "pos").alias("written"),
     )
-    rel = F.pmod(F.shiftright("written", 32), F.lit(len(LINK_COLUMNS))).cast("int")
     types = F.array(*[F.lit(EDGE_TYPES[c]) for c in LINK_COLUMNS])
     return (
         written.groupBy("query_id", "src", "dst")
         .agg(F.max("written").alias("written"))
-        .select("query_id", "src", "dst", F.get(types, rel).alias("edge_type"))
+        .select("query_id", "src", "dst", F.get(types, F.col("written.rel")).alias("edge_type"))
     )
 
 

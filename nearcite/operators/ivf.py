@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearcite.operators.knn import block_search, nearest, with_vector
+from nearcite.session import materialize
 
 CENTROID_VALUES = 1 << 25  # 256 MB of float64: the most that is sent to tasks
 ROWS_PER_FILE = 2_000_000
@@ -50,8 +51,8 @@ def fit_ivf(corpus: DataFrame, num_lists: int | None = None, seed: int = 42, max
     model = KMeans(k=num_lists, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(features)
     centers = np.array(model.clusterCenters(), dtype=float)
     centers /= np.sqrt((centers**2).sum(axis=1))[:, None]
-    lists = _assign(vectors, centers)
-    return IvfIndex(lists, _centroid_table(lists, centers), centers)
+    lists = materialize(_assign(vectors, centers))
+    return IvfIndex(lists, materialize(_centroid_table(lists, centers)), centers)
 
 
 def assign_lists(corpus: DataFrame, index: IvfIndex) -> DataFrame:
@@ -65,8 +66,8 @@ def assign_lists(corpus: DataFrame, index: IvfIndex) -> DataFrame:
 def add_rows(index: IvfIndex, rows: DataFrame) -> IvfIndex:
     """The index with the given corpus rows inserted or replaced."""
     kept = index.lists.join(rows.select("publication_number"), "publication_number", "left_anti")
-    lists = kept.unionByName(assign_lists(rows, index))
-    return IvfIndex(lists, _centroid_table(lists, index.centers), index.centers)
+    lists = materialize(kept.unionByName(assign_lists(rows, index)))
+    return IvfIndex(lists, materialize(_centroid_table(lists, index.centers)), index.centers)
 
 
 def ivf_coverage(corpus: DataFrame, index: IvfIndex) -> DataFrame:
@@ -98,14 +99,15 @@ def ivf_topk(
     n_lists = len(index.centers)
     nprobe = min(n_lists, nprobe or max(1, round(math.sqrt(n_lists))))
     q = with_vector(queries, "query_id", query_vector)
-    found = _search_lists(_visit(q, index, nprobe=nprobe), index, k)
+    found = _search_lists(materialize(_visit(q, index, nprobe=nprobe)), index, k)
     if not exact or nprobe == n_lists:
         return found
+    found = materialize(found)
     reach = found.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(2.0)).alias("reach")
     )
     bounded = q.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(2.0)))
-    more = _search_lists(_visit(bounded, index, nprobe=nprobe, beyond=True), index, k)
+    more = _search_lists(materialize(_visit(bounded, index, nprobe=nprobe, beyond=True)), index, k)
     return nearest(found.unionByName(more), k)
 
 

@@ -58,6 +58,15 @@ def knn_join(
     return nearest(found, k)
 
 
+def knn_join_mixed(queries: DataFrame, corpus: DataFrame, distance: str = "cosine") -> DataFrame:
+    """As ``knn_join``, with the number of neighbours in a column ``top_k`` of the queries; null or below 1 gives none."""
+    most = queries.agg(F.max("top_k").alias("k")).collect()[0]["k"]
+    found = knn_join(queries, corpus, max(most or 1, 1), distance)
+    best = Window.partitionBy("query_id").orderBy("distance", "publication_number")
+    own = found.withColumn("_n", F.row_number().over(best)).join(queries.select("query_id", "top_k"), "query_id")
+    return own.where(F.col("_n") <= F.col("top_k")).drop("_n", "top_k")
+
+
 def with_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Key and vector only, as doubles; rows without a vector drop out."""
     return df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("vec"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from nearcite.functions.text import node_size, score_color, score_tier, similar_width, unit_score, whole_percent
 from nearcite.operators.expand import link_array
 from nearcite.schema import LINK_COLUMNS
+from nearcite.session import materialize
 
 # Fixed values of the network view.
 EDGE_COLORS = {
@@ -18,10 +19,11 @@ EDGE_COLORS = {
     "parent": "#FF9D1E",
     "child": "#DD361C",
 }
+# How many links of each kind a small view draws.
 LINK_CAPS = {"citation": 10, "cited_by": 10, "parent": 5, "child": 5}
 QUERY_COLOR, QUERY_SIZE = "#0B3D91", 45
 
-# How each link array is drawn: (edge type, hover title, inward, width, opacity, dashes).
+# How each link array is drawn: (edge type, hover title, inward, width, opacity, dashes).
 _DRAWN = {
     "citation": ("cites", "Cites", False, 1.0, 0.3, True),
     "cited_by": ("cited_by", "Cited by", True, 1.0, 0.3, True),
@@ -47,8 +49,12 @@ _EDGE_COLUMNS = ["query_id", "src", "dst", "kind", "title", "width", "color", "o
 def viz_nodes(query_rows: DataFrame, results: DataFrame, expanded: DataFrame, score: str = "score") -> DataFrame:
     """Query, result and expanded nodes with colour, size and text.
 
-    ``query_rows`` and ``results`` are disjoint; expanded rows never repeat either.
+    ``query_rows`` and ``results`` are disjoint. Where a query is missing from its own list, its row is a
+    stand-in, drawn as a result without a score; the query may then be among the expanded rows, and is
+    still drawn once.
     """
+    stand_ins = query_rows.where(F.col("publication_number") != F.col("query_id"))
+    expanded = expanded.where(F.col("publication_number") != F.col("query_id"))
     own = query_rows.select(
         "query_id",
         F.col("query_id").alias("node"),
@@ -69,7 +75,8 @@ def viz_nodes(query_rows: DataFrame, results: DataFrame, expanded: DataFrame, sc
     )
     shown = _scored_nodes(results, F.col(score), "result", "dot", "", "Score")
     found = _scored_nodes(expanded, F.col("ppr_score"), "expanded", "triangle", " (Citation Network)", "PPR")
-    return own.unionByName(shown).unionByName(found)
+    standing = _scored_nodes(stand_ins, F.lit(None).cast("double"), "result", "dot", "", "Score")
+    return own.unionByName(shown).unionByName(standing).unionByName(found)
 
 
 def _scored_nodes(rows: DataFrame, score: Column, kind: str, shape: str, suffix: str, score_name: str) -> DataFrame:
@@ -107,14 +114,15 @@ def viz_edges(
     results: DataFrame,
     rows: DataFrame,
     source: DataFrame,
-    caps: dict[str, int] = LINK_CAPS,
+    caps: dict[str, int] | None = None,
     score: str = "score",
 ) -> DataFrame:
     """Edges of the view, repeated pairs included.
 
-    One ``similar`` edge from the query to each of ``results``; then the first links of every row of
-    ``rows`` (``(query_id, publication_number)``: the query, results and expanded rows), as far as
-    they end in such a row. The caps count positions in the array, before that test.
+    One ``similar`` edge from the query to each of ``results``; then the links of every row of ``rows``
+    (``(query_id, publication_number)``: the query, results and expanded rows), as far as they end in
+    such a row. With ``caps`` (such as LINK_CAPS) only the first positions of each array count, before
+    that test.
     """
     weight = unit_score(F.col(score))
     similar = results.select(
@@ -129,7 +137,9 @@ def viz_edges(
         F.lit(False).alias("dashes"),
     )
     keys = rows.select("query_id", "publication_number")
-    first = source.select("publication_number", *[F.slice(c, 1, caps[c]).alias(c) for c in LINK_COLUMNS])
+    first = source.select(
+        "publication_number", *[F.slice(c, 1, caps[c]).alias(c) if caps else F.col(c) for c in LINK_COLUMNS]
+    )
     shaped = first.select("publication_number", link_array(first).alias("links"))
     links = keys.join(shaped, "publication_number").select("query_id", "publication_number", F.inline("links"))
     members = keys.withColumnRenamed("publication_number", "other")
@@ -163,19 +173,19 @@ def viz_edges(
 def khop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     """Distance from the seeds ignoring edge direction: ``(query_id, node, hop)``, null beyond k.
 
-    ``seeds`` is ``(query_id, node)``. Each step joins the newest ring with the edges, so its output is
-    at most every edge once.
+    ``seeds`` is ``(query_id, node)``, each once. A step joins only the newest ring with the edges; every
+    ring is written once, so the plan does not grow with k.
     """
     both = edges.select("query_id", "src", "dst").unionByName(
         edges.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
     reached = seeds.select("query_id", "node", F.lit(0).alias("hop"))
+    ring = reached.select("query_id", F.col("node").alias("src"))
     for step in range(1, k + 1):
-        ring = reached.where(F.col("hop") == step - 1).select("query_id", F.col("node").alias("src"))
-        beyond = both.join(ring, ["query_id", "src"], "left_semi").select(
-            "query_id", F.col("dst").alias("node"), F.lit(step).alias("hop")
-        )
-        reached = reached.unionByName(beyond).groupBy("query_id", "node").agg(F.min("hop").alias("hop"))
+        beyond = both.join(ring, ["query_id", "src"], "left_semi").select("query_id", F.col("dst").alias("node")).distinct()
+        new = materialize(beyond.join(reached, ["query_id", "node"], "left_anti"))
+        reached = reached.unionByName(new.withColumn("hop", F.lit(step)))
+        ring = new.select("query_id", F.col("node").alias("src"))
     return nodes.select("query_id", "node").join(reached, ["query_id", "node"], "left")
 
 

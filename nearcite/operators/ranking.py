@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearcite.functions.text import percent
@@ -79,9 +79,16 @@ def add_expanded_scores(expanded: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def rank_results(results: DataFrame, mode: str = "blended") -> DataFrame:
-    """Add ``score`` and ``rank``. Similarity decides wherever PPR is not available."""
-    score = F.when(F.col("ppr_available"), F.col(MODES[mode])).otherwise(F.col("similarity"))
+def rank_results(results: DataFrame, mode: str | Column = "blended") -> DataFrame:
+    """Add ``score`` and ``rank``. Similarity decides wherever PPR is not available.
+
+    The mode may be a column, so that every query is ranked in its own; an unknown one ranks by similarity.
+    """
+    if isinstance(mode, str):
+        chosen = F.col(MODES[mode])
+    else:
+        chosen = F.coalesce(*[F.when(mode == name, F.col(column)) for name, column in MODES.items()], F.col("similarity"))
+    score = F.when(F.col("ppr_available"), chosen).otherwise(F.col("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc_nulls_last(), "publication_number")
     return results.withColumn("score", score).withColumn("rank", F.row_number().over(order))
 

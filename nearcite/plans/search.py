@@ -35,16 +35,17 @@ class Search:
         queries: DataFrame,
         corpus: DataFrame,
         k: int = 20,
-        max_neighbors: int = 500,
+        max_neighbors: int | None = None,
         damping: float = 0.85,
         similarity_weight: float = 0.6,
         with_graph: bool = True,
         index: IvfIndex | None = None,
         nprobe: int | None = None,
+        exact: bool = True,
     ):
         self.queries, self.corpus, self.k = queries, corpus, k
         self.max_neighbors, self.damping, self.similarity_weight = max_neighbors, damping, similarity_weight
-        self.with_graph, self.index, self.nprobe = with_graph, index, nprobe
+        self.with_graph, self.index, self.nprobe, self.exact = with_graph, index, nprobe, exact
 
     # ids and scores
 
@@ -58,13 +59,13 @@ class Search:
         if self.index is None:
             nearest = knn_join(self.vectors, self.corpus, self.k)
         else:
-            nearest = ivf_topk(self.vectors, self.index, self.k, self.nprobe)
+            nearest = ivf_topk(self.vectors, self.index, self.k, self.nprobe, self.exact)
         return materialize(ranking.number_rows(nearest), spread=("publication_number", "query_id"))
 
     @cached_property
     def expanded_ids(self) -> DataFrame:
-        """``(query_id, publication_number, neighbor_order)`` of the neighbours that the corpus has."""
-        neighbors = expand.citation_neighbors(self.found, self.corpus, self.max_neighbors, max_rows=self.k)
+        """``(query_id, publication_number, first_seen)`` of the neighbours that the corpus has."""
+        neighbors = expand.citation_neighbors(self.found, self.corpus, self.max_neighbors)
         return materialize(expand.fetch_neighbors(neighbors, self.corpus, ["publication_number"]))
 
     @cached_property
@@ -167,11 +168,14 @@ class Search:
     def viz_nodes(self, mode: str = "blended") -> DataFrame:
         return network.viz_nodes(self.query_rows, self.ranked(mode), self.expanded)
 
-    def viz_edges(self, mode: str = "blended") -> DataFrame:
+    def viz_edges(self, mode: str = "blended", caps: dict[str, int] | None = None) -> DataFrame:
         rows = self.found.select("query_id", "publication_number").unionByName(
             self.expanded_ids.select("query_id", "publication_number")
         )
-        return network.viz_edges(ranking.rank_results(self.scored, mode), rows, self.corpus)
+        shown = ranking.rank_results(self.scored, mode).select("query_id", "publication_number", "score")
+        stand_ins = self.found.where(F.col("is_query") & (F.col("publication_number") != F.col("query_id")))
+        stand_ins = stand_ins.select("query_id", "publication_number", F.lit(None).cast("double").alias("score"))
+        return network.viz_edges(shown.unionByName(stand_ins), rows, self.corpus, caps)
 
     def network(self, mode: str = "blended") -> DataFrame:
         """Every node of the view with the number of edges leaving and entering it."""
@@ -204,11 +208,11 @@ class Search:
         return context.query_card(self.query_rows)
 
 
-def second_level_knn(results: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def second_level_knn(results: DataFrame, corpus: DataFrame, k: int, index: IvfIndex | None = None) -> DataFrame:
     """Nearest neighbours of every parent and child of the results.
 
     ``results`` is ``(query_id, publication_number)``. Returns ``(query_id, via_id, publication_number,
-    distance)``. A relative that many results share is searched once.
+    distance)``. A relative that many results share is searched once, through the index where there is one.
     """
     family = F.array_distinct(F.concat(expand.link_ids(corpus, "parent"), expand.link_ids(corpus, "child")))
     relatives = corpus.select("publication_number", family.alias("family"))
@@ -220,5 +224,6 @@ def second_level_knn(results: DataFrame, corpus: DataFrame, k: int) -> DataFrame
         .distinct()
     )
     vectors = materialize(query_vectors(via.select(F.col("via_id").alias("query_id")), corpus))
-    nearest = knn_join(vectors, corpus, k).withColumnRenamed("query_id", "via_id")
+    nearest = knn_join(vectors, corpus, k) if index is None else ivf_topk(vectors, index, k, exact=True)
+    nearest = nearest.withColumnRenamed("query_id", "via_id")
     return via.join(nearest, "via_id").select("query_id", "via_id", "publication_number", "distance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="nearcite-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
@@ -58,7 +59,7 @@ def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     if spread:
         tasks = spark.sparkContext.defaultParallelism
-        if not spark.sparkContext.master.startswith("local"):  # executors may yet be added
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # executors may yet be added
             tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
         df = df.repartition(tasks, *spread)
     df.write.parquet(path)

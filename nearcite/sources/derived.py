@@ -42,15 +42,22 @@ class Derived:
         return self.table(name).select(F.count(F.lit(1)).alias("n")).scalar()
 
     def documents(self) -> DataFrame:
-        """Flat document rows, one per vector."""
+        """Flat document rows, one per vector; all titles and texts are used."""
         vec = F.col("vec_id")
         year, month, day = vec % 25, 1 + vec % 12, 1 + vec % 28
 
         def date(first_year: int) -> Column:
             return ((first_year + year) * 10000 + month * 100 + day).cast("int")
 
-        titles = self.table("part").select(F.col("p_partkey").alias("title_id"), F.col("p_name").alias("title_value"))
-        texts = self.table("documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("abstract_value"))
+        def joined(name: str, key: str, text: str, index: str, value: str) -> tuple[DataFrame, Column]:
+            """Every text of a table under the vector it falls on, several in the order of their keys."""
+            size = F.least(self._count("embeddings"), self._count(name))
+            rows = self.table(name).select((F.col(key) % size).alias(index), F.struct(key, text).alias("item"))
+            parts = F.transform(F.array_sort(F.collect_list("item")), lambda x: x[text])
+            return rows.groupBy(index).agg(F.array_join(parts, " ").alias(value)), vec % size
+
+        titles, title_id = joined("part", "p_partkey", "p_name", "title_id", "title_value")
+        texts, text_id = joined("documents", "doc_id", "text", "text_id", "abstract_value")
         return (
             self.table("embeddings")
             .select(
@@ -63,8 +70,8 @@ class Derived:
                 date(2002).alias("publication_date"),
                 F.when(vec % 10 != 0, date(2004)).alias("grant_date"),
                 F.when(vec % 50 == 7, "EP").otherwise("US").alias("country_code"),
-                (vec % self._count("part")).alias("title_id"),
-                (vec % self._count("documents")).alias("text_id"),
+                title_id.alias("title_id"),
+                text_id.alias("text_id"),
             )
             .join(titles, "title_id", "left")
             .join(texts, "text_id", "left")

@@ -113,7 +113,7 @@ def _numbered(found: str) -> str:
         bool_or(publication_number = query_id) OVER (PARTITION BY query_id) AS has_self FROM {found})"""
 
 
-def _neighbors(cap: int) -> str:
+def _neighbors(cap: int | None) -> str:
     return f"""
     SELECT query_id, publication_number, neighbor_order FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_seen) AS neighbor_order FROM (
@@ -122,7 +122,7 @@ def _neighbors(cap: int) -> str:
         FROM found f JOIN links l USING (publication_number)
         WHERE NOT EXISTS (SELECT 1 FROM found x WHERE x.query_id = f.query_id AND x.publication_number = l.other)
         GROUP BY f.query_id, l.other))
-    WHERE neighbor_order <= {cap}"""
+    WHERE neighbor_order <= {cap or 'neighbor_order'}"""
 
 
 def _power(nodes: str, edges: str, keep: str) -> str:
@@ -150,6 +150,26 @@ def _power_nodes(nodes: str, edges: str) -> str:
     WHERE n.query_id IN (SELECT query_id FROM {edges})"""
 
 
+def _shown_edges(condition: str) -> str:
+    """Edges of the view: similar ones, then links that meet the condition."""
+    return f"""
+    SELECT query_id, query_id AS src, publication_number AS dst, 'similar' AS kind,
+      'Score: ' || trunc({_unit('score')} * 100)::INTEGER || '%' AS title, 1 + {_unit('score')} * 2 AS width,
+      '#105BD8' AS color, 0.4::DOUBLE AS opacity, false AS dashes
+    FROM (SELECT query_id, publication_number, score FROM ranked UNION ALL
+      SELECT query_id, publication_number, NULL FROM found WHERE is_query AND publication_number <> query_id)
+    UNION ALL
+    SELECT a.query_id, CASE WHEN l.rel_no IN (1, 2) THEN l.other ELSE a.publication_number END,
+      CASE WHEN l.rel_no IN (1, 2) THEN a.publication_number ELSE l.other END,
+      {_EDGE_TYPE}, CASE rel_no WHEN 0 THEN 'Cites' WHEN 1 THEN 'Cited by' WHEN 2 THEN 'Parent' ELSE 'Child' END,
+      CASE WHEN rel_no < 2 THEN 1.0 ELSE 1.5 END::DOUBLE,
+      CASE rel_no WHEN 0 THEN '#4773AA' WHEN 1 THEN '#8BA6CA' WHEN 2 THEN '#FF9D1E' ELSE '#DD361C' END,
+      CASE WHEN rel_no < 2 THEN 0.3 ELSE 0.4 END::DOUBLE, rel_no < 2
+    FROM {_MEMBERS} a JOIN links l USING (publication_number)
+    JOIN {_MEMBERS} b ON b.query_id = a.query_id AND b.publication_number = l.other
+    {condition}"""
+
+
 def _counted(rows: str, item: str, limit: str = "") -> str:
     """Top counts per query of ``rows`` (query_id, row_no, pos, item)."""
     return f"""
@@ -178,10 +198,12 @@ TABLES: dict[str, str] = {
       CASE WHEN e.vec_id % 10 <> 0 THEN
         ((2004 + e.vec_id % 25) * 10000 + (1 + e.vec_id % 12) * 100 + 1 + e.vec_id % 28)::INTEGER END AS grant_date,
       CASE WHEN e.vec_id % 50 = 7 THEN 'EP' ELSE 'US' END AS country_code,
-      p.p_name AS title_value, d.text AS abstract_value
+      p.title_value, d.abstract_value
     FROM embeddings e CROSS JOIN n
-    LEFT JOIN part p ON p.p_partkey = e.vec_id % n.n_part
-    LEFT JOIN documents d ON d.doc_id = e.vec_id % n.n_doc""",
+    LEFT JOIN (SELECT p_partkey % least(n_emb, n_part) AS id, string_agg(p_name, ' ' ORDER BY p_partkey) AS title_value
+      FROM part, n GROUP BY 1) p ON p.id = e.vec_id % least(n.n_emb, n.n_part)
+    LEFT JOIN (SELECT doc_id % least(n_emb, n_doc) AS id, string_agg(text, ' ' ORDER BY doc_id) AS abstract_value
+      FROM documents, n GROUP BY 1) d ON d.id = e.vec_id % least(n.n_emb, n.n_doc)""",
     "rel": _rel(""),
     "old_rel": _rel("WHERE o_orderdate < '1999-01-01'"),
     "three": "SELECT 1 AS pos UNION ALL SELECT 2 UNION ALL SELECT 3",
@@ -245,12 +267,12 @@ TABLES: dict[str, str] = {
     "topk100": _nearest("queries", "corpus", "publication_number", _COSINE, 100),
     "found": _numbered("topk"),
     "found100": _numbered("topk100"),
-    "neighbors": _neighbors(500),
+    "neighbors": _neighbors(None),
     "expanded": "SELECT b.* FROM neighbors b JOIN corpus c USING (publication_number)",
     "nodes": """
     SELECT query_id, node, min(row_no) AS row_no, node = query_id AS is_seed FROM (
       SELECT query_id, publication_number AS node, row_no FROM found
-      UNION ALL SELECT query_id, publication_number, 1048576 + neighbor_order FROM expanded
+      UNION ALL SELECT query_id, publication_number, 1048576 + neighbor_order FROM expanded -- after all of at most 100 results
       UNION ALL SELECT DISTINCT query_id, query_id, NULL FROM found)
     GROUP BY query_id, node""",
     "edges": f"""
@@ -319,22 +341,12 @@ TABLES: dict[str, str] = {
         SELECT query_id, publication_number, title_text, primary_assignee, {_unit('score')} AS u, 'result' AS kind,
           '' AS suffix, 'Score' AS score_name, 'dot' AS shape FROM ranked
         UNION ALL
+        SELECT query_id, publication_number, title_text, primary_assignee, 0::DOUBLE, 'result', '', 'Score', 'dot'
+        FROM query_rows WHERE publication_number <> query_id
+        UNION ALL
         SELECT query_id, publication_number, title_text, primary_assignee, {_unit('ppr_score')}, 'expanded',
-          ' (Citation Network)', 'PPR', 'triangle' FROM expanded_rows))""",
-    "shown_edges": f"""
-    SELECT query_id, query_id AS src, publication_number AS dst, 'similar' AS kind,
-      'Score: ' || trunc({_unit('score')} * 100)::INTEGER || '%' AS title, 1 + {_unit('score')} * 2 AS width,
-      '#105BD8' AS color, 0.4::DOUBLE AS opacity, false AS dashes FROM ranked
-    UNION ALL
-    SELECT a.query_id, CASE WHEN l.rel_no IN (1, 2) THEN l.other ELSE a.publication_number END,
-      CASE WHEN l.rel_no IN (1, 2) THEN a.publication_number ELSE l.other END,
-      {_EDGE_TYPE}, CASE rel_no WHEN 0 THEN 'Cites' WHEN 1 THEN 'Cited by' WHEN 2 THEN 'Parent' ELSE 'Child' END,
-      CASE WHEN rel_no < 2 THEN 1.0 ELSE 1.5 END::DOUBLE,
-      CASE rel_no WHEN 0 THEN '#4773AA' WHEN 1 THEN '#8BA6CA' WHEN 2 THEN '#FF9D1E' ELSE '#DD361C' END,
-      CASE WHEN rel_no < 2 THEN 0.3 ELSE 0.4 END::DOUBLE, rel_no < 2
-    FROM {_MEMBERS} a JOIN links l USING (publication_number)
-    JOIN {_MEMBERS} b ON b.query_id = a.query_id AND b.publication_number = l.other
-    WHERE l.other <> a.publication_number AND l.pos <= CASE WHEN l.rel_no < 2 THEN 10 ELSE 5 END""",
+          ' (Citation Network)', 'PPR', 'triangle' FROM expanded_rows WHERE publication_number <> query_id))""",
+    "shown_edges": _shown_edges("WHERE l.other <> a.publication_number"),
     "plain_blocks": f"""
     SELECT query_id, string_agg('Result ' || rank || ': ' || publication_number || chr(10) || 'Title: ' || title_text || chr(10)
       || 'Assignee: ' || coalesce(primary_assignee, 'N/A') || chr(10) || 'Abstract: ' || substr(abstract_text, 1, 500) || chr(10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
@@ -13,12 +14,12 @@ import oracles
 from nearcite.functions import text
 from nearcite.operators import analytics, expand, ivf, merge, network, ranking, status
 from nearcite.operators import context as contexts
-from nearcite.operators.knn import knn_join
+from nearcite.operators.knn import knn_join, knn_join_mixed
 from nearcite.operators.pagerank import minmax_normalize, personalized_pagerank, top_scores
 from nearcite.operators.resolve import cleaned_inputs, resolve_ids
 from nearcite.plans.lifecycle import lifecycle
 from nearcite.plans.search import Search, resolved_queries, second_level_knn
-from nearcite.session import materialize
+from nearcite.session import checkpoint_dir, materialize
 from nearcite.sources import corpus as corpora
 from nearcite.sources.derived import Derived
 
@@ -63,8 +64,9 @@ class Tables:
 
     @cached_property
     def index(self) -> ivf.IvfIndex:
-        built = ivf.fit_ivf(self.corpus)
-        return ivf.IvfIndex(materialize(built.lists), built.centroids, built.centers)
+        path = f"{checkpoint_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        ivf.write_index(ivf.fit_ivf(self.corpus), path)
+        return ivf.read_index(self.spark, path)
 
     def raw_vectors(self) -> tuple[DataFrame, DataFrame]:
         rows = self.source.table("embeddings").select("vec_id", "embedding")
@@ -355,7 +357,18 @@ _VIA = """SELECT DISTINCT f.query_id, l.other AS via_id FROM found f JOIN links
   ) k ON k.query_id = v.via_id""")
 def second_level(t: Tables) -> DataFrame:
     results = ranking.exclude_self(t.search.found)
-    return second_level_knn(results, t.corpus, 5).withColumn("distance", r("distance"))
+    return second_level_knn(results, t.corpus, 5, t.index).withColumn("distance", r("distance"))
+
+
+_NUMBER = "substr(query_id, 4, 7)::INTEGER"
+
+
+@query(f"""SELECT query_id, publication_number, {_r('distance')} AS distance FROM found100
+  WHERE row_no <= 5 + {_NUMBER} % 96""")
+def vector_topk_mixed(t: Tables) -> DataFrame:
+    """Every query asks for a number of neighbours of its own, 5 to 100."""
+    asked = t.search100.vectors.withColumn("top_k", 5 + F.substring("query_id", 4, 7).cast("int") % 96)
+    return knn_join_mixed(asked, t.corpus).withColumn("distance", r("distance"))
 
 
 # Expansion and graph
@@ -363,17 +376,19 @@ def second_level(t: Tables) -> DataFrame:
 
 @query("SELECT query_id, publication_number, neighbor_order::INTEGER AS neighbor_order FROM neighbors")
 def citation_neighbors(t: Tables) -> DataFrame:
-    return expand.citation_neighbors(t.search.found, t.corpus, max_rows=20)
+    neighbors = expand.number_neighbors(expand.citation_neighbors(t.search.found, t.corpus))
+    return neighbors.select("query_id", "publication_number", "neighbor_order")
 
 
 @query(f"SELECT query_id, publication_number, neighbor_order::INTEGER AS neighbor_order FROM ({oracles._neighbors(50)})")
 def citation_neighbors_capped(t: Tables) -> DataFrame:
-    return expand.citation_neighbors(t.search.found, t.corpus, max_neighbors=50, max_rows=20)
+    neighbors = expand.citation_neighbors(t.search.found, t.corpus, max_neighbors=50)
+    return neighbors.select("query_id", "publication_number", "neighbor_order")
 
 
 @query(f"SELECT x.query_id, x.publication_number, {oracles._DISPLAY} FROM expanded x JOIN corpus c USING (publication_number)")
 def fetch_neighbors(t: Tables) -> DataFrame:
-    neighbors = expand.citation_neighbors(t.search.found, t.corpus, max_rows=20)
+    neighbors = expand.citation_neighbors(t.search.found, t.corpus)
     return expand.with_display_text(expand.fetch_neighbors(neighbors, t.corpus)).select(
         "query_id", "publication_number", "title_text", "abstract_text", "primary_assignee", "primary_inventor",
         "filed", "published", "granted",
@@ -474,6 +489,14 @@ def rank_graph(t: Tables) -> DataFrame:
     return _rank(t, "graph")
 
 
+@query(" UNION ALL ".join(f"{_rank_sql(table)} WHERE {_NUMBER} % 3 = {i}" for i, table in enumerate(("ranked", "ranked_similarity", "ranked_graph"))))
+def rank_mixed(t: Tables) -> DataFrame:
+    """Every query is ranked in a mode of its own."""
+    modes = F.array(F.lit("blended"), F.lit("similarity"), F.lit("graph"))
+    mode = F.get(modes, F.substring("query_id", 4, 7).cast("int") % 3)
+    return ranking.rank_results(t.search.scored, mode).select("query_id", "rank", "publication_number", r("score").alias("score"))
+
+
 def _table_sql(table: str, ppr: bool = True) -> str:
     scores = ", ".join(f"{_r(c) if ppr else 'NULL::DOUBLE'} AS {c}" for c in ("ppr_pct", "blended_pct"))
     return f"""SELECT query_id, rank::INTEGER AS rank, publication_number, title_text, primary_assignee, primary_inventor, filed,
@@ -601,6 +624,12 @@ def viz_edges(t: Tables) -> DataFrame:
     return t.search.viz_edges().withColumn("width", r("width"))
 
 
+@query(f"""SELECT query_id, src, dst, kind, title, {_r('width')} AS width, color, opacity, dashes
+  FROM ({oracles._shown_edges("WHERE l.other <> a.publication_number AND l.pos <= CASE WHEN l.rel_no < 2 THEN 10 ELSE 5 END")})""")
+def viz_edges_capped(t: Tables) -> DataFrame:
+    return t.search.viz_edges(caps=network.LINK_CAPS).withColumn("width", r("width"))
+
+
 @query("SELECT query_id, node FROM shown_nodes WHERE shape = 'triangle' AND true")
 def node_filter(t: Tables) -> DataFrame:
     return network.filter_nodes(t.search.viz_nodes(), "shape", ["triangle"])
@@ -793,8 +822,9 @@ def refresh_status(t: Tables) -> DataFrame:
 
 @query(_table_sql("ranked"))
 def search_e2e(t: Tables) -> DataFrame:
+    """Through the stored index, with the exact second pass."""
     queries = materialize(resolved_queries(t.source.inputs(), t.corpus))
-    return _rounded_table(Search(queries, t.corpus).result_table())
+    return _rounded_table(Search(queries, t.corpus, index=t.index).result_table())
 
 
 @query(_table_sql("ranked_similarity", ppr=False))

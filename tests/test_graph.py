@@ -31,28 +31,26 @@ def small(spark, make_corpus):
 
 def test_neighbors_in_reading_order(small):
     corpus, rows = small
-    got = expand.citation_neighbors(rows, corpus, max_rows=3)
+    got = expand.number_neighbors(expand.citation_neighbors(rows, corpus))
     assert as_set(got, "query_id", "publication_number", "neighbor_order") == {
         ("q", "c", 1), ("q", "x", 2), ("q", "d", 3), ("z", "a", 1),
     }
-    capped = expand.citation_neighbors(rows, corpus, max_neighbors=2, max_rows=3)
+    capped = expand.citation_neighbors(rows, corpus, max_neighbors=2)
     assert as_set(capped, "query_id", "publication_number") == {("q", "c"), ("q", "x"), ("z", "a")}
-    own = expand.citation_neighbors(rows.join(corpus, "publication_number"), max_neighbors=None)
+    own = expand.number_neighbors(expand.citation_neighbors(rows.join(corpus, "publication_number")))
     assert as_set(own, "query_id", "publication_number", "neighbor_order") == as_set(got, "query_id", "publication_number", "neighbor_order")
     assert as_set(expand.fetch_neighbors(got, corpus), "query_id", "publication_number") == {("q", "c"), ("q", "d"), ("z", "a")}
 
 
-def test_cut_inside_rows_is_exact(spark, make_corpus):
-    """The early cut by max_rows never changes the capped result."""
-    ids = [f"n{i:02d}" for i in range(40)]
-    corpus = make_corpus(
-        [((i,), {c: list(RNG.choice(ids, 12)) for c in ("citation", "cited_by", "parent", "child")}) for i in ids]
-    )
-    rows = found(spark, [(q, p, n + 1) for q in ids[:10] for n, p in enumerate(RNG.choice(ids, 5, replace=False))])
+def test_caps_keep_the_first_and_default_to_none(spark, make_corpus):
+    ids = [f"n{i:03d}" for i in range(700)]
+    corpus = make_corpus([((i,), {"citation": ids if i == "n000" else []}) for i in ids])
+    rows = found(spark, [("q", "n000", 1)])
+    whole = expand.citation_neighbors(rows, corpus)
+    assert whole.count() == 699
     for cap in (1, 4, 9):
-        cut = expand.citation_neighbors(rows, corpus, cap, max_rows=5)
-        whole = expand.citation_neighbors(rows, corpus, cap)
-        assert as_set(cut, *cut.columns) == as_set(whole, *whole.columns)
+        capped = expand.citation_neighbors(rows, corpus, cap)
+        assert as_set(capped, "publication_number") == {(i,) for i in ids[1 : cap + 1]}
 
 
 def test_edges_keep_the_last_write(small, spark):
@@ -69,7 +67,7 @@ def test_edges_keep_the_last_write(small, spark):
     assert (size["n_nodes"], size["n_edges"]) == (5, 7)
 
 
-def test_heavy_rows_give_the_same_edges(spark, make_corpus, monkeypatch):
+def test_pieces_of_rows_give_the_same_edges(spark, make_corpus, monkeypatch):
     ids = [f"n{i:02d}" for i in range(25)]
     links = {i: {c: list(RNG.choice(ids, 9)) for c in ("citation", "cited_by", "parent", "child")} for i in ids}
     links["n03"]["cited_by"] = ids * 20
@@ -78,10 +76,20 @@ def test_heavy_rows_give_the_same_edges(spark, make_corpus, monkeypatch):
         [(q, n, int(k), n == q) for q in ids[:6] for k, n in enumerate({q, "n03", *RNG.choice(ids, 8, replace=False)})],
         "query_id string, node string, row_no bigint, is_seed boolean",
     )
-    light = as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type")
-    for bound in (40, 0):
-        monkeypatch.setattr(expand, "HEAVY_ROW", bound)
-        assert as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type") == light
+    whole = as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type")
+    for size in (40, 7):
+        monkeypatch.setattr(expand, "CHUNK", size)
+        assert as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type") == whole
+
+
+def test_a_row_of_many_links_in_a_graph_of_the_whole_corpus(spark, make_corpus):
+    ids = [f"n{i:04d}" for i in range(300)]
+    corpus = make_corpus([((i,), {"citation": ids * 9 if i == "n0000" else ["n0000"]}) for i in ids])
+    nodes = spark.createDataFrame([("all", i, 1, i == "n0000") for i in ids], "query_id string, node string, row_no bigint, is_seed boolean")
+    edges = expand.graph_edges(nodes, corpus)
+    assert edges.count() == 2 * 299
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "(query_id = query_id)" not in plan
 
 
 def power(nodes, edges, seed, alpha=0.85, max_iter=100, tol=1e-6):
@@ -171,8 +179,24 @@ def test_view_edges_keep_repeats_and_caps(spark, make_corpus):
     corpus = make_corpus([(("q",), {"citation": ["m11", "m11"] + many, "parent": ["m1"]}), *[((m,), {}) for m in many]])
     rows = spark.createDataFrame([("q", p) for p in ["q", *many]], "query_id string, publication_number string")
     results = spark.createDataFrame([("q", "m1", 0.29)], "query_id string, publication_number string, score double")
-    got = [tuple(r) for r in network.viz_edges(results, rows, corpus).select("src", "dst", "kind", "title", "width").collect()]
+    whole = [tuple(r) for r in network.viz_edges(results, rows, corpus).select("src", "dst").collect()]
+    assert whole.count(("q", "m11")) == 3 and ("q", "m8") in whole
+    got = [tuple(r) for r in network.viz_edges(results, rows, corpus, network.LINK_CAPS).select("src", "dst", "kind", "title", "width").collect()]
     assert got.count(("q", "m11", "cites", "Cites", 1.0)) == 2
     assert ("q", "m8", "cites", "Cites", 1.0) not in got and ("q", "m7", "cites", "Cites", 1.0) in got
     assert ("m1", "q", "parent", "Parent", 1.5) in got
     assert ("q", "m1", "similar", "Score: 28%", 1.58) in got
+
+
+def test_query_missing_from_its_own_list(spark, make_corpus):
+    """Equal vectors push the query out; its stand-in is drawn, the query once, and every edge ends in a node."""
+    from nearcite.plans.search import Search
+
+    ids = [f"p{i}" for i in range(8)]
+    corpus = make_corpus([((i, [1.0, 0.0]), {"citation": ["p1", "p7"]}) for i in ids])
+    search = Search(spark.createDataFrame([("p7",)], "query_id string"), corpus, k=3)
+    nodes = [(r["node"], r["kind"]) for r in search.viz_nodes().collect()]
+    edges = as_set(search.viz_edges(), "src", "dst", "kind", "title")
+    assert sorted(nodes) == [("p0", "result"), ("p1", "result"), ("p2", "result"), ("p7", "query")]
+    assert ("p7", "p0", "similar", "Score: 0%") in edges
+    assert {n for e in edges for n in e[:2]} <= {n for n, _ in nodes}
