@@ -31,6 +31,7 @@ CPC_LABELS = {
     "Y": "Emerging Tech",
 }
 
+# Fixed value: the pattern of a formatted id.
 FORMATTED_ID = r"^[A-Z]{2}-[0-9]+-[A-Z][0-9]$"
 
 

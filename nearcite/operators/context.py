@@ -20,33 +20,28 @@ CITATIONS_HEADING = "\nCitation relationships between results:\n"
 SHARED_HEADING = "\nShared assignees:\n"
 IMPORTANT_HEADING = "\nStructurally important patents discovered via citation network:\n"
 
-PLAIN_TEMPLATE = """You advise a technology transfer team.
-
-The query document is {query_id}.
+PLAIN_TEMPLATE = """Starting document: {query_id}
 Title: {title}
 Abstract: {abstract}
 
-Its closest documents by text similarity:
+Documents nearest to it by their vectors:
 
 {results}
 
-In a few plain paragraphs, name the technical field, the organisations and people active in it, any
-pattern across the documents, and who could be approached for licensing or joint work."""
-
-GRAPH_TEMPLATE = """You advise a technology transfer team.
+Describe in simple sentences what these documents deal with, who owns them, and where they differ from
+the starting document. Say so where the texts above do not tell."""
 
-The query document is {query_id}.
+GRAPH_TEMPLATE = """Starting document: {query_id}
 Title: {title}
 Abstract: {abstract}
 
-The documents below are ordered by a blend of text similarity and importance in the citation graph
-around the query. A high PPR value marks a document that many of the others cite or build on.
+Documents near it. Each has a similarity of vectors and a rank value (PPR) from the links around the
+starting document; their order weighs both.
 
 {results}
 
-Write four short sections: the technology and how it developed, the main players and their holdings,
-the structure of the citation network with its hubs, and concrete licensing or collaboration options.
-Back each recommendation with a document number or an organisation."""
+Explain which of these documents the links make central and what joins them to the starting document.
+Then list what they have in common, with the number of a document behind every statement."""
 
 
 def _lines(rows: DataFrame, order: str, name: str, separator: str = "\n") -> DataFrame:

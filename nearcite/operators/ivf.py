@@ -55,6 +55,13 @@ def fit_ivf(corpus: DataFrame, num_lists: int | None = None, seed: int = 42, max
     return IvfIndex(lists, materialize(_centroid_table(lists, centers)), centers)
 
 
+def index_from_centers(corpus: DataFrame, centers: np.ndarray) -> IvfIndex:
+    """An index over given centroids, list numbers in their order, without any clustering."""
+    centers = centers / np.sqrt((centers**2).sum(axis=1))[:, None]
+    lists = materialize(_assign(with_vector(corpus, "publication_number", "embedding_v1"), centers))
+    return IvfIndex(lists, materialize(_centroid_table(lists, centers)), centers)
+
+
 def assign_lists(corpus: DataFrame, index: IvfIndex) -> DataFrame:
     """Lists for new or changed rows, without a rebuild: ``(publication_number, vec, list_id, angle)``.
 

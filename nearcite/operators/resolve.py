@@ -58,15 +58,21 @@ def cleaned_inputs(inputs: DataFrame, *, raw: str = "raw") -> DataFrame:
 
 def _matches(wanted: DataFrame, corpus: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     looked_up = wanted.select("_cleaned", F.inline(_wanted_keys(F.col("_cleaned"), steps)))
-    offered = corpus.select(
-        "publication_number", F.explode(_offered_keys(steps)).alias("key")
-    )
+    # The best row of a key does not depend on who asks, so each key keeps one before the join. A digit
+    # that begins most ids is then one row rather than most of the corpus.
+    offered = (
+        corpus.select("publication_number", F.explode(_offered_keys(steps)).alias("key"))
+        .groupBy("key")
+        .agg(F.min(F.struct(F.length("publication_number").alias("size"), "publication_number")).alias("of_prefix"),
+             F.min("publication_number").alias("of_key"))
+    )
+    is_prefix = F.col("step") == STEPS.index("prefix")
     best = F.min(
         F.struct(
             "step",
             "preference",
-            F.when(F.col("step") == STEPS.index("prefix"), F.length("publication_number")).otherwise(0).alias("size"),
-            "publication_number",
+            F.when(is_prefix, F.col("of_prefix.size")).otherwise(0).alias("size"),
+            F.when(is_prefix, F.col("of_prefix.publication_number")).otherwise(F.col("of_key")).alias("publication_number"),
         )
     )
     return (

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Bounds in days.
 COOLDOWN_DAYS, AGING_DAYS, STALE_DAYS = 7, 60, 90
 IN_FLIGHT = ("PENDING", "RUNNING")
 

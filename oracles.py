@@ -380,6 +380,15 @@ TABLES: dict[str, str] = {
     UNION ALL
     SELECT query_id, false, context FROM plain_blocks
     WHERE query_id NOT IN (SELECT query_id FROM scores)""",
+    "given_centers": """
+    SELECT row_number() OVER (ORDER BY label) - 1 AS list_id, center FROM (
+      SELECT label, list(m ORDER BY d) AS center FROM (
+        SELECT label, d, avg(x) AS m FROM (
+          SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d)
+      GROUP BY label)""",
+    "given_lists": """
+    SELECT publication_number, arg_max(list_id, list_cosine_similarity(vec, center)) AS list_id
+    FROM corpus, given_centers GROUP BY publication_number""",
     "snapshot": "SELECT * FROM named WHERE publication_date < 20150101",
     "corpus_edges": """
     SELECT DISTINCT 'corpus' AS query_id, CASE WHEN l.rel_no IN (1, 2) THEN l.other ELSE l.publication_number END AS src,

@@ -68,6 +68,14 @@ class Tables:
         ivf.write_index(ivf.fit_ivf(self.corpus), path)
         return ivf.read_index(self.spark, path)
 
+    @cached_property
+    def given_index(self) -> ivf.IvfIndex:
+        """An index whose centroids are the mean vectors of the labels, in their order."""
+        values = self.source.table("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "x"))
+        means = values.groupBy("label", "at").agg(F.avg("x").alias("m")).orderBy("label", "at").toPandas()  # labels x 64
+        centers = means["m"].to_numpy().reshape(means["label"].nunique(), -1)
+        return ivf.index_from_centers(self.corpus, centers)
+
     def raw_vectors(self) -> tuple[DataFrame, DataFrame]:
         rows = self.source.table("embeddings").select("vec_id", "embedding")
         return rows.withColumnRenamed("vec_id", "query_id"), rows
@@ -330,17 +338,24 @@ def ivf_exact(t: Tables) -> DataFrame:
     return ivf.ivf_topk(t.search.vectors, t.index, 20, exact=True).withColumn("distance", r("distance"))
 
 
-@query()
+_PROBED = f"""SELECT query_id, publication_number, {_r('distance')} AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, publication_number) AS rn FROM (
+    SELECT q.query_id, c.publication_number, {oracles._COSINE} AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vec, center) DESC, list_id) AS place
+      FROM queries, given_centers) q
+    JOIN given_lists l USING (list_id) JOIN corpus c ON c.publication_number = l.publication_number WHERE q.place <= 2))
+  WHERE rn <= 20"""
+
+
+@query(_PROBED)
 def ivf_probe(t: Tables) -> DataFrame:
-    """Approximate: the default number of lists per query."""
-    return ivf.ivf_topk(t.search.vectors, t.index, 20).withColumn("distance", r("distance"))
+    """Approximate: two lists per query, of an index over centroids that SQL can compute as well."""
+    return ivf.ivf_topk(t.search.vectors, t.given_index, 20, nprobe=2).withColumn("distance", r("distance"))
 
 
-@query("SELECT publication_number, true AS listed FROM snapshot")
+@query("SELECT publication_number, list_id::INTEGER AS list_id FROM given_lists")
 def ivf_assign(t: Tables) -> DataFrame:
-    """Lists for rows that the index was not built from; which list it is depends on the clustering."""
-    lists = ivf.assign_lists(t.snapshot, t.index)
-    return lists.select("publication_number", F.col("list_id").between(0, len(t.index.centers) - 1).alias("listed"))
+    return ivf.assign_lists(t.corpus, t.given_index).select("publication_number", "list_id")
 
 
 @query("SELECT count(*) AS rows, count(*) AS indexed, 100e0 AS coverage_pct FROM corpus")
