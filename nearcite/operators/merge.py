@@ -32,12 +32,11 @@ def merge(
 
 
 def _one_row_per_key(source: DataFrame, key: str) -> DataFrame:
-    """``(key, row)``, failing the job when a key occurs twice. The join reuses this partitioning."""
-    counted = source.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.struct(*source.columns)).alias("row")
-    )
+    """``(key, row)``, failing the job when a key occurs twice. Only keys are counted; rows join their count."""
+    counted = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = source.select(key, F.struct(*source.columns).alias("row")).join(counted, key)
     repeated = F.raise_error(F.concat(F.lit("several source rows for key "), F.col(key)))
-    return counted.select(key, F.when(F.col("n") == 1, F.col("row")).otherwise(repeated).alias("row"))
+    return rows.select(key, F.when(F.col("_n") == 1, F.col("row")).otherwise(repeated).alias("row"))
 
 
 def merge_dup_check(source: DataFrame, key: str = "publication_number") -> DataFrame:

@@ -19,9 +19,12 @@ from nearcite.operators.pagerank import minmax_normalize, personalized_pagerank,
 from nearcite.operators.resolve import cleaned_inputs, resolve_ids
 from nearcite.plans.lifecycle import lifecycle
 from nearcite.plans.search import Search, resolved_queries, second_level_knn
+from nearcite.schema import CORPUS
 from nearcite.session import checkpoint_dir, materialize
 from nearcite.sources import corpus as corpora
+from nearcite.sources import sinks
 from nearcite.sources.derived import Derived
+from nearcite.streaming import refresh
 
 NOW = datetime(2024, 2, 10)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -781,11 +784,14 @@ def _merged_list(rel: str) -> str:
     return f"CASE WHEN s.publication_number IS NOT NULL THEN {new} ELSE {old} END AS {rel}"
 
 
-@query(f"""SELECT d.publication_number, d.filing_date, d.title_value AS title, d.primary_assignee,
+_UPSERTED = f"""SELECT d.publication_number, d.filing_date, d.title_value AS title, d.primary_assignee,
   {', '.join(_merged_list(rel) for rel in ('cited_by', 'citation', 'parent', 'child'))}
   FROM named d LEFT JOIN corpus s ON s.publication_number = d.publication_number
   LEFT JOIN snapshot o ON o.publication_number = d.publication_number
-  WHERE s.publication_number IS NOT NULL OR o.publication_number IS NOT NULL""")
+  WHERE s.publication_number IS NOT NULL OR o.publication_number IS NOT NULL"""
+
+
+@query(_UPSERTED)
 def merge_upsert(t: Tables) -> DataFrame:
     return merge.merge(t.snapshot, t.corpus).select(
         "publication_number", "filing_date", F.col("title.value").alias("title"), "primary_assignee",
@@ -793,6 +799,20 @@ def merge_upsert(t: Tables) -> DataFrame:
     )
 
 
+@query(_UPSERTED)
+def stream_merge(t: Tables) -> DataFrame:
+    """The corpus arrives as a file and is merged into the snapshot by the stream; read back."""
+    folder = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    names = CORPUS.fieldNames()
+    refresh.publish(t.snapshot.select(names), f"{folder}/versions", 0)
+    t.corpus.select(names).write.parquet(f"{folder}/in")
+    refresh.stream_merge(t.spark, f"{folder}/in", f"{folder}/versions", f"{folder}/state").awaitTermination(600)
+    return refresh.read_latest(t.spark, f"{folder}/versions").select(
+        "publication_number", "filing_date", F.col("title.value").alias("title"), "primary_assignee",
+        *[joined(c, "publication_number") for c in ("cited_by", "citation", "parent", "child")],
+    )
+
+
 @query("""SELECT CASE WHEN o.publication_number IS NULL THEN 'inserted' WHEN s.publication_number IS NULL THEN 'untouched'
   ELSE 'updated' END AS action, count(*) AS n FROM snapshot o FULL JOIN corpus s USING (publication_number) GROUP BY 1""")
 def merge_stats(t: Tables) -> DataFrame:
@@ -832,6 +852,62 @@ def refresh_status(t: Tables) -> DataFrame:
     )
 
 
+# Sinks, copies and exports: written to the shared folder and read back
+
+
+def _new_path(t: Tables, name: str) -> str:
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""SELECT * REPLACE (nullif(title_text, '') AS title_text, nullif(primary_assignee, '') AS primary_assignee,
+  nullif(primary_inventor, '') AS primary_inventor) FROM ({_table_sql("ranked")})""")
+def csv_sink(t: Tables) -> DataFrame:
+    """Empty texts come back as nulls."""
+    table, path = _rounded_table(t.search.result_table()), _new_path(t, "csv")
+    sinks.write_csv(table, path)
+    return t.spark.read.schema(table.schema).csv(path, header=True, escape='"', multiLine=True)
+
+
+@query("SELECT query_id, context FROM contexts")
+def text_sink(t: Tables) -> DataFrame:
+    texts, path = t.search.context().select("query_id", "context"), _new_path(t, "texts")
+    sinks.write_text(texts, path)
+    return t.spark.read.schema(texts.schema).json(path)
+
+
+@query("SELECT query_id, node AS src, NULL::VARCHAR AS dst, NULL::VARCHAR AS edge_type FROM nodes "
+       "UNION ALL SELECT query_id, src, dst, edge_type FROM edges")
+def graph_sink(t: Tables) -> DataFrame:
+    path = _new_path(t, "graph")
+    sinks.write_graph(t.search.nodes.select("query_id", "node"), t.search.edges, path)
+    nodes, edges = (t.spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges"))
+    none = F.lit(None).cast("string")
+    return nodes.select("query_id", F.col("node").alias("src"), none.alias("dst"), none.alias("edge_type")).unionByName(edges)
+
+
+_STORED = f"SELECT publication_number, filing_date, title_value AS title, {oracles._r('list_sum(vec)')} AS vector_sum FROM corpus"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    total = F.aggregate("embedding_v1", F.lit(0.0), lambda a, x: a + x)
+    return df.select("publication_number", "filing_date", F.col("title.value").alias("title"), r(total).alias("vector_sum"))
+
+
+@query(_STORED)
+def table_copy(t: Tables) -> DataFrame:
+    first, second = _new_path(t, "corpus"), _new_path(t, "copy")
+    corpora.write_corpus(t.corpus, first)
+    corpora.copy_corpus(t.spark, first, second)
+    return _stored(t.spark.read.parquet(second))
+
+
+@query(_STORED)
+def table_export(t: Tables) -> DataFrame:
+    path = _new_path(t, "export")
+    sinks.export_table(t.corpus, path)
+    return _stored(t.spark.read.parquet(path))
+
+
 # Whole pipelines: each starts from the stored corpus and the raw inputs
 
 

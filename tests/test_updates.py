@@ -93,17 +93,17 @@ def test_sinks(spark, tmp_path):
         [("q", 2, "b", None), ("q", 1, "a", 'say "hi", twice'), ("z", 1, "c", "two\nlines")],
         "query_id string, rank int, publication_number string, title_text string",
     )
-    sinks.write_csv(table, str(tmp_path / "csv"))
+    sinks.write_csv(table, str(tmp_path / "csv"), per_query=True)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv"))
     assert as_set(back, "query_id", "rank", "publication_number", "title_text") == {
         ("q", "2", "b", None), ("q", "1", "a", 'say "hi", twice'), ("z", "1", "c", "two\nlines"),
     }
     context = spark.createDataFrame([("q", "one\ntwo"), ("z", "three")], "query_id string, context string")
-    sinks.write_text(context, str(tmp_path / "text"))
+    sinks.write_text(context, str(tmp_path / "text"), per_query=True)
     texts = spark.read.text(str(tmp_path / "text"), wholetext=True)
     assert as_set(texts, "query_id", "value") == {("q", "one\ntwo\n"), ("z", "three\n")}
     for kind in ("parquet", "json"):
-        sinks.write_graph(table, context, str(tmp_path / kind), kind)
+        sinks.write_graph(table, context, str(tmp_path / kind), kind, per_query=True)
         assert spark.read.format(kind).load(str(tmp_path / kind / "nodes")).count() == 3
         assert spark.read.format(kind).load(str(tmp_path / kind / "edges")).count() == 2
 
