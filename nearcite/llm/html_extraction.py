@@ -111,15 +111,6 @@ def _close(stack: list[Node], name: str, barrier: set[str]) -> None:
             return
 
 
-def _find(node: Node, names: tuple[str, ...]) -> list[Node]:
-    """Outermost elements of these names, in page order."""
-    found = []
-    for part in node.parts:
-        if isinstance(part, Node):
-            found += [part] if part.name in names else _find(part, names)
-    return found
-
-
 def main_part(root: Node) -> list[Node]:
     """The outermost article elements, or else main, or else the whole page without its sides."""
     for names in (("article",), ("main",)):
@@ -129,7 +120,7 @@ def main_part(root: Node) -> list[Node]:
 
 
 def _find_open(node: Node, names: tuple[str, ...]) -> list[Node]:
-    """As _find, but not inside elements at the side."""
+    """Outermost elements of these names that are in no element at the side, in page order."""
     found = []
     for part in node.parts:
         if isinstance(part, Node) and not part.aside:

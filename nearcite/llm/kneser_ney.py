@@ -23,7 +23,7 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Pairs or words that a task holds before it hands them on, and those that a shard has about.
 HELD = 4_000_000
 PER_SHARD = 2_000_000
-KINDS = {"key": np.uint64, "count": np.uint32, "total": np.uint64, "weight": np.float64, "prior": np.float64}
+KINDS = {"key": np.uint64, "count": np.uint32, "total": np.uint64, "weight": np.float64}
 
 
 # --- arrays in the shared folder -------------------------------------------------------------------------

@@ -111,6 +111,33 @@ def _cut(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[in
         yield begin, high
 
 
+def _crowded(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+    """All regions of more than BLOCK sorted rows, at every depth."""
+    if high - low <= BLOCK:
+        return
+    yield low, high
+    if depth < DEPTH:
+        bounds = [low, *(np.flatnonzero(keys[low + 1 : high, depth] != keys[low : high - 1, depth]) + low + 1).tolist(), high]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield from _crowded(keys, a, b, depth + 1)
+
+
+def _spokes(rows: pa.Table, low: int, high: int, similarity: float, margin: float) -> tuple[int, np.ndarray]:
+    """The row most like what most rows of a region have, and those that may link to it.
+
+    Copies that were edited apart from each other are alike only through what they were copied from; in a
+    region of many blocks most would not share one with it.
+    """
+    part = rows.slice(low, high - low)
+    sig = np.frombuffer(b"".join(part["_low"].to_pylist()), np.uint8).reshape(high - low, -1)
+    usual = np.array([np.bincount(column, minlength=256).argmax() for column in sig.T], np.uint8)
+    hub = int((sig == usual).sum(axis=1).argmax())
+    size = part["_n"].to_numpy().astype(np.float64)
+    label = part["_root"].to_pylist()
+    near = ((sig == sig[hub]).mean(axis=1) >= margin) & (np.minimum(size, size[hub]) >= similarity * np.maximum(size, size[hub]) - 1e-9)
+    return low + hub, np.array([low + i for i in np.flatnonzero(near).tolist() if label[i] != label[hub]], np.int64)
+
+
 def _pairs_of(block: pa.RecordBatch, forest: bool, similarity: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a block whose signatures agree enough, sizes allow it and components differ.
 
@@ -154,7 +181,18 @@ def _candidates(forest: bool, similarity: float, margin: float):
             keys = np.frombuffer(b"".join(rows["_order"].to_pylist()), ">u4").reshape(rows.num_rows, DEPTH)
             top = np.column_stack([rows["_t"].to_numpy().astype(np.uint32), keys[:, :ROOT]])
             edges = np.flatnonzero((top[1:] != top[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows], strict=True):
+            regions = list(zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows], strict=True))
+            spokes = set()
+            for a, b in regions:
+                for low, high in _crowded(keys, a, b, ROOT):
+                    hub, near = _spokes(rows, low, high, similarity, margin)
+                    spokes |= {(min(hub, i), max(hub, i)) for i in near.tolist()}
+            if spokes:
+                c = rows["_c"].to_pylist()
+                ends = {(min(c[i], c[j]), max(c[i], c[j])) for i, j in spokes}
+                a_, b_ = zip(*sorted(ends), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], schema=schema)
+            for a, b in regions:
                 for low, high in _cut(keys, a, b, ROOT):
                     if high - low > 1:
                         block = rows.slice(low, high - low).combine_chunks().to_batches()[0]
@@ -231,8 +269,9 @@ def near_duplicates(
     Texts of equal sets are one class, found by 128-bit hashes of the sets; links are sought between classes.
     Every class stands in 16 sorted orders of its MinHash values. Classes that share the first two values of
     an order are candidates; regions of more than 128 go deeper until they fit, and what is left over shares
-    a block with its neighbours in that order. First a spanning forest of candidates in a few orders is confirmed on
-    the full sets, then every candidate pair of all orders that still lies in two components.
+    a block with its neighbours in that order. In a region of more, all are compared to its most usual row
+    as well. First a spanning forest of candidates in half the orders is confirmed on the full sets, then
+    every candidate pair of all orders that still lies in two components.
 
     Null and empty texts have an empty set, link with nothing and are their own component. Rows of equal id
     count as one document. Null ids: smallest of the others; null if there is none. An empty table gives no
@@ -248,7 +287,7 @@ def near_duplicates(
     company = stored(_with_company(stored(classes, "classes")), "company").withColumn("_root", F.col("_c"))
     links, tried = None, None
     sets = None
-    for forest, trees in ((True, 4), (False, TREES)):
+    for forest, trees in ((True, TREES // 2), (False, TREES)):
         proposed = _proposed(company, trees, forest, similarity, margin)
         if tried is not None:
             proposed = proposed.join(tried, ["_a", "_b"], "left_anti")

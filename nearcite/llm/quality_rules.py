@@ -126,5 +126,5 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     slim = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality(slim).select(
-        F.col("_row.doc_id"), *[F.col(f"_m.{n}") for n in names], "base_failed", "kept", "rejected_by"
+        F.col("_row.doc_id"), *[F.col(f"_m.{n}") for n in names], "base_failed", "kept"
     )

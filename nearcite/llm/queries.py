@@ -15,6 +15,7 @@ from nearcite.llm import (
     piece_coding,
     quality_classifier,
     quality_rules,
+    sql,
 )
 from nearcite.llm.common import documents
 
@@ -66,5 +67,11 @@ QUERIES = {
         op7_decontamination, op8_piece_coding, op9_quality_classifier, op10_license_scan,
     )
 }
-#: The methods need signatures, models, samples or trees: tests/llm holds every query against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The other methods rest on models, pieces or trees: tests/llm holds them against plain Python.
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": sql.NEAR_DEDUP,
+    "op3_quality_rules": sql.QUALITY_RULES,
+    "op5_line_dedup": sql.LINE_DEDUP,
+    "op7_decontamination": sql.DECONTAMINATION,
+    "op10_license_scan": sql.LICENSE_SCAN,
+}
