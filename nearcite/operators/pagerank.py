@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearcite.session import materialize
+from nearcite.session import Turns, materialize
 
 GROUPED_EDGES = 500_000  # a larger graph (or one with as many nodes) is solved iteratively
 EDGES_PER_SALT = 100_000  # edges of one source that stay in one partition
@@ -125,7 +125,8 @@ def _iterative(
     per_query = nodes.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.max(F.when(F.col("is_seed"), F.col("node"))).alias("seed")
     )
-    state = materialize(
+    turns = Turns(nodes.sparkSession)
+    state = turns.next(
         nodes.select("query_id", "node", "is_seed")
         .join(degrees, ["query_id", "node"], "left")
         .join(per_query, "query_id")
@@ -185,7 +186,7 @@ def _iterative(
             )
             .drop("part")
         )
-        stepped = materialize(stepped)
+        stepped = turns.next(stepped)
         done = (
             stepped.groupBy("query_id", "n_nodes")
             .agg(F.sum(F.abs(F.col("rank") - F.col("last"))).alias("change"))
@@ -195,11 +196,13 @@ def _iterative(
         last_step = step + 1 == max_iter
         if last_step and not require_convergence:
             settled, state = stepped, stepped.limit(0)
+            turns.keep()
         elif done.isEmpty():
             settled, state = None, stepped
         else:
             settled = stepped.join(done, "query_id", "left_semi")
-            state = materialize(stepped.join(done, "query_id", "left_anti"))
+            turns.keep()
+            state = turns.next(stepped.join(done, "query_id", "left_anti"))
         if settled is not None:
             part = settled.select("query_id", "node", F.col("rank").alias("ppr_raw"))
             finished = part if finished is None else finished.unionByName(part)

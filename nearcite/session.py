@@ -62,19 +62,48 @@ def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # executors may yet be added
             tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
         df = df.repartition(tasks, *spread)
+    return _store(df, path)
+
+
+def _store(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Turns:
+    """Tables of an iteration: each is written, and the one before it deleted unless it is to be kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.last = spark, None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/turn-{uuid.uuid4().hex}"
+        stored = _store(df, path)
+        if self.last is not None:
+            _delete(self.spark, self.last)
+            _WRITTEN[self.spark.sparkContext.applicationId].remove(self.last)
+        self.last = path
+        return stored
+
+    def keep(self) -> None:
+        """The newest table is still read by a result."""
+        self.last = None
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the tables this application has written with ``materialize``; returns how many.
 
     DataFrames that read them, such as those of a ``Search``, must not be used any more.
     """
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    paths = _WRITTEN.pop(context.applicationId, [])
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        table = jvm.org.apache.hadoop.fs.Path(path)
-        table.getFileSystem(context._jsc.hadoopConfiguration()).delete(table, True)
+        _delete(spark, path)
     return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    table = context._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(context._jsc.hadoopConfiguration()).delete(table, True)
