@@ -33,3 +33,13 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_turns_delete_the_table_before(spark):
+    turns = session.Turns(spark)
+    first = turns.next(spark.range(5))
+    folder = os.path.dirname(first.inputFiles()[0].removeprefix("file://"))
+    kept = turns.next(first.where("id > 1"))
+    assert not os.path.exists(folder)
+    turns.keep()
+    assert turns.next(kept.where("id > 2")).count() == 2 and kept.count() == 3
