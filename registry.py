@@ -36,6 +36,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.source = spark, Derived(spark, folder)
+        self.max_neighbors: int | None = None  # no cap, unless a caller sets one
 
     @cached_property
     def base(self) -> DataFrame:
@@ -59,7 +60,7 @@ class Tables:
 
     @cached_property
     def search(self) -> Search:
-        return Search(self.queries, self.corpus)
+        return Search(self.queries, self.corpus, max_neighbors=self.max_neighbors)
 
     @cached_property
     def search100(self) -> Search:
@@ -915,7 +916,7 @@ def table_export(t: Tables) -> DataFrame:
 def search_e2e(t: Tables) -> DataFrame:
     """Through the stored index, with the exact second pass."""
     queries = materialize(resolved_queries(t.source.inputs(), t.corpus))
-    return _rounded_table(Search(queries, t.corpus, index=t.index).result_table())
+    return _rounded_table(Search(queries, t.corpus, index=t.index, max_neighbors=t.max_neighbors).result_table())
 
 
 @query(_table_sql("ranked_similarity", ppr=False))
