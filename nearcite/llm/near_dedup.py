@@ -18,8 +18,11 @@ TREES = 16
 DEPTH = 8
 ROOT = 2
 BLOCK = 128
-#: Share of equal signature values from which a pair is confirmed on full sets: 0.8 less four deviations.
-MARGIN = 0.8 - 4 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
+#: MinHash values of which four bits each travel with a row; two values agree in those by chance in one of 16 cases.
+VALUES = 256
+CHANCE = 1 / 16
+#: Estimated similarity from which a pair is confirmed on full sets: 0.8 less four deviations of the estimate.
+MARGIN = 0.8 - 4 * ((0.8 + 0.2 * CHANCE) * 0.2 * (1 - CHANCE) / VALUES) ** 0.5 / (1 - CHANCE)
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -48,25 +51,29 @@ def _class_of(own: np.ndarray) -> bytes:
 
 def _sketch(n: int):
     rng = np.random.default_rng(20240607)
-    odd = rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 
-    def signature(own: np.ndarray) -> bytes:
-        least = np.full(len(odd), 0xFFFFFFFF, np.uint64)
-        for i in range(0, len(own), 2048):
-            least = np.minimum(least, ((own[i : i + 2048, None] * odd + plus) >> np.uint64(32)).min(axis=0))
-        return least.astype(">u4").tobytes()
+    def signature(own: np.ndarray) -> tuple[bytes, bytes]:
+        """The values that orders are made of, and four bits of every value."""
+        least = np.full(VALUES, 0xFFFFFFFF, np.uint64)
+        for i in range(0, len(own), 1024):
+            least = np.minimum(least, ((own[i : i + 1024, None] * odd + plus) >> np.uint64(32)).min(axis=0))
+        bits = (mixed(least) & np.uint64(15)).astype(np.uint8)
+        return least[: TREES * DEPTH].astype(">u4").tobytes(), (bits[::2] << 4 | bits[1::2]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                sizes, classes, signatures = [], [], []
+                sizes, classes, signatures, low = [], [], [], []
                 for own in _sets(part["_text"], n):
                     sizes.append(len(own))
                     classes.append(_class_of(own) if len(own) else None)
-                    signatures.append(signature(own) if len(own) else None)
-                columns = [part["_key"], pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "_n", "_c", "_sig"])
+                    sig, bits = signature(own) if len(own) else (None, None)
+                    signatures.append(sig)
+                    low.append(bits)
+                made = [pa.array(x, pa.binary()) for x in (classes, signatures, low)]
+                yield pa.RecordBatch.from_arrays([part["_key"], pa.array(sizes, pa.int64()), *made], ["_key", "_n", "_c", "_sig", "_low"])
 
     return run
 
@@ -111,6 +118,17 @@ def _cut(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[in
         yield begin, high
 
 
+def _bits(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The four bits of every value, a row for each row."""
+    packed = np.frombuffer(b"".join(rows["_low"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return np.concatenate([packed >> 4, packed & 15], axis=1)
+
+
+def _alike(equal: np.ndarray) -> np.ndarray:
+    """Estimated similarity from the share of equal bits."""
+    return (equal.mean(axis=1) - CHANCE) / (1 - CHANCE)
+
+
 def _crowded(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
     """All regions of more than BLOCK sorted rows, at every depth."""
     if high - low <= BLOCK:
@@ -129,12 +147,12 @@ def _spokes(rows: pa.Table, low: int, high: int, similarity: float, margin: floa
     region of many blocks most would not share one with it.
     """
     part = rows.slice(low, high - low)
-    sig = np.frombuffer(b"".join(part["_low"].to_pylist()), np.uint8).reshape(high - low, -1)
-    usual = np.array([np.bincount(column, minlength=256).argmax() for column in sig.T], np.uint8)
+    sig = _bits(part)
+    usual = np.array([np.bincount(column, minlength=16).argmax() for column in sig.T], np.uint8)
     hub = int((sig == usual).sum(axis=1).argmax())
     size = part["_n"].to_numpy().astype(np.float64)
     label = part["_root"].to_pylist()
-    near = ((sig == sig[hub]).mean(axis=1) >= margin) & (np.minimum(size, size[hub]) >= similarity * np.maximum(size, size[hub]) - 1e-9)
+    near = (_alike(sig == sig[hub]) >= margin) & (np.minimum(size, size[hub]) >= similarity * np.maximum(size, size[hub]) - 1e-9)
     return low + hub, np.array([low + i for i in np.flatnonzero(near).tolist() if label[i] != label[hub]], np.int64)
 
 
@@ -143,13 +161,13 @@ def _pairs_of(block: pa.RecordBatch, forest: bool, similarity: float, margin: fl
 
     forest: of those only a spanning forest, most alike first.
     """
-    sig = np.frombuffer(b"".join(block["_low"].to_pylist()), np.uint8).reshape(block.num_rows, -1)
+    sig = _bits(block)
     size = block["_n"].to_numpy().astype(np.float64)
     label = np.unique(np.array(block["_root"].to_pylist(), object), return_inverse=True)[1]
     i, j = np.triu_indices(block.num_rows, 1)
     fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
     i, j = i[fits], j[fits]
-    alike = (sig[i] == sig[j]).mean(axis=1)
+    alike = _alike(sig[i] == sig[j])
     near = alike >= margin
     i, j, alike = i[near], j[near], alike[near]
     if not forest:
@@ -241,10 +259,9 @@ def _shared(similarity: float):
 
 
 def _orders(classes: DataFrame, trees: int) -> DataFrame:
-    """A row for each class and sorted order: _t, the values of that order, and one byte of every value."""
-    low = F.unhex(F.regexp_replace(F.hex("_sig"), "......(..)", "$1"))
+    """A row for each class and sorted order: _t, the values of that order, and four bits of every value."""
     cut = F.array(*[F.struct(F.lit(t).alias("_t"), F.substring("_sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("_order")) for t in range(trees)])
-    return classes.withColumn("_low", low).withColumn("_x", F.explode(cut)).select("_x._t", "_x._order", "_c", "_n", "_low", "_root")
+    return classes.withColumn("_x", F.explode(cut)).select("_x._t", "_x._order", "_c", "_n", "_low", "_root")
 
 
 def _proposed(classes: DataFrame, trees: int, forest: bool, similarity: float, margin: float) -> DataFrame:
@@ -280,10 +297,10 @@ def near_duplicates(
     margin = MARGIN - (0.8 - similarity)
     texts = keyed_texts(df, id_col, text_col)
     sketches = stored(
-        texts.select("_key", "_text").mapInArrow(_sketch(shingle), "_key string, _n long, _c binary, _sig binary"), "sketches"
+        texts.select("_key", "_text").mapInArrow(_sketch(shingle), "_key string, _n long, _c binary, _sig binary, _low binary"), "sketches"
     )
     members = texts.select("_id", "_key").distinct()
-    classes = sketches.where("_n > 0").groupBy("_c").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
+    classes = sketches.where("_n > 0").groupBy("_c").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_low").alias("_low"))
     company = stored(_with_company(stored(classes, "classes")), "company").withColumn("_root", F.col("_c"))
     links, tried = None, None
     sets = None
