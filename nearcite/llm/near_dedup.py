@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearcite.llm.common import keyed_texts, row_key, small, stored, whole_rows
@@ -18,6 +18,9 @@ TREES = 16
 DEPTH = 8
 ROOT = 2
 BLOCK = 128
+#: Members of sets are ordered by the counts of so many leading bits; rows that share one are compared in parts of about SALTED.
+CELL_BITS = 18
+SALTED = 512
 #: MinHash values of which four bits each travel with a row; two values agree in those by chance in one of 16 cases.
 VALUES = 256
 CHANCE = 1 / 16
@@ -264,18 +267,96 @@ def _orders(classes: DataFrame, trees: int) -> DataFrame:
     return classes.withColumn("_x", F.explode(cut)).select("_x._t", "_x._order", "_c", "_n", "_low", "_root")
 
 
-def _proposed(classes: DataFrame, trees: int, forest: bool, similarity: float, margin: float) -> DataFrame:
+def _proposed(classes: DataFrame, trees: int, similarity: float, margin: float) -> DataFrame:
+    """A spanning forest of likely links, so that few pairs are left for the whole comparison: it may miss any."""
     ordered = _orders(classes, trees)
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = ordered.repartitionByRange(parts, "_t", "_order").sortWithinPartitions("_t", "_order", "_c")
-    return ordered.mapInArrow(_candidates(forest, similarity, margin), "_a binary, _b binary").distinct()
+    return ordered.mapInArrow(_candidates(True, similarity, margin), "_a binary, _b binary").distinct()
 
 
-def _with_company(classes: DataFrame) -> DataFrame:
-    """The classes that share the first values of some order with another one; the others have no candidates."""
-    roots = classes.select("_c", F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("_sig", 4 * DEPTH * t + 1, 4 * ROOT)) for t in range(TREES)])).alias("_p"))
-    shared = roots.groupBy("_p").agg(F.count("*").alias("_m")).where("_m > 1").select("_p")
-    return classes.join(roots.join(shared, "_p", "left_semi").select("_c").distinct(), "_c", "left_semi")
+def _region(t: Column, order: Column) -> Column:
+    return F.xxhash64(t, F.substring(order, 1, 4 * ROOT))
+
+
+def _all_of_small(classes: DataFrame, crowded: DataFrame, similarity: float, margin: float) -> DataFrame:
+    """All likely pairs of every region of BLOCK classes at most; regions are keyed, so none is cut."""
+    ordered = _orders(classes, TREES).withColumn("_p", _region(F.col("_t"), F.col("_order"))).join(crowded, "_p", "left_anti")
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = ordered.repartition(parts, "_p").sortWithinPartitions("_t", "_order", "_c").drop("_p")
+    return ordered.mapInArrow(_candidates(False, similarity, margin), "_a binary, _b binary").distinct()
+
+
+def _regions(classes: DataFrame) -> DataFrame:
+    """_p and _m: the first values of an order that several classes share, and how many do."""
+    return _roots_of(classes).groupBy("_p").agg(F.count("*").alias("_m")).where("_m > 1")
+
+
+def _roots_of(classes: DataFrame) -> DataFrame:
+    return classes.select("_c", F.explode(F.array(*[_region(F.lit(t), F.substring("_sig", 4 * DEPTH * t + 1, 4 * DEPTH)) for t in range(TREES)])).alias("_p"))
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_cell and _m: how many members of sets fall in each cell of their hashes."""
+    for batch in batches:
+        members = np.frombuffer(b"".join(batch["_set"].to_pylist()), np.uint64)
+        cells, times = np.unique(members >> np.uint64(64 - CELL_BITS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(times.astype(np.int64))], ["_cell", "_m"])
+
+
+def _prefixes(tally: np.ndarray, mille: int):
+    """_w, _i, _c, _n, _root: the members, rarest cells first, of which two sets similar enough share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, places, rows = [], [], []
+            for row, data in enumerate(batch["_set"].to_pylist()):
+                own = np.frombuffer(data, np.uint64)
+                first = len(own) - -(-mille * len(own) // 1000) + 1
+                order = np.lexsort((own, tally[own >> np.uint64(64 - CELL_BITS)]))[:first]
+                kept.append(own[order])
+                places.append(np.arange(len(order)))
+                rows.append(np.full(len(order), row))
+            if rows:
+                own = pa.array(np.concatenate(rows).astype(np.int64))
+                columns = [pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *[batch[c].take(own) for c in ("_c", "_n", "_root")]], ["_w", "_i", "_c", "_n", "_root"])
+
+    return run
+
+
+def _all_of_crowded(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of these classes, of two components, that can be similar enough: an exact join of their sets.
+
+    Members are ordered by how often their cell occurs, rarest first: sets similar enough share one of the
+    first |S| - ceil(similarity |S|) + 1 (prefix filter), have fitting sizes, and enough members behind the
+    first one they share (positional filter). A member that only one component has is let go. Of the others,
+    the rows of all but their largest component are compared to all rows, which are salted by their number.
+    """
+    mille = round(1000 * similarity)
+    counted = sets.select("_set").mapInArrow(_tallied, "_cell int, _m long").groupBy("_cell").agg(F.sum("_m").alias("_m")).toArrow()
+    tally = np.zeros(1 << CELL_BITS, np.int64)  # bounded: one number a cell
+    tally[counted["_cell"].to_numpy()] = counted["_m"].to_numpy()
+    rows = sets.join(classes.select("_c", "_n", "_root"), "_c").select("_c", "_n", "_root", "_set")
+    kinds = "_w long, _i long, _c binary, _n long, _root binary"
+    index = stored(rows.mapInArrow(_prefixes(tally, mille), kinds), "prefixes")
+    main = index.groupBy("_w", "_root").agg(F.count("*").alias("_m")).groupBy("_w").agg(
+        F.sum("_m").alias("_all"), F.count("*").alias("_parts"), F.max(F.struct("_m", "_root"))["_root"].alias("_main")
+    ).where("_parts > 1").select("_w", "_main", F.ceil(F.col("_all") / SALTED).cast("int").alias("_salts"))
+    shared = stored(index.join(main, "_w"), "shared-members")
+    y = shared.select("_w", F.pmod(F.xxhash64("_c"), F.col("_salts")).cast("int").alias("_salt"), "_i", "_c", "_n", "_root", "_main")
+    x = shared.where("_root != _main").select(
+        F.col("_w").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_part"), F.col("_i").alias("_j"), F.col("_c").alias("_d"),
+        F.col("_n").alias("_k"), F.col("_root").alias("_other"),
+    )
+    behind = F.least(F.col("_n") - F.col("_i"), F.col("_k") - F.col("_j"))
+    fits = (
+        (F.col("_v") == F.col("_w")) & (F.col("_part") == F.col("_salt")) & (F.col("_root") != F.col("_other"))
+        & ((F.col("_root") == F.col("_main")) | (F.col("_c") < F.col("_d")))
+        & (1000 * F.least("_n", "_k") >= mille * F.greatest("_n", "_k"))
+        & ((1000 + mille) * behind >= mille * (F.col("_n") + F.col("_k")))
+    )
+    return x.join(y, fits).select(F.least("_c", "_d").alias("_a"), F.greatest("_c", "_d").alias("_b")).distinct()
 
 
 def near_duplicates(
@@ -285,10 +366,10 @@ def near_duplicates(
 
     Texts of equal sets are one class, found by 128-bit hashes of the sets; links are sought between classes.
     Every class stands in 16 sorted orders of its MinHash values. Classes that share the first two values of
-    an order are candidates; regions of more than 128 go deeper until they fit, and what is left over shares
-    a block with its neighbours in that order. In a region of more, all are compared to its most usual row
-    as well. First a spanning forest of candidates in half the orders is confirmed on the full sets, then
-    every candidate pair of all orders that still lies in two components.
+    an order are candidates. First a spanning forest of candidates in half the orders is confirmed on the full
+    sets; there, regions of more than 128 go deeper until they fit, and are compared to their most usual row.
+    Then every candidate pair of all orders that still lies in two components, in regions of up to 128; last,
+    the classes of larger regions are joined with each other exactly, by the members of their sets.
 
     Null and empty texts have an empty set, link with nothing and are their own component. Rows of equal id
     count as one document. Null ids: smallest of the others; null if there is none. An empty table gives no
@@ -301,18 +382,33 @@ def near_duplicates(
     )
     members = texts.select("_id", "_key").distinct()
     classes = sketches.where("_n > 0").groupBy("_c").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_low").alias("_low"))
-    company = stored(_with_company(stored(classes, "classes")), "company").withColumn("_root", F.col("_c"))
+    classes = stored(classes, "classes")
+    regions = stored(_regions(classes), "regions")
+    # the others share the first values of no order with another class and have no candidates
+    company = classes.join(_roots_of(classes).join(regions, "_p", "left_semi").select("_c").distinct(), "_c", "left_semi")
+    company = stored(company, "company").withColumn("_root", F.col("_c"))
+    crowded = small(stored(regions.where(F.col("_m") > BLOCK).select("_p"), "crowded"))
+    crowd = stored(_roots_of(company).join(crowded, "_p", "left_semi").select("_c").distinct(), "crowd")
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        firsts = stored(company.select("_c", "_first").join(needed, "_c", "left_semi").select(F.col("_first").alias("_key")), "needed")
+        chosen = texts.select("_key", "_text").join(small(firsts), "_key", "left_semi").select("_text")
+        return stored(chosen.mapInArrow(_set_rows(shingle), "_c binary, _set binary").dropDuplicates(["_c"]), "sets")
+
     links, tried = None, None
-    sets = None
-    for forest, trees in ((True, TREES // 2), (False, TREES)):
-        proposed = _proposed(company, trees, forest, similarity, margin)
+    for step in ("forest", "small", "crowded"):
+        if step == "forest":
+            proposed = _proposed(company, TREES // 2, similarity, margin)
+        elif step == "small":
+            proposed = _all_of_small(company, crowded, similarity, margin)
+        elif crowd.isEmpty():
+            break
+        else:
+            proposed = _all_of_crowded(company.join(crowd, "_c", "left_semi"), sets_of(crowd), similarity)
         if tried is not None:
             proposed = proposed.join(tried, ["_a", "_b"], "left_anti")
         pairs = stored(proposed, "candidates")
-        needed = pairs.select(F.col("_a").alias("_c")).union(pairs.select(F.col("_b").alias("_c"))).distinct()
-        firsts = stored(company.select("_c", "_first").join(needed, "_c", "left_semi").select(F.col("_first").alias("_key")), "needed")
-        chosen = texts.select("_key", "_text").join(small(firsts), "_key", "left_semi").select("_text")
-        sets = stored(chosen.mapInArrow(_set_rows(shingle), "_c binary, _set binary").dropDuplicates(["_c"]), "sets")
+        sets = sets_of(pairs.select(F.col("_a").alias("_c")).union(pairs.select(F.col("_b").alias("_c"))).distinct())
         both = pairs.join(sets.select(F.col("_c").alias("_a"), F.col("_set").alias("_set_a")), "_a")
         both = both.join(sets.select(F.col("_c").alias("_b"), F.col("_set").alias("_set_b")), "_b")
         found = stored(both.mapInArrow(_shared(similarity), "_a binary, _b binary"), "found")

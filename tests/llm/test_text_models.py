@@ -87,6 +87,21 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert near_dedup.report(rows.limit(0)).count() == 0
 
 
+def test_pairs_of_a_crowded_region_are_all_found(spark):
+    """1,500 texts share 85% of their shingles, too few to link; 40 pairs share more of the rest and must."""
+    core = [f"c{i}" for i in range(173)]
+    rows, want = [], {}
+    for i in range(1500):
+        own = [f"p{i // 2}_{k}" if i < 80 and k < 6 else f"o{i}_{k}" for k in range(27)]
+        rows.append((f"d{i:04}", " ".join(core + own)))
+        want[f"d{i:04}"] = f"d{i - i % 2 if i < 80 else i:04}"
+    sets = [{" ".join(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows[:4])]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[0], sets[1]) >= 0.8 > alike(sets[1], sets[2])
+    found = near_dedup.report(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 def test_blocks_of_large_regions_hold_all_rows():
     rng = np.random.default_rng(3)
     for keys in (rng.integers(0, 3, (5000, 8)), np.zeros((700, 8)), rng.integers(0, 2**32, (300, 8))):
