@@ -90,41 +90,53 @@ def _said(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
+def _described(text: Column, start: Column, end: Column, value: Column) -> Column:
+    """A place with two words before and one behind."""
+    before = F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
+    behind = F.substring(text, end + 1, F.lit(48))
+    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    return F.struct(
+        start.alias("s"), end.alias("e"), value.alias("v"),
+        flat(F.regexp_extract(before, r"(\S+\s+\S+\s+\S{0,8})$", 1)).alias("left"),
+        flat(F.regexp_extract(before, r"(\S+\s+\S{0,8})$", 1)).alias("last"),
+        flat(F.regexp_extract(behind, r"^(\S{0,8}\s+\S+)", 1)).alias("right"),
+    )
+
+
+PLACES = "array<struct<s:int,e:int,v:string,left:string,last:string,right:string>>"
+
+
 def _candidates(text: Column) -> Column:
     """Array of (s, e, v, left, right): tokens that may be identifiers, with two words before and one behind."""
 
     def bare(x: Column) -> Column:
         return F.regexp_replace(x["v"], r"[._%+/@-]+$", "")
 
-    def described(x: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), x["s"] - 63), F.least(x["s"], F.lit(64)))
-        behind = F.substring(text, x["s"] + F.length(bare(x)) + 1, F.lit(48))
-        flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-        return F.struct(
-            x["s"].alias("s"), (x["s"] + F.length(bare(x))).alias("e"), bare(x).alias("v"),
-            flat(F.regexp_extract(before, r"(\S+\s+\S+\s+\S{0,8})$", 1)).alias("left"),
-            flat(F.regexp_extract(before, r"(\S+\s+\S{0,8})$", 1)).alias("last"),
-            flat(F.regexp_extract(behind, r"^(\S{0,8}\s+\S+)", 1)).alias("right"),
-        )
-
     long = F.filter(_places(text, TOKEN), lambda x: (F.length(x["v"]) >= 8) & (F.length(_digits(x["v"])) >= 4))
-    kind = "array<struct<s:int,e:int,v:string,left:string,last:string,right:string>>"
-    return F.when(text.rlike("[0-9]"), F.transform(long, described)).otherwise(F.array().cast(kind))
+    described = F.transform(long, lambda x: _described(text, x["s"], x["s"] + F.length(bare(x)), bare(x)))
+    return F.when(text.rlike("[0-9]"), described).otherwise(F.array().cast(PLACES))
+
+
+def _seeds(base: Column, text: Column) -> Column:
+    """Struct with the base spans of each kind, of any length and form, described like candidates."""
+    span = lambda x: _described(text, x["s"], x["e"], F.substring(text, x["s"] + 1, x["e"] - x["s"]))
+    return F.struct(*[F.transform(base[kind], span).alias(kind) for kind in FORMATS])
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """_key, s, e, _value (hash), _seed (kind or null) and _pattern, one row for each context of each candidate.
+    """_key, s, e, _value (hash), _seed (kind or null) and _pattern, one row for each context of each base span and candidate.
 
-    A candidate that overlaps a base span without being it, is none.
+    A candidate that overlaps a base span is none.
     """
     spans = F.flatten(F.array(*[_named(k) for k in FORMATS]))
     one = rows.select("_key", spans.alias("_spans"), F.explode_outer("_cand").alias("_c")).where("_c IS NOT NULL")
-    own = F.filter("_spans", lambda x: (x["s"] == F.col("_c.s")) & (x["e"] == F.col("_c.e")))
     over = F.exists("_spans", lambda x: (x["s"] < F.col("_c.e")) & (x["e"] > F.col("_c.s")))
-    one = one.withColumn("_own", F.get(own, F.lit(0))["k"]).withColumn("_over", over)
-    seed = F.coalesce(F.col("_own"), F.when(F.col("_c.v").rlike(SECRET), F.lit("secret")))
-    one = one.where("_own IS NOT NULL OR NOT _over").select(
-        "_key", "_c.s", "_c.e", F.xxhash64(F.lower("_c.v")).alias("_value"), seed.alias("_seed"),
+    one = one.where(~over).select("_key", "_c", F.when(F.col("_c.v").rlike(SECRET), F.lit("secret")).alias("_seed"))
+    kinds = lambda k: F.transform(F.col(f"_seeds.{k}"), lambda x: F.struct(x.alias("c"), F.lit(k).alias("k")))
+    seeds = F.flatten(F.array(*[kinds(k) for k in FORMATS]))
+    own = rows.select("_key", F.explode(seeds).alias("_s")).select("_key", F.col("_s.c").alias("_c"), F.col("_s.k").alias("_seed"))
+    one = one.union(own).select(
+        "_key", "_c.s", "_c.e", F.xxhash64(F.lower("_c.v")).alias("_value"), "_seed",
         F.array(
             F.when(F.col("_c.left") != "", F.xxhash64(F.lit(1), "_c.left")),
             F.when((F.col("_c.last") != "") & (F.col("_c.right") != ""), F.xxhash64(F.lit(2), "_c.last", "_c.right")),
@@ -138,26 +150,24 @@ def found_spans(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
 
     The graph of patterns and distinct values is scored by turns, for each kind. A pattern's confidence is the mean score of
     its values, with one more that counts nothing; a value's score is the chance that not all of its
-    patterns are wrong, 1 for seeds. Patterns need enough different seeds of the kind. Groups are sums with a
+    patterns are wrong, 1 for seeds. Patterns need enough different values of the kind that are seeds or were
+    accepted in the rounds before. Groups are sums with a
     combine before the shuffle; each turn ends in a written table.
     """
     places = stored(_instances(rows), "pii-instances")
     edges = stored(places.where("_pattern IS NOT NULL").groupBy("_value", "_pattern").agg(F.max("_seed").alias("_seed")), "pii-edges")
-    backed = edges.where("_seed IS NOT NULL").groupBy("_pattern", F.col("_seed").alias("_kind")).agg(F.count("*").alias("_seeds"))
-    backed = stored(backed.where(F.col("_seeds") >= support).select("_pattern", "_kind"), "pii-patterns")
-    graph = stored(edges.join(backed, "_pattern"), "pii-graph")  # values met by patterns of a kind
-    scores = graph.select("_value", "_kind", (F.col("_seed") == F.col("_kind")).cast("double").alias("_w")).groupBy("_value", "_kind").agg(
-        F.max(F.coalesce("_w", F.lit(0.0))).alias("_w")
-    )
-    scores = stored(scores, "pii-scores")
+    seeds = stored(edges.where("_seed IS NOT NULL").select("_value", F.col("_seed").alias("_kind"), F.lit(1.0).alias("_w")).distinct(), "pii-seeds")
+    scores = seeds
     for _ in range(rounds):
-        sure = graph.join(scores, ["_value", "_kind"]).groupBy("_pattern", "_kind").agg((F.sum("_w") / (F.count("*") + 1)).alias("_p"))
-        sure = stored(sure, "pii-confidence")
+        accepted = scores.where(F.col("_w") >= confidence).select("_value", "_kind")
+        backed = edges.join(accepted, "_value").groupBy("_pattern", "_kind").agg(F.count("*").alias("_seeds"))
+        backed = stored(backed.where(F.col("_seeds") >= support).select("_pattern", "_kind"), "pii-patterns")
+        graph = stored(edges.select("_value", "_pattern").join(backed, "_pattern"), "pii-graph")  # values met by patterns of a kind
+        weighed = graph.join(scores, ["_value", "_kind"], "left").groupBy("_pattern", "_kind")
+        sure = stored(weighed.agg((F.sum(F.coalesce("_w", F.lit(0.0))) / (F.count("*") + 1)).alias("_p")), "pii-confidence")
         missed = F.sum(F.when(F.col("_p") >= 0.5, F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))).otherwise(F.lit(0.0)))
-        again = graph.join(sure, ["_pattern", "_kind"]).groupBy("_value", "_kind").agg(
-            F.when(F.max((F.col("_seed") == F.col("_kind")).cast("int")) == 1, F.lit(1.0)).otherwise(1 - F.exp(missed)).alias("_w")
-        )
-        scores = stored(again, "pii-scores")
+        again = graph.join(sure, ["_pattern", "_kind"]).groupBy("_value", "_kind").agg((1 - F.exp(missed)).alias("_w"))
+        scores = stored(again.union(seeds).groupBy("_value", "_kind").agg(F.max("_w").alias("_w")), "pii-scores")
     good = sure.where(F.col("_p") >= confidence).select("_pattern", "_kind")
     likely = scores.where(F.col("_w") >= confidence).select("_value", "_kind")
     met = places.where("_seed IS NULL").join(good, "_pattern").join(likely, ["_value", "_kind"], "left_semi")
@@ -175,7 +185,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = df.select(identity.alias("_id"), row_key(identity, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    rows = stored(rows.select("_id", "_key", base_spans(F.col("_text")).alias("_base"), _candidates(F.col("_text")).alias("_cand")), "pii-scan")
+    parts = let(base_spans(F.col("_text")), lambda b: F.struct(b.alias("base"), _seeds(b, F.col("_text")).alias("seeds")))
+    rows = rows.select("_id", "_key", parts.alias("_b"), _candidates(F.col("_text")).alias("_cand"))
+    rows = stored(rows.select("_id", "_key", F.col("_b.base").alias("_base"), F.col("_b.seeds").alias("_seeds"), "_cand"), "pii-scan")
     found = found_spans(rows).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("kind", "s", "e"))).alias("_found"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     return rows.join(found, "_key", "left").select("_id", "_base", F.coalesce("_found", none).alias("_found"))

@@ -383,3 +383,12 @@ def test_classifier_of_odd_tables(spark, docs):
     assert out.count() == 20 + len(ODD) and out.where("score IS NULL OR isnan(score)").count() == 0
     assert quality_classifier.report(rows, labels.limit(0)).where("kept AND score = 0.5").count() == 20 + len(ODD)
     assert quality_classifier.report(rows.limit(0), labels).count() == 0
+
+
+def test_mails_and_accepted_values_seed_patterns(spark):
+    """Mails of few digits lead to handles in their context, and those to more in a context no mail has."""
+    mails = [f"please write to person{a}{b}@mail.example.com today or never" for a in "abcde" for b in "abcdefghij"]
+    first = [f"please write to handle{1000 + i} today or never" for i in range(10)]
+    again = [f"he is known as handle{1000 + i} over there" for i in range(11)]  # the last is in no other context
+    found = {r["doc_id"]: r["spans"] for r in pii.report(table(spark, [*mails, *first, *again])).collect()}
+    assert [d for d in sorted(found) if "other:" in found[d]] == list(range(50, 71))
