@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearcite.llm import (
     decontamination,
+    filter_audit,
     html_extraction,
     kneser_ney,
     license_scan,
@@ -15,7 +16,9 @@ from nearcite.llm import (
     piece_coding,
     quality_classifier,
     quality_rules,
+    ranked_search,
     sql,
+    toxicity,
 )
 from nearcite.llm.common import documents
 
@@ -60,11 +63,24 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_near_dedup, op3_quality_rules, op4_pii, op5_line_dedup, op6_html_extraction,
-        op7_decontamination, op8_piece_coding, op9_quality_classifier, op10_license_scan,
+        op7_decontamination, op8_piece_coding, op9_quality_classifier, op10_license_scan, op11_toxicity, op12_ranked_search,
+        op13_filter_audit,
     )
 }
 #: The other methods rest on models, pieces or trees: tests/llm holds them against plain Python.
@@ -74,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": sql.LINE_DEDUP,
     "op7_decontamination": sql.DECONTAMINATION,
     "op10_license_scan": sql.LICENSE_SCAN,
+    "op12_ranked_search": sql.RANKED_SEARCH,
+    "op13_filter_audit": sql.FILTER_AUDIT,
 }

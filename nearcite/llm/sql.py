@@ -152,3 +152,53 @@ FROM texts LEFT JOIN base b USING (k) LEFT JOIN labelled l USING (k) LEFT JOIN s
 
 
 LICENSE_SCAN = _license_scan()
+
+
+RANKED_SEARCH = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, {_words(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')", _BARE)} AS w FROM documents),
+totals AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+asked AS (
+  SELECT DISTINCT item_id, unnest({_words(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')", _BARE)}) AS term FROM benchmark),
+held AS (
+  SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(totals.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY term),
+scored AS (
+  SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * held.n * totals.n) // totals.l))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, k, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50"""
+
+FILTER_AUDIT = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+measured AS (SELECT *, {_words('t', _SPACE)} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM docs),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS mask
+  FROM measured LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [a, b, c, d, e] AS o FROM (SELECT l.x AS a, m.x AS b, n.x AS c, p.x AS d, q.x AS e
+    FROM letters l, letters m, letters n, letters p, letters q) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+steps AS (
+  SELECT array_to_string(o, '') AS filter_order, step, bit,
+    coalesce((SELECT sum(b.bit) FROM letters b WHERE list_position(o, b.x) < step), 0)::INTEGER AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders) JOIN letters ON letters.x = o[step]),
+audit AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM audit"""
