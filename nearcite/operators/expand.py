@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from nearcite.functions.text import extract_text, format_date
 from nearcite.schema import LINK_COLUMNS, NEIGHBOR_COLUMNS
+from nearcite.sources.ranges import StoredCorpus
 
 # What a link in each array is called once it is an edge.
 EDGE_TYPES = {"citation": "cites", "cited_by": "cited_by", "parent": "parent", "child": "child"}
@@ -110,9 +111,11 @@ def with_display_text(df: DataFrame) -> DataFrame:
     )
 
 
-def fetch_neighbors(neighbors: DataFrame, corpus: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Corpus metadata of the neighbour ids; ids the corpus lacks drop out."""
+def fetch_neighbors(neighbors: DataFrame, corpus: DataFrame | StoredCorpus, columns: list[str] | None = None) -> DataFrame:
+    """Corpus metadata of the neighbour ids; ids the corpus lacks drop out. A stored corpus is read where they fall."""
     columns = columns or NEIGHBOR_COLUMNS
+    if isinstance(corpus, StoredCorpus):
+        corpus = corpus.lookup(neighbors, columns)
     keys = ["query_id"] + [c for c in neighbors.columns if c not in ("query_id", "publication_number")]
     found = neighbors.join(corpus.select(columns), "publication_number")
     return found.select(*keys[:1], *columns, *keys[1:])

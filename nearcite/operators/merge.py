@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearcite.schema import LINK_COLUMNS
@@ -19,10 +19,10 @@ def merge(
     One full outer join, with all columns of both sides in the shape of the target. Several source
     rows for one key make the result undefined, so they raise an error, as a MERGE statement does.
     """
-    checked = _one_row_per_key(source.select(target.columns), key)
+    checked = one_row_per_key(source.select(target.columns), key)
     old, new = F.col("_old.row"), F.col("_new.row")
     both = target.select(key, F.struct(*target.columns).alias("row")).alias("_old").join(
-        checked.alias("_new"), key, "full_outer"
+        checked.select(key, F.struct(*target.columns).alias("row")).alias("_new"), key, "full_outer"
     )
     merged = [
         F.when(new.isNotNull() if c in update_cols else old.isNull(), new[c]).otherwise(old[c]).alias(c)
@@ -31,12 +31,11 @@ def merge(
     return both.select(merged)
 
 
-def _one_row_per_key(source: DataFrame, key: str) -> DataFrame:
-    """``(key, row)``, failing the job when a key occurs twice. Only keys are counted; rows join their count."""
-    counted = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = source.select(key, F.struct(*source.columns).alias("row")).join(counted, key)
+def one_row_per_key(source: DataFrame, key: str) -> DataFrame:
+    """The rows, failing the job when a key occurs twice. They are shuffled once, by key, as a join needs them next."""
+    counted = source.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     repeated = F.raise_error(F.concat(F.lit("several source rows for key "), F.col(key)))
-    return rows.select(key, F.when(F.col("_n") == 1, F.col("row")).otherwise(repeated).alias("row"))
+    return counted.where(F.when(F.col("_n") == 1, True).otherwise(repeated.cast("boolean"))).drop("_n")
 
 
 def merge_dup_check(source: DataFrame, key: str = "publication_number") -> DataFrame:

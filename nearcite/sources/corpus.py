@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearcite.functions.text import first_name
 from nearcite.schema import CORPUS_COLUMNS
 from nearcite.session import materialize
+from nearcite.sources.ranges import StoredCorpus
 
 MINIMAL_COLUMNS = [
     "publication_number",
@@ -66,7 +67,7 @@ def build_corpus_min(base: DataFrame, research: DataFrame, country: str = "US",
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
-    """Store a corpus sorted by key range, which lets lookups of keys skip most row groups."""
+    """Store a corpus as plain files sorted by key range; see ``ranges`` for one that lookups and merges read in part."""
     corpus.repartitionByRange("publication_number").sortWithinPartitions("publication_number").write.mode(
         "errorifexists"
     ).parquet(path)
@@ -77,8 +78,12 @@ def copy_corpus(spark: SparkSession, source: str, target: str) -> None:
     spark.read.parquet(source).write.mode("errorifexists").parquet(target)
 
 
-def query_vectors(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def query_vectors(queries: DataFrame, corpus: DataFrame | StoredCorpus) -> DataFrame:
     """Embedding of every query id; ids the corpus lacks drop out: ``(query_id, embedding_v1)``."""
+    if isinstance(corpus, StoredCorpus):
+        ids = queries.select(F.col("query_id").alias("publication_number"))
+        found = corpus.lookup(ids, ["publication_number", "embedding_v1"])
+        return found.withColumnRenamed("publication_number", "query_id")
     ids = queries.select("query_id").distinct()
     vectors = corpus.select(F.col("publication_number").alias("query_id"), "embedding_v1")
     return vectors.join(ids, "query_id").select("query_id", "embedding_v1")

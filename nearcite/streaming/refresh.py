@@ -1,63 +1,70 @@
-"""Merge arriving source files into a corpus, as a stream.
+"""Merge arriving source files into a stored corpus, as a stream.
 
-A corpus folder holds numbered versions. Each micro-batch merges into the latest version below its own
-and writes the next, so a batch that is run again after a failure writes the same version again, and
-readers never see a half-written one.
+The corpus is stored by key range, in numbered versions. Each micro-batch merges into the latest version below its
+own and writes the ranges it touches and the next range map, so a batch that is run again after a failure writes
+the same version again, and readers never see a half-written one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from nearcite.operators.merge import merge
 from nearcite.schema import CORPUS
+from nearcite.sources import ranges
+from nearcite.sources.corpus import build_corpus
+from nearcite.sources.ranges import ROWS_PER_RANGE, versions
 
-
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Complete versions in a corpus folder, oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
-
-
-def version_path(folder: str, version: int) -> str:
-    return f"{folder}/version={version:08d}"
+__all__ = ["publish", "read_latest", "stream_merge", "stream_refresh", "versions"]
 
 
 def read_latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest version, or the newest below a number; None when there is none."""
-    known = [v for v in versions(spark, folder) if below is None or v < below]
-    return spark.read.parquet(version_path(folder, known[-1])) if known else None
+    """The rows of the newest version, or the newest below a number; None when there is none."""
+    store = ranges.latest(spark, folder, below)
+    return None if store is None else store.read()
 
 
-def publish(corpus: DataFrame, folder: str, version: int) -> None:
-    corpus.write.mode("overwrite").parquet(version_path(folder, version))
+def publish(corpus: DataFrame, folder: str, version: int, rows_per_range: int = ROWS_PER_RANGE) -> None:
+    """Store a whole corpus as a version."""
+    ranges.create(corpus.select(CORPUS.fieldNames()), folder, rows_per_range, version)
 
 
-def stream_merge(spark: SparkSession, in_dir: str, target_dir: str, checkpoint: str) -> StreamingQuery:
+def stream_merge(
+    spark: SparkSession,
+    in_dir: str,
+    target_dir: str,
+    checkpoint: str,
+    schema: T.StructType = CORPUS,
+    rows_of: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
     """Take every file in ``in_dir`` that has not been taken yet, then stop.
 
     A batch may bring a key several times (later files correct earlier ones); the row of the newest
-    file counts. Version 0 is the corpus before the stream; batch n writes version n + 1.
+    file counts. Version 0 is the corpus before the stream; batch n writes version n + 1. Files hold corpus
+    rows, or rows of ``schema`` keyed alike from which ``rows_of`` makes corpus rows.
     """
     arriving = (
-        spark.readStream.schema(CORPUS)
+        spark.readStream.schema(schema)
         .parquet(in_dir)
         .select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_age"))
     )
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        target = read_latest(batch.sparkSession, target_dir, below=batch_id + 1)
         newest = (
             batch.groupBy("publication_number")
-            .agg(F.max_by(F.struct(*CORPUS.fieldNames()), "_age").alias("row"))
+            .agg(F.max_by(F.struct(*schema.fieldNames()), "_age").alias("row"))
             .select("row.*")
         )
-        publish(newest if target is None else merge(target, newest), target_dir, batch_id + 1)
+        rows = (newest if rows_of is None else rows_of(newest)).select(CORPUS.fieldNames())
+        store = ranges.latest(batch.sparkSession, target_dir, below=batch_id + 1)
+        if store is None:
+            publish(rows, target_dir, batch_id + 1)
+        else:
+            store.merge(rows, version=batch_id + 1)
 
     return (
         arriving.writeStream.foreachBatch(take)
@@ -65,3 +72,13 @@ def stream_merge(spark: SparkSession, in_dir: str, target_dir: str, checkpoint:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_refresh(
+    spark: SparkSession, base_dir: str, research: DataFrame, target_dir: str, checkpoint: str, schema: T.StructType,
+    country: str = "US", min_filing: int = 20060101,
+) -> StreamingQuery:
+    """Merge arriving bibliographic rows: each batch is joined with the semantic source and filtered like a build."""
+    return stream_merge(
+        spark, base_dir, target_dir, checkpoint, schema, lambda batch: build_corpus(batch, research, country, min_filing)
+    )

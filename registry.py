@@ -22,7 +22,7 @@ from nearcite.plans.search import Search, resolved_queries, second_level_knn
 from nearcite.schema import CORPUS
 from nearcite.session import checkpoint_dir, materialize
 from nearcite.sources import corpus as corpora
-from nearcite.sources import sinks
+from nearcite.sources import ranges, sinks
 from nearcite.sources.derived import Derived
 from nearcite.streaming import refresh
 
@@ -50,6 +50,15 @@ class Tables:
     def corpus(self) -> DataFrame:
         return materialize(corpora.build_corpus(self.base, self.research))
 
+    @cached_property
+    def store(self) -> ranges.StoredCorpus:
+        """The corpus by key range; in about 32 of them, as small as these tables are."""
+        return ranges.create(self.corpus, f"{checkpoint_dir(self.spark)}/store-{uuid.uuid4().hex}", max(1, self.corpus.count() // 32))
+
+    @cached_property
+    def snapshot_store(self) -> ranges.StoredCorpus:
+        return ranges.create(self.snapshot, f"{checkpoint_dir(self.spark)}/store-{uuid.uuid4().hex}", max(1, self.snapshot.count() // 32))
+
     @cached_property
     def snapshot(self) -> DataFrame:
         return materialize(self.source.snapshot())
@@ -243,7 +252,7 @@ def resolve_ids_mode(t: Tables) -> DataFrame:
 
 @query("SELECT query_id, len(vec)::INTEGER AS vector_size, round(list_sum(vec), 6) AS vector_sum FROM queries")
 def query_vector_lookup(t: Tables) -> DataFrame:
-    return corpora.query_vectors(t.queries, t.corpus).select(
+    return corpora.query_vectors(t.queries, t.store).select(
         "query_id", F.size("embedding_v1").alias("vector_size"),
         F.round(F.aggregate("embedding_v1", F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"),
     )
@@ -408,7 +417,7 @@ def citation_neighbors_capped(t: Tables) -> DataFrame:
 @query(f"SELECT x.query_id, x.publication_number, {oracles._DISPLAY} FROM expanded x JOIN corpus c USING (publication_number)")
 def fetch_neighbors(t: Tables) -> DataFrame:
     neighbors = expand.citation_neighbors(t.search.found, t.corpus)
-    return expand.with_display_text(expand.fetch_neighbors(neighbors, t.corpus)).select(
+    return expand.with_display_text(expand.fetch_neighbors(neighbors, t.store)).select(
         "query_id", "publication_number", "title_text", "abstract_text", "primary_assignee", "primary_inventor",
         "filed", "published", "granted",
     )
@@ -794,7 +803,8 @@ _UPSERTED = f"""SELECT d.publication_number, d.filing_date, d.title_value AS tit
 
 @query(_UPSERTED)
 def merge_upsert(t: Tables) -> DataFrame:
-    return merge.merge(t.snapshot, t.corpus).select(
+    """Merged into the snapshot stored by key range: ranges without news keep their files."""
+    return t.snapshot_store.merge(t.corpus).read().select(
         "publication_number", "filing_date", F.col("title.value").alias("title"), "primary_assignee",
         *[joined(c, "publication_number") for c in ("cited_by", "citation", "parent", "child")],
     )
@@ -814,6 +824,30 @@ def stream_merge(t: Tables) -> DataFrame:
     )
 
 
+@query(_UPSERTED)
+def merge_join(t: Tables) -> DataFrame:
+    """The same as one join of two plain tables."""
+    return merge.merge(t.snapshot, t.corpus).select(
+        "publication_number", "filing_date", F.col("title.value").alias("title"), "primary_assignee",
+        *[joined(c, "publication_number") for c in ("cited_by", "citation", "parent", "child")],
+    )
+
+
+@query(_UPSERTED)
+def stream_refresh(t: Tables) -> DataFrame:
+    """Bibliographic rows arrive as files, are joined with the semantic source, filtered and merged; read back."""
+    folder = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    refresh.publish(t.snapshot, f"{folder}/store", 0, max(1, t.snapshot.count() // 8))
+    t.base.write.parquet(f"{folder}/in")
+    refresh.stream_refresh(
+        t.spark, f"{folder}/in", materialize(t.research), f"{folder}/store", f"{folder}/state", t.base.schema
+    ).awaitTermination(600)
+    return refresh.read_latest(t.spark, f"{folder}/store").select(
+        "publication_number", "filing_date", F.col("title.value").alias("title"), "primary_assignee",
+        *[joined(c, "publication_number") for c in ("cited_by", "citation", "parent", "child")],
+    )
+
+
 @query("""SELECT CASE WHEN o.publication_number IS NULL THEN 'inserted' WHEN s.publication_number IS NULL THEN 'untouched'
   ELSE 'updated' END AS action, count(*) AS n FROM snapshot o FULL JOIN corpus s USING (publication_number) GROUP BY 1""")
 def merge_stats(t: Tables) -> DataFrame:
