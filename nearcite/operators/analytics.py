@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearcite.functions.text import cpc_label, cpc_section
-from nearcite.operators.expand import link_count, sequence_key
+from nearcite.operators.expand import sequence_key
+from nearcite.operators.links import link_count
 
 
 def unnest_names(results: DataFrame, column: str) -> DataFrame:

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearcite.functions.text import extract_text, format_date
+from nearcite.operators.links import Membership, link_ids, link_pieces
 from nearcite.schema import LINK_COLUMNS, NEIGHBOR_COLUMNS
 from nearcite.sources.ranges import StoredCorpus
 
@@ -18,40 +18,6 @@ EDGE_TYPES = {"citation": "cites", "cited_by": "cited_by", "parent": "parent", "
 # Links that point from the other document to the row's own.
 _INWARD = ("cited_by", "parent")
 
-# Links of a row are handed on in pieces of so many, so that no row of a join grows with one document.
-CHUNK = 4096
-
-
-def link_ids(df: DataFrame, name: str) -> Column:
-    """Array of ids of a link column, whether its elements are structs or strings."""
-    element = df.schema[name].dataType.elementType
-    ids = F.col(name)
-    if isinstance(element, T.StructType):
-        ids = F.transform(ids, lambda item: item["publication_number"])
-    return F.coalesce(ids, F.array().cast("array<string>"))
-
-
-def link_array(source: DataFrame) -> Column:
-    """All links of a row as structs ``(rel, pos, other)``; rel numbers LINK_COLUMNS from 0, pos starts at 1.
-
-    Loops onto the row itself and empty ids are left out.
-    """
-
-    def places(rel: int, name: str) -> Column:
-        return F.transform(
-            link_ids(source, name),
-            lambda other, at: F.struct(F.lit(rel).alias("rel"), (at + 1).alias("pos"), other.alias("other")),
-        )
-
-    links = F.concat(*[places(rel, name) for rel, name in enumerate(LINK_COLUMNS)])
-    empty = F.array(F.lit(""), F.coalesce("publication_number", F.lit("")))
-    return F.filter(links, lambda link: ~F.array_contains(empty, F.coalesce(link["other"], F.lit(""))))
-
-
-def link_count(*names: str) -> Column:
-    """Length of link arrays together, missing ones counting 0."""
-    return sum((F.coalesce(F.greatest(F.size(n), F.lit(0)), F.lit(0)) for n in names), F.lit(0))
-
 
 def neighbor_list(source: DataFrame) -> Column:
     """A row's linked ids in reading order, without repeats."""
@@ -141,29 +107,24 @@ def graph_nodes(results: DataFrame, expanded: DataFrame | None = None) -> DataFr
     return first.select("query_id", "node", "place.*", (F.col("node") == F.col("query_id")).alias("is_seed"))
 
 
-def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
+def graph_edges(nodes: DataFrame, source: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Directed edges between nodes of the same query: ``(query_id, src, dst, edge_type)``.
 
     No loops, one edge per ordered pair. When rows disagree on the type of a pair, the link written
     last counts: results before expanded rows, those by ``row_no``, arrays in LINK_COLUMNS order, then
     position.
 
-    Links are shaped once per row of the source, handed on in pieces of bounded size and unfolded where
-    they meet a node; those that end in the node set of the query stay.
+    Links are shaped once per row of the source, or come ready as its ``link_table``, and unfolded where their pieces
+    meet a node. A Bloom filter of all nodes drops most of those that cannot end in the node set of the query
+    before they are shuffled; a join then keeps those that do.
     """
     after = F.col("is_expanded") if "is_expanded" in nodes.columns else F.lit(False)
     rows = nodes.where(F.col("row_no").isNotNull()).select(
         "query_id", F.col("node").alias("publication_number"), after.alias("is_expanded"), "row_no"
     )
     members = nodes.select("query_id", F.col("node").alias("other"))
-    shaped = source.where(link_count(*LINK_COLUMNS) > 0).select("publication_number", link_array(source).alias("all"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(CHUNK))
-    pieces = shaped.select("publication_number", "all", F.explode_outer(starts).alias("start"))
-    pieces = pieces.select("publication_number", F.slice("all", F.col("start"), F.lit(CHUNK)).alias("links"))
-    links = (
-        rows.join(pieces, "publication_number")
-        .select("query_id", "publication_number", "is_expanded", "row_no", F.inline("links"))
-        .join(members, ["query_id", "other"], "left_semi")
+    links = possible_links(rows, link_pieces(source) if links is None else links, members).join(
+        members, ["query_id", "other"], "left_semi"
     )
     inward = F.col("rel").isin(*[LINK_COLUMNS.index(c) for c in _INWARD])
     own, other = F.col("publication_number"), F.col("other")
@@ -181,6 +142,20 @@ def graph_edges(nodes: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def possible_links(rows: DataFrame, pieces: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of the rows of a query, unfolded, without most of those that end outside ``(query_id, other)``.
+
+    They are unfolded and tested within one generated loop: a test inside the array, before it is unfolded, would be
+    interpreted for each element, which takes longer than the join it saves.
+    """
+    filter_ = Membership(members, ["query_id", "other"])
+    links = rows.join(pieces, "publication_number").select(
+        "query_id", "publication_number", "is_expanded", "row_no", F.inline("links")
+    )
+    held = filter_.joined(links).where(filter_.may_hold(F.col("query_id"), F.col("other")))
+    return held.select("query_id", "publication_number", "is_expanded", "row_no", "rel", "pos", "other")
+
+
 def result_edges(edges: DataFrame, results: DataFrame) -> DataFrame:
     """Edges with both ends among the results."""
     ids = results.select("query_id", F.col("publication_number").alias("node"))

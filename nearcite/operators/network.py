@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearcite.functions.text import node_size, score_color, score_tier, similar_width, unit_score, whole_percent
-from nearcite.operators.expand import link_array
+from nearcite.operators.links import link_array
 from nearcite.schema import LINK_COLUMNS
 from nearcite.session import materialize
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import oracles
 from nearcite.functions import text
-from nearcite.operators import analytics, expand, ivf, merge, network, ranking, status
+from nearcite.operators import analytics, expand, ivf, links, merge, network, ranking, status
 from nearcite.operators import context as contexts
 from nearcite.operators.knn import knn_join, knn_join_mixed
 from nearcite.operators.pagerank import minmax_normalize, personalized_pagerank, top_scores
@@ -67,6 +67,10 @@ class Tables:
     def queries(self) -> DataFrame:
         return materialize(resolved_queries(self.source.inputs(), self.corpus))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return materialize(links.link_table(self.corpus))
+
     @cached_property
     def search(self) -> Search:
         return Search(self.queries, self.corpus, max_neighbors=self.max_neighbors)
@@ -428,9 +432,24 @@ def graph_nodes(t: Tables) -> DataFrame:
     return t.search.nodes.select("query_id", "node", "is_seed")
 
 
+@query("""SELECT l.publication_number, l.rel_no::INTEGER AS rel, l.pos::INTEGER AS pos, l.other, c.publication_number IS NOT NULL AS known
+  FROM links l LEFT JOIN corpus c ON c.publication_number = l.other WHERE l.other <> l.publication_number""")
+def link_table(t: Tables) -> DataFrame:
+    """Every link once, under the document that lists it, marked if it leads out of the corpus."""
+    return t.links.select("publication_number", F.inline("links"))
+
+
+@query("""SELECT l.other, c.publication_number IS NOT NULL AS known, count(DISTINCT l.publication_number) AS n_owners, count(*) AS n_links
+  FROM links l LEFT JOIN corpus c ON c.publication_number = l.other WHERE l.other <> l.publication_number GROUP BY ALL""")
+def links_by_target(t: Tables) -> DataFrame:
+    """Who names a document, those outside the corpus included."""
+    turned = links.links_by_target(t.links).groupBy("other", "known")
+    return turned.agg(F.countDistinct("publication_number").alias("n_owners"), F.count(F.lit(1)).alias("n_links"))
+
+
 @query("SELECT query_id, src, dst, edge_type FROM edges")
 def graph_edges(t: Tables) -> DataFrame:
-    return expand.graph_edges(t.search.nodes, t.corpus)
+    return expand.graph_edges(t.search.nodes, t.corpus, t.links)
 
 
 @query("""SELECT query_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.query_id = n.query_id) AS n_edges
@@ -465,7 +484,7 @@ def ppr_corpus(t: Tables) -> DataFrame:
         (F.col("publication_number") == seed).alias("is_seed"),
     )
     nodes = materialize(nodes)
-    edges = materialize(expand.graph_edges(nodes, t.corpus))
+    edges = materialize(expand.graph_edges(nodes, t.corpus, t.links))
     return personalized_pagerank(nodes, edges, grouped_edges=0).withColumn("ppr_raw", r("ppr_raw", 9))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_set
 from nearcite.operators import expand, network, pagerank
+from nearcite.operators import links as links_module
 
 RNG = np.random.default_rng(11)
 
@@ -78,7 +79,7 @@ def test_pieces_of_rows_give_the_same_edges(spark, make_corpus, monkeypatch):
     )
     whole = as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type")
     for size in (40, 7):
-        monkeypatch.setattr(expand, "CHUNK", size)
+        monkeypatch.setattr(links_module, "CHUNK", size)
         assert as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type") == whole
 
 
