@@ -103,8 +103,8 @@ DECONTAMINATION = f"""
 WITH doc_sh AS ({_shingled('documents', 'doc_id')}),
 item_sh AS ({_shingled('benchmark', 'item_id')}),
 windows AS (
-  SELECT DISTINCT d.doc_id, b.n AS size, greatest(0, least(d.pos - b.pos, d.n - b.n)) AS start
-  FROM doc_sh d JOIN item_sh b USING (sh)),
+  SELECT DISTINCT doc_id, size, unnest(range(greatest(0, least(pos - size + 1, n - size)), greatest(0, least(pos, n - size)) + 1)) AS start
+  FROM (SELECT DISTINCT d.doc_id, d.pos, d.n, b.n AS size FROM doc_sh d JOIN item_sh b USING (sh))),
 held AS (
   SELECT w.doc_id, w.size, w.start, d.sh, count(*) AS c
   FROM windows w JOIN doc_sh d ON d.doc_id = w.doc_id AND d.pos >= w.start AND d.pos < w.start + w.size GROUP BY ALL),

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from nearcite.llm import decontamination, license_scan, line_dedup, quality_rules
 
@@ -158,6 +159,30 @@ def test_leaks(spark):
     assert decontamination.report(rows, benchmark.limit(0)).count() == 0
 
 
+def test_an_item_in_another_order_is_found(spark):
+    words = [f"w{i}" for i in range(60)]
+    swapped = " ".join(words[30:] + words[:30])
+    thirds = " ".join(words[40:] + words[20:40] + words[:20])
+    other = " ".join(f"v{i}" for i in range(200))
+    texts = [f"{other} {swapped} {other}", f"{other} {thirds}", swapped, " ".join(words[:50]), f"{other} {' '.join(words[:45])} {other}", " ".join(words[::-1])]
+    items = [(1, " ".join(words)), (2, " ".join(words)), (None, " ".join(words[:40]))]
+    rows, benchmark = table(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.report(rows, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == leak_rows(list(enumerate(texts)), items)
+    assert {0, 2} <= {r["doc_id"] for r in got}
+    assert {r["start_word"] for r in got if r["doc_id"] == 0 and r["item_id"] == 1} == {200}
+
+
+def test_leaks_without_any_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "small", lambda df: df)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = table(spark, [f"a b {words}", "none of it", words, words], ids=[1, 2, 3, 3]).withColumns({"_key": F.lit("x"), "_len": F.lit(0)})
+    benchmark = spark.createDataFrame([(7, words, "y")], "item_id long, text string, _hash string")
+    assert [tuple(r) for r in decontamination.report(rows, benchmark).orderBy("doc_id").collect()] == [(1, 7, 1.0, 2), (3, 7, 1.0, 0)]
+    assert decontamination.clean_documents(rows, benchmark).select("doc_id", "_key").collect() == [(2, "x")]
+    assert decontamination.report(rows.limit(0), benchmark).count() == 0
+
+
 def test_leaks_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, benchmark = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -173,6 +198,7 @@ def test_blocks_cover_all_bits_and_find_any_pair_in_the_radius():
 
 def test_simhash_is_the_sign_of_weighted_bits(spark):
     values = [[5, -1, 7, 7], [1 << 62, -(1 << 63)], [3], []]
+    values.append([1, 2, 2] * 30_000)  # more than a field of 16 bits counts
     rows = spark.createDataFrame([(v,) for v in values], "h array<long>")
     for r in rows.select("h", decontamination.simhash(rows["h"]).alias("s")).collect():
         want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in r["h"]) > len(r["h"]))
