@@ -23,27 +23,46 @@ IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})\.){3}0*(?:25[0-5]|2[
 TOKEN = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z@._%+/-]*+[0-9][A-Za-z0-9@._%+/-]*+"
 #: Seeds of secrets: long hexadecimal values.
 SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,128}$"
-SPAN = "array<struct<s:int,e:int>>"
+FOUND = "array<struct<s:int,e:int,v:string>>"
+#: Code points of the pieces that contexts are cut from: far into a long text, a substring of the whole is slow.
+PIECE = 1024
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENCE = 0.8
 
 
+def scanned(values: Column, empty: Column, add) -> Column:
+    """Running results of ``add`` over an array, the first after one element.
+
+    Done within blocks of about the cube root of its size and then over the blocks: an array that grows by one
+    element a step is copied each time, which for a text of many matches would take the square of their number.
+    """
+    grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+
+    def blocked(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.cbrt(F.size(v))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.size(v), width)
+        return F.transform(starts, lambda at: F.aggregate(F.slice(v, at, width), F.array(empty), grow))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(F.transform(blocks, lambda x: F.element_at(x, -1)), F.array(empty), grow)
+        moved = F.zip_with(F.slice(before, 1, F.size(blocks)), blocks, lambda o, x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda y: add(o, y)))
+        return F.flatten(moved)
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, lambda v: let(blocked(v), joined)))
+
+
 def _places(text: Column, regex: str) -> Column:
     """Array of (s, e, v): start and end in code points, and text, of all matches from left to right."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("found"))
 
     def laid(gaps: Column, matches: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["g"])
-            end = start + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("v")))).alias("found"))
-
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.aggregate(pairs, empty, step)["found"]
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+        ends = scanned(sizes, F.lit(0), lambda total, x: total + x)
+        return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("v")))
 
     matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return let(matches, lambda m: F.when(F.size(m) == 0, empty["found"]).otherwise(let(F.split(text, regex), lambda g: laid(g, m))))
+    none = F.array().cast(FOUND)
+    return let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, regex), lambda g: laid(g, m))))
 
 
 def _digits(value: Column) -> Column:
@@ -71,67 +90,83 @@ def _passes(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Struct with an array of (s, e) for each kind."""
+    """Struct with an array of (s, e, v) for each kind."""
     return F.struct(*[_spans_of(kind, text).alias(kind) for kind in FORMATS])
 
 
 def _spans_of(kind: str, text: Column) -> Column:
     passing = F.filter(_places(text, FORMATS[kind]), lambda x: _passes(kind, x["v"]))
-    kept = F.transform(passing, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     hint = text.contains("@") if kind == "email" else text.rlike(HINTS[kind])
-    return F.when(hint, kept).otherwise(F.array().cast(SPAN))
-
-
-def _named(kind: str) -> Column:
-    return F.transform(F.col(f"_base.{kind}"), lambda x: F.named_struct(F.lit("s"), x["s"], F.lit("e"), x["e"], F.lit("k"), F.lit(kind)))
+    return F.when(hint, passing).otherwise(F.array().cast(FOUND))
 
 
 def _said(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
-def _described(text: Column, start: Column, end: Column, value: Column) -> Column:
+def _described(pieces: Column, start: Column, end: Column, value: Column) -> Column:
     """A place with two words before and one behind."""
-    before = F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
-    behind = F.substring(text, end + 1, F.lit(48))
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    first, last = (start / PIECE).cast("int"), (end / PIECE).cast("int")
+    at = start - F.greatest(first - 1, F.lit(0)) * PIECE
+    before = F.substring(F.concat(F.when(first > 0, piece(first - 1)).otherwise(F.lit("")), piece(first)), F.greatest(F.lit(1), at - 63), F.least(at, F.lit(64)))
+    behind = F.substring(F.concat(piece(last), piece(last + 1)), end - last * PIECE + 1, F.lit(48))
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    return F.struct(
-        start.alias("s"), end.alias("e"), value.alias("v"),
-        flat(F.regexp_extract(before, r"(\S+\s+\S+\s+\S{0,8})$", 1)).alias("left"),
-        flat(F.regexp_extract(before, r"(\S+\s+\S{0,8})$", 1)).alias("last"),
+    left = lambda b: F.struct(
+        flat(F.regexp_extract(b, r"(\S+\s+\S+\s+\S{0,8})$", 1)).alias("left"), flat(F.regexp_extract(b, r"(\S+\s+\S{0,8})$", 1)).alias("last")
+    )
+    said = lambda x: F.struct(
+        start.alias("s"), end.alias("e"), value.alias("v"), x["left"].alias("left"), x["last"].alias("last"),
         flat(F.regexp_extract(behind, r"^(\S{0,8}\s+\S+)", 1)).alias("right"),
     )
+    return let(let(before, left), said)
 
 
 PLACES = "array<struct<s:int,e:int,v:string,left:string,last:string,right:string>>"
 
 
-def _candidates(text: Column) -> Column:
-    """Array of (s, e, v, left, right): tokens that may be identifiers, with two words before and one behind."""
+def _free(base: Column, found: Column) -> Column:
+    """The found places that overlap no base span.
+
+    Spans by start and places by end are laid in one line: a place is free if no span before its end reaches
+    beyond its start.
+    """
+    spans = F.flatten(F.array(*[base[k] for k in FORMATS]))
+    ends = F.transform(found, lambda x, i: F.struct(x["e"].alias("at"), F.lit(0).alias("span"), F.lit(0).alias("e"), i.alias("i")))
+    starts = F.transform(spans, lambda x: F.struct(x["s"].alias("at"), F.lit(1).alias("span"), x["e"].alias("e"), F.lit(-1).alias("i")))
+
+    def kept(line: Column) -> Column:
+        reach = scanned(F.transform(line, lambda x: x["e"]), F.lit(0), lambda most, e: F.greatest(most, e))
+        free = F.filter(
+            F.zip_with(line, reach, lambda x, r: F.when((x["span"] == 0) & (r <= F.get(found, x["i"])["s"]), x["i"])), lambda i: i.isNotNull()
+        )
+        return F.transform(free, lambda i: F.get(found, i))
+
+    return F.when(F.size(spans) == 0, found).otherwise(let(F.array_sort(F.concat(ends, starts)), kept))
+
+
+def _candidates(base: Column, pieces: Column, text: Column) -> Column:
+    """Array of (s, e, v, left, last, right): tokens beside the base spans that may be identifiers, with their contexts."""
 
     def bare(x: Column) -> Column:
-        return F.regexp_replace(x["v"], r"[._%+/@-]+$", "")
+        value = F.regexp_replace(x["v"], r"[._%+/@-]+$", "")
+        return let(value, lambda v: F.struct(x["s"].alias("s"), (x["s"] + F.length(v)).alias("e"), v.alias("v")))
 
     long = F.filter(_places(text, TOKEN), lambda x: (F.length(x["v"]) >= 8) & (F.length(_digits(x["v"])) >= 4))
-    described = F.transform(long, lambda x: _described(text, x["s"], x["s"] + F.length(bare(x)), bare(x)))
+    free = let(F.transform(long, bare), lambda found: _free(base, found))
+    described = F.transform(free, lambda x: _described(pieces, x["s"], x["e"], x["v"]))
     return F.when(text.rlike("[0-9]"), described).otherwise(F.array().cast(PLACES))
 
 
-def _seeds(base: Column, text: Column) -> Column:
+def _seeds(base: Column, pieces: Column) -> Column:
     """Struct with the base spans of each kind, of any length and form, described like candidates."""
-    span = lambda x: _described(text, x["s"], x["e"], F.substring(text, x["s"] + 1, x["e"] - x["s"]))
-    return F.struct(*[F.transform(base[kind], span).alias(kind) for kind in FORMATS])
+    return F.struct(*[F.transform(base[k], lambda x: _described(pieces, x["s"], x["e"], x["v"])).alias(k) for k in FORMATS])
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """_key, s, e, _value (hash), _seed (kind or null) and _pattern, one row for each context of each base span and candidate.
-
-    A candidate that overlaps a base span is none.
-    """
-    spans = F.flatten(F.array(*[_named(k) for k in FORMATS]))
-    one = rows.select("_key", spans.alias("_spans"), F.explode_outer("_cand").alias("_c")).where("_c IS NOT NULL")
-    over = F.exists("_spans", lambda x: (x["s"] < F.col("_c.e")) & (x["e"] > F.col("_c.s")))
-    one = one.where(~over).select("_key", "_c", F.when(F.col("_c.v").rlike(SECRET), F.lit("secret")).alias("_seed"))
+    """_key, s, e, _value (hash), _seed (kind or null) and _pattern, one row for each context of each base span and candidate."""
+    one = rows.select("_key", F.explode("_cand").alias("_c"))
+    one = one.select("_key", "_c", F.when(F.col("_c.v").rlike(SECRET), F.lit("secret")).alias("_seed"))
     kinds = lambda k: F.transform(F.col(f"_seeds.{k}"), lambda x: F.struct(x.alias("c"), F.lit(k).alias("k")))
     seeds = F.flatten(F.array(*[kinds(k) for k in FORMATS]))
     own = rows.select("_key", F.explode(seeds).alias("_s")).select("_key", F.col("_s.c").alias("_c"), F.col("_s.k").alias("_seed"))
@@ -185,9 +220,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = df.select(identity.alias("_id"), row_key(identity, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    parts = let(base_spans(F.col("_text")), lambda b: F.struct(b.alias("base"), _seeds(b, F.col("_text")).alias("seeds")))
-    rows = rows.select("_id", "_key", parts.alias("_b"), _candidates(F.col("_text")).alias("_cand"))
-    rows = stored(rows.select("_id", "_key", F.col("_b.base").alias("_base"), F.col("_b.seeds").alias("_seeds"), "_cand"), "pii-scan")
+    bare = lambda b: F.struct(*[F.transform(b[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in FORMATS])
+    parts = lambda b, pieces: F.struct(
+        bare(b).alias("base"), _seeds(b, pieces).alias("seeds"), _candidates(b, pieces, F.col("_text")).alias("cand")
+    )
+    pieces = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    scan = let(base_spans(F.col("_text")), lambda b: let(pieces, lambda p: parts(b, p)))
+    rows = rows.select("_id", "_key", scan.alias("_b"))
+    rows = stored(rows.select("_id", "_key", F.col("_b.base").alias("_base"), F.col("_b.seeds").alias("_seeds"), F.col("_b.cand").alias("_cand")), "pii-scan")
     found = found_spans(rows).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("kind", "s", "e"))).alias("_found"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     return rows.join(found, "_key", "left").select("_id", "_base", F.coalesce("_found", none).alias("_found"))

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 
 from nearcite.llm import components, html_extraction, kneser_ney, near_dedup, pii, piece_coding, quality_classifier
@@ -293,6 +294,37 @@ def test_base_spans(spark, docs, source):
         assert r["spans"] == joined or r["spans"].startswith(joined + ("," if joined else ""))
 
 
+def test_a_text_of_very_many_addresses(spark):
+    """Positions, overlaps and contexts of one long text in time and memory about as long as the text."""
+    text = " ".join(f"u{i}@m{i % 97}.org" + (" id QX-99812-7761 4111 1111 1111 1111\n" if i % 999 == 0 else "") for i in range(60_000))
+    rows = table(spark, [text, text, "é" * 3000 + " x@y.org"], ids=[1, 1, 2]).withColumns({"_key": F.lit(1), "s": F.lit("x")})
+    got = pii.report(rows).collect()
+    assert len(got) == 3 and got[0]["n_email"] + got[1]["n_email"] + got[2]["n_email"] == 120_001
+    for r in got:
+        want = personal(text if r["doc_id"] == 1 else "é" * 3000 + " x@y.org")
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert pii.report(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 9, 100, 1001])
+def test_running_results(spark, n):
+    rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("v") if n else F.array().cast("array<int>").alias("v"))
+    sums = rows.select(pii.scanned(F.col("v"), F.lit(0), lambda a, x: a + x)).first()[0]
+    assert sums == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_places_that_overlap_a_span_are_no_candidates(spark):
+    rng = random.Random(2)
+    cut = lambda k: sorted({(a, a + rng.randint(1, 6)) for a in rng.sample(range(120), k)})
+    for _ in range(5):
+        base = {k: cut(6) for k in pii.FORMATS}
+        found = [(a, b, "v") for a, b in cut(30)]
+        kinds = ", ".join(f"{k}:{pii.FOUND}" for k in pii.FORMATS)
+        rows = spark.createDataFrame([({k: [(a, b, "") for a, b in v] for k, v in base.items()}, found)], f"base struct<{kinds}>, found {pii.FOUND}")
+        free = {tuple(x) for x in rows.select(pii._free(F.col("base"), F.col("found"))).first()[0]}
+        assert free == {(a, b, v) for a, b, v in found if not any(s < b and e > a for spans in base.values() for s, e in spans)}
+
+
 def test_contexts_find_what_no_format_does(spark):
     rng = random.Random(7)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
