@@ -126,7 +126,7 @@ def _license_scan() -> str:
         f"SELECT k, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i+{len(p.split()) - 1}] = {p.split()})) - 1 AS pos, '{label}' AS label FROM texts"
         for p, label in PHRASES.items()
     )
-    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)})" for i, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)}, {quoted(names)})" for i, (label, text, names) in enumerate(TEMPLATES))
     return f"""
 WITH texts AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
@@ -135,12 +135,17 @@ places AS ({places}),
 base AS (
   SELECT k, count(*) AS n, min(pos) AS first, max(pos) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY k),
 templates AS (
-  SELECT label, list_distinct({_words('lower(text)', _BARE)}) AS need FROM (VALUES {templates}) v(i, label, text)),
-lines AS (SELECT k, list_distinct({_words('lower(line)', _BARE)}) AS have FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM texts)),
+  SELECT label, list_distinct({_words('lower(text)', _BARE)}) AS need, {_words('names', _BARE)} AS names,
+    ceil(len({_words('lower(text)', _BARE)}) / {CONTAINMENT} - 1e-9)::BIGINT AS run FROM (VALUES {templates}) v(i, label, text, names)),
+bare AS (SELECT k, {_words('lower(t)', _BARE)} AS x FROM texts),
+tried AS (
+  SELECT k, label, need, names, run, x, unnest(range(1, len(x) + 1)) AS i
+  FROM bare, templates WHERE len(list_intersect(need, x)) >= {CONTAINMENT} * len(need) - 1e-9),
+blocks AS (SELECT k, label, need, names, list_distinct(x[i:i + run - 1]) AS have FROM tried),
 found AS (
   SELECT k, label, max(share) AS share FROM (
-    SELECT k, label, len(list_intersect(need, have)) / len(need) AS share FROM lines, templates) WHERE share >= {CONTAINMENT} - 1e-9
-  GROUP BY k, label),
+    SELECT k, label, len(list_intersect(need, have)) / len(need) AS share FROM blocks WHERE list_has_all(have, names))
+  WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY k, label),
 labelled AS (
   SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
     SELECT k, label FROM found UNION SELECT k, label FROM places) GROUP BY k),

@@ -233,15 +233,26 @@ def test_containment_join_is_exact(spark, docs):
         got = {r["_row"]["doc_id"]: set(r["labels"].split(",")) - {""} - set(r["base_labels"].split(",")) for r in found}
         for doc in rows.collect():
             want = set()
-            for line in (doc["text"] or "").split("\n"):
-                words = set(BARE.findall(line.lower()))
-                for label, text in templates:
-                    own = set(text.split())
-                    if len(own & words) >= threshold * len(own) - 1e-9:
-                        want.add(label)
+            words = BARE.findall((doc["text"] or "").lower())
+            for label, text in templates:
+                own, run = set(text.split()), -int(-len(text.split()) / threshold // 1)
+                if any(len(own & set(words[i : i + run])) >= threshold * len(own) - 1e-9 for i in range(len(words))):
+                    want.add(label)
             assert got[doc["doc_id"]] == want
 
 
+def test_notices_across_lines_and_names(spark):
+    bsd = "Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided\n# that the"
+    mit = "Permission is hereby granted, free\nof charge, to any\nperson obtaining a copy of\nthis software and"
+    share = "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0\nInternational License"
+    texts = [
+        f"v w x\n{bsd} y", mit, share, "released under the license of its owners", "released under\nthe MIT license", "mit " + "x " * 50 + "released under the license",
+        "Licensed under the Apache License, Version 2.0 (the License)", " ".join(f"w{i} the license" for i in range(20_000)) + " " + mit, None, "",
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.report(table(spark, texts)).collect()}
+    assert got == {0: "bsd", 1: "mit", 2: "cc-by-sa", 3: "", 4: "mit", 5: "", 6: "apache-2.0", 7: "mit", 8: "", 9: ""}
+
+
 @pytest.mark.parametrize("report", [quality_rules.report, line_dedup.report, license_scan.report])
 def test_empty_tables_and_clashing_columns(spark, docs, report):
     assert report(docs.limit(0)).count() == 0
