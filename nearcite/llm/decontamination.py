@@ -82,6 +82,11 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
+def _shingled(rows: DataFrame) -> DataFrame:
+    """The rows with _sh instead of _text. An outer explode of one array keeps what reads _sh from working it out again."""
+    return rows.select("_id", "_key", F.explode_outer(F.array(shingles(F.col("_text")))).alias("_sh"))
+
+
 def _dense(places: DataFrame, similarity: float) -> DataFrame:
     """_key, _len and _starts: the windows of a text that hold enough shingles of one item.
 
@@ -124,12 +129,12 @@ def leaks(
     items = stored(items.withColumn("_fp", simhash(F.col("_item_sh"))), "benchmark-items")
     sized = items.select("_item", F.xxhash64("_item_sh").alias("_content"), F.size("_item_sh").alias("_len"), F.explode(F.array_distinct("_item_sh")).alias("_hash"))
     anchors = stored(sized.select("_content", "_len", "_hash").distinct(), "benchmark-anchors")
-    rows = keyed_texts(docs, id_col, text_col).select("_id", "_key", shingles(F.col("_text")).alias("_sh"))
-    places = rows.select("_key", F.size("_sh").alias("_n"), F.posexplode("_sh").alias("_at", "_hash")).join(small(anchors), "_hash")
+    rows = keyed_texts(docs, id_col, text_col)
+    places = _shingled(rows).select("_key", F.size("_sh").alias("_n"), F.posexplode_outer("_sh").alias("_at", "_hash")).join(small(anchors), "_hash")
     windows = _dense(places, similarity)
     windows = stored(windows.select("_key", "_len", F.explode("_starts").alias("_start")).distinct(), "benchmark-windows")
     hit = rows.join(small(stored(windows.select("_key").distinct(), "benchmark-rows")), "_key", "left_semi").dropDuplicates(["_key"])
-    cut = stored(hit, "benchmark-texts").join(windows, "_key").select(
+    cut = stored(_shingled(hit), "benchmark-texts").join(windows, "_key").select(
         "_id", "_key", "_len", "_start", F.expr("slice(_sh, _start + 1, _len)").alias("_win")
     )
     printed = _blocked(stored(cut.withColumn("_fp", simhash(F.col("_win"))), "benchmark-fingerprints"), radius)
