@@ -65,7 +65,7 @@ judged AS (
     OR word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words
     OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '^[^a-z]*[A-Z]{{2}}[^a-z]*$'))) > n_words
     OR 2 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) > n_words
-    OR (n_words >= 20 AND n_words < 2000 AND 10 * len(list_distinct(w)) < n_words)
+    OR (n_words >= 20 AND 10 * list_sum(list_transform(range(1, n_words + 1, 1000), lambda i: len(list_distinct(w[i:i + 999])))) < n_words)
     OR (n_lines >= 4 AND 2 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > n_lines)
     OR (n_lines >= 4 AND 10 * len(list_filter(l, lambda x: regexp_matches(x, '^\s*[•*\-]\s'))) > 9 * n_lines) AS bad
   FROM measures)

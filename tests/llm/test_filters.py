@@ -1,5 +1,6 @@
 """Quality rules, line dedup, decontamination and license scan against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -56,7 +57,8 @@ def test_quality_measures(spark, docs, source):
 def test_cascade_order_does_not_change_the_verdict(spark, docs, monkeypatch):
     first = {tuple(r) for r in quality_rules.report(docs).select("doc_id", "kept").collect()}
     order = quality_rules.rule_order(docs)
-    assert {name for name, _, _ in order} == set(quality_rules.rules())
+    every = quality_rules.measures()
+    assert {name for name, _, _ in order} == set(quality_rules.rules(every)) | set(quality_rules.base_rules(every))
     monkeypatch.setattr(quality_rules, "rule_order", lambda *a: list(reversed(order)))
     assert {tuple(r) for r in quality_rules.report(docs).select("doc_id", "kept").collect()} == first
     kept = quality_rules.filter_documents(docs)
@@ -205,6 +207,22 @@ def test_simhash_is_the_sign_of_weighted_bits(spark):
         assert r["s"] % (1 << 64) == want
 
 
+@pytest.mark.parametrize("n", [60, 1999, 2000, 2001, 30_000])
+def test_junk_of_any_length_is_rejected(spark, n):
+    rng = random.Random(n)
+    few = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + "xyz"[rng.randrange(1)] for _ in range(n))
+    many = " ".join(f"word{rng.randrange(400)}" for _ in range(n))
+    verdicts = {r["doc_id"]: (r["rejected_by"], r["kept"]) for r in quality_rules.quality(table(spark, [few, many])).select("_row.doc_id", "rejected_by", "kept").collect()}
+    assert not verdicts[0][1] and verdicts[1] == (None, True)
+    assert [r["doc_id"] for r in quality_rules.filter_documents(table(spark, [few, many])).collect()] == [1]
+
+
+def test_the_cascade_keeps_what_the_report_keeps(spark, docs):
+    rows = docs.union(table(spark, ODD, range(-len(ODD), 0)))
+    kept = sorted(r["doc_id"] for r in quality_rules.report(rows).where("kept").collect())
+    assert sorted(r["doc_id"] for r in quality_rules.filter_documents(rows).collect()) == kept
+
+
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
