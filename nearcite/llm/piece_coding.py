@@ -6,7 +6,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,9 @@ from nearcite.llm.tokens import SLICE_BYTES, mixed, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 DROPOUT = 0.1
-VARIANTS = 8
 SHORT = 32
+#: Draws that are held at once.
+MERGES = 1 << 22
 NEVER = np.int32(2**31 - 1)
 UNIT = re.compile(" *[^ ]+| +")
 
@@ -64,8 +64,15 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
     return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(model: str) -> Vocabulary:
+    """The vocabulary of a model file, read once a worker: kept on a library module that every worker has."""
+    known = sentencepiece.__dict__.setdefault("_nearcite_vocabularies", {})
+    if model not in known:
+        known[model] = read_vocabulary(model)
+    return known[model]
+
+
+def read_vocabulary(model: str) -> Vocabulary:
     """From a piece model with merge ranks as scores and byte pieces. Units end where no piece can go on: before a blank."""
     reader = sentencepiece.SentencePieceProcessor(model_file=model)
     ids = range(reader.get_piece_size())
@@ -105,12 +112,15 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(char_id, slots, ranks, order, texts, byte_id)
 
 
-def _drop(seed: int, variant, left, right, begin, end, dropout: float):
-    """True where the keyed hash skips the merge of these pieces over these places."""
-    key = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)) + np.asarray(variant).astype(np.uint64)
-    key = mixed(key + (np.asarray(left).astype(np.uint64) << np.uint64(32) | np.asarray(right).astype(np.uint64)))
-    key = mixed(key + (np.asarray(begin).astype(np.uint64) << np.uint64(32) | np.asarray(end).astype(np.uint64)))
-    return key < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1)) if dropout > 0 else np.zeros(key.shape, bool)
+def _merge_key(seed: int, left, right, begin, end) -> np.ndarray:
+    """Hash of a merge: of seed, pieces and places within a unit."""
+    key = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)) + (np.asarray(left).astype(np.uint64) << np.uint64(32) | np.asarray(right).astype(np.uint64))
+    return mixed(mixed(key) + (np.asarray(begin).astype(np.uint64) << np.uint64(32) | np.asarray(end).astype(np.uint64)))
+
+
+def _skips(occurrence: np.ndarray, merge: np.ndarray, dropout: float) -> np.ndarray:
+    """True where the hash of an occurrence of a unit and of a merge skips that merge there."""
+    return mixed(np.asarray(occurrence).astype(np.uint64) ^ merge) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
 
 def _pair_rank(v: Vocabulary, left: np.ndarray, right: np.ndarray, variant, begin, end, seed: int, dropout: float) -> np.ndarray:
@@ -118,11 +128,36 @@ def _pair_rank(v: Vocabulary, left: np.ndarray, right: np.ndarray, variant, begi
     rank = v.rank_of(left, right)
     if dropout > 0:
         where = np.flatnonzero(rank != NEVER)
-        rank[where[_drop(seed, variant[where], left[where], right[where], begin[where], end[where], dropout)]] = NEVER
+        merge = _merge_key(seed, left[where], right[where], begin[where], end[where])
+        rank[where[_skips(variant[where], merge, dropout)]] = NEVER
     return rank
 
 
-def _short_units(v: Vocabulary, symbols: np.ndarray, variant: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+class Trace:
+    """Merges that came up while units were cut without dropout: unit, and hash of the merge.
+
+    An occurrence that skips none of them is cut the same way.
+    """
+
+    def __init__(self, seed: int):
+        self.seed, self.units, self.merges = seed, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+
+    def add(self, unit: np.ndarray, rank: np.ndarray, left, right, begin, end) -> None:
+        at = np.flatnonzero(rank != NEVER)
+        if len(at):
+            self.units.append(unit[at])
+            self.merges.append(_merge_key(self.seed, left[at], right[at], begin[at], end[at]))
+
+    def by_unit(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merges in the order of their units, and where those of each unit begin."""
+        units, merges = np.concatenate(self.units), np.concatenate(self.merges)
+        order = np.argsort(units, kind="stable")
+        return merges[order], np.searchsorted(units[order], np.arange(n + 1))
+
+
+def _short_units(
+    v: Vocabulary, symbols: np.ndarray, variant: np.ndarray, seed: int, dropout: float, trace: Trace | None = None, units: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Final symbols and their begins of units of one length, as matrices padded with -2, all units in step.
 
     In every step each unit makes its best allowed merge, the leftmost of equals: what its agenda would give.
@@ -134,6 +169,9 @@ def _short_units(v: Vocabulary, symbols: np.ndarray, variant: np.ndarray, seed:
     s = [np.ascontiguousarray(symbols[:, c]) for c in range(width)]
     b = [np.full(rows, c, np.int32) for c in range(width + 1)]  # the last begin is the end
     r = [_pair_rank(v, s[c], s[c + 1], variant, b[c], b[c + 2], seed, dropout) for c in range(width - 1)]
+    if trace is not None:
+        for c, rank in enumerate(r):
+            trace.add(units, rank, s[c], s[c + 1], b[c], b[c + 2])
     while True:
         key = np.full(len(own), np.int64(NEVER) << 8)
         for c, rank in enumerate(r):
@@ -165,13 +203,18 @@ def _short_units(v: Vocabulary, symbols: np.ndarray, variant: np.ndarray, seed:
             np.copyto(end, b[c + 2], where=best == c)
         one = _pair_rank(v, left[0], made, variant, left[1], end, seed, dropout)
         two = _pair_rank(v, made, right[0], variant, begin, right[1], seed, dropout)
+        if trace is not None:
+            trace.add(units[own], one, left[0], made, left[1], end)
+            trace.add(units[own], two, made, right[0], begin, right[1])
         s = [np.where(best == c, made, np.where(best < c, s[c + 1], s[c])) for c in range(n - 1)]
         b = [np.where(best < c, b[c + 1], b[c]) for c in range(n)]
         moved = [np.where(best <= c, r[c + 1], r[c]) for c in range(n - 2)]
         r = [np.where(best == c + 1, one, np.where(best == c, two, x)) for c, x in enumerate(moved)]
 
 
-def _long_unit(v: Vocabulary, symbols: np.ndarray, variant: int, seed: int, dropout: float) -> tuple[list[int], list[int]]:
+def _long_unit(
+    v: Vocabulary, symbols: np.ndarray, variant: int, seed: int, dropout: float, trace: Trace | None = None, unit: int = 0
+) -> tuple[list[int], list[int]]:
     """The same by an agenda, for a unit of any length."""
     n = len(symbols)
     s, begin, end = symbols.tolist(), list(range(n)), list(range(1, n + 1))
@@ -185,7 +228,9 @@ def _long_unit(v: Vocabulary, symbols: np.ndarray, variant: int, seed: int, drop
         j = np.array([right[x] for x in i.tolist()], np.int64)
         one, two = np.array([s[x] for x in i.tolist()], np.int32), np.array([s[x] for x in j.tolist()], np.int32)
         begins, ends = np.array([begin[x] for x in i.tolist()]), np.array([end[x] for x in j.tolist()])
-        ranks = _pair_rank(v, one, two, np.full(len(i), variant), begins, ends, seed, dropout)
+        ranks = _pair_rank(v, one, two, np.full(len(i), variant, np.uint64), begins, ends, seed, dropout)
+        if trace is not None:
+            trace.add(np.full(len(i), unit, np.int64), ranks, one, two, begins, ends)
         for x, r, e in zip(i.tolist(), ranks.tolist(), ends.tolist(), strict=True):
             if r != NEVER:
                 heapq.heappush(agenda, (r, begin[x], e, x, int(v.by_rank[r])))
@@ -205,8 +250,10 @@ def _long_unit(v: Vocabulary, symbols: np.ndarray, variant: int, seed: int, drop
     return [s[i] for i in alive], [begin[i] for i in alive]
 
 
-def _encode_units(v: Vocabulary, units: list[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all units, flat, and their offsets."""
+def _encode_units(
+    v: Vocabulary, units: list[str], variants: np.ndarray, seed: int, dropout: float, trace: Trace | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all units, flat, and their offsets. variants: what tells the occurrences of a unit apart."""
     lengths = np.fromiter((len(u) for u in units), np.int64, len(units))
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(lengths)
@@ -217,12 +264,12 @@ def _encode_units(v: Vocabulary, units: list[str], variants: np.ndarray, seed: i
         own = np.flatnonzero(lengths == length)
         if length <= SHORT:
             for part in np.array_split(own, max(1, len(own) * length // 1_000_000)):
-                s, b = _short_units(v, chars[starts[part][:, None] + np.arange(length)], variants[part], seed, dropout)
+                s, b = _short_units(v, chars[starts[part][:, None] + np.arange(length)], variants[part], seed, dropout, trace, part)
                 full = s != -2
                 done.append((part, full.sum(axis=1), s[full], b[full]))
         else:
             for unit in own.tolist():
-                s, b = _long_unit(v, chars[starts[unit] : ends[unit]], int(variants[unit]), seed, dropout)
+                s, b = _long_unit(v, chars[starts[unit] : ends[unit]], int(variants[unit]), seed, dropout, trace, unit)
                 done.append((np.array([unit]), np.array([len(s)]), np.array(s, np.int32), np.array(b, np.int32)))
     # characters without a piece go as bytes: a piece that is none counts as many as its bytes
     offsets = np.zeros(len(units) + 1, np.int64)
@@ -259,10 +306,29 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def encode_texts(texts: pa.Array, keys: np.ndarray, model: str, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of the texts (null: none), flat, and offsets. keys: values that, with a unit's number, choose its variant.
-
-    Units are held without their first blank. Texts of words between single blanks are cut by Arrow.
+def _skipping(which: np.ndarray, occurrence: np.ndarray, merges: np.ndarray, starts: np.ndarray, dropout: float) -> np.ndarray:
+    """True for occurrences (of the units ``which``) that skip a merge which came up when their unit was cut."""
+    many = starts[which + 1] - starts[which]
+    out = np.zeros(len(which), bool)
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(which):  # so many merges at a time
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + MERGES, side="right")))
+        part = many[at:stop]
+        own = np.repeat(np.arange(at, stop), part)
+        hit = _skips(occurrence[own], merges[np.repeat(starts[which[at:stop]], part) + _within(part)], dropout)
+        out[own[hit]] = True
+        at = stop
+    return out
+
+
+def encode_texts(texts: pa.Array, keys: np.ndarray, model: str, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of the texts (null: none), flat, and offsets. keys: values that, with a unit's number, make its own draws.
+
+    Each different unit is cut once without dropout. Occurrences that skip none of the merges that came up then are
+    cut alike; all others are cut for themselves. Units are held without their first blank. Texts of words between
+    single blanks are cut by Arrow.
     """
     v = vocabulary(model)
     texts = pc.fill_null(texts, "")
@@ -278,16 +344,16 @@ def encode_texts(texts: pa.Array, keys: np.ndarray, model: str, seed: int, dropo
     sizes = np.concatenate([np.diff(parts.offsets.to_numpy()), np.array([len(u) for u in rest_units], np.int64)]).astype(np.int64)
     coded = pc.dictionary_encode(units)
     codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    trace = Trace(seed) if dropout > 0 else None
+    pieces, offsets = _encode_units(v, [" " + name for name in names], np.zeros(len(names), np.uint64), seed, 0.0, trace)
+    which = codes
     if dropout > 0:
-        variant = mixed(np.repeat(keys[order], sizes) + _within(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        codes = codes * variants + (variant % np.uint64(variants)).astype(np.int64)
-    else:
-        codes *= variants
-    asked = np.zeros(len(names) * variants, bool)
-    asked[codes] = True
-    distinct = np.flatnonzero(asked)
-    which = np.cumsum(asked, dtype=np.int64)[codes] - 1
-    pieces, offsets = _encode_units(v, [" " + names[c] for c in (distinct // variants).tolist()], distinct % variants, seed, dropout)
+        occurrence = mixed(np.repeat(keys[order], sizes) + _within(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own = np.flatnonzero(_skipping(codes, occurrence, *trace.by_unit(len(names)), dropout))
+        more, ends = _encode_units(v, [" " + names[c] for c in codes[own].tolist()], occurrence[own], seed, dropout)
+        which = codes.copy()
+        which[own] = len(names) + np.arange(len(own))
+        pieces, offsets = np.concatenate([pieces, more]), np.concatenate([offsets, offsets[-1] + ends[1:]])
     lengths = np.diff(offsets)[which]
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
     in_order = np.zeros(len(texts), np.int64)
@@ -309,14 +375,14 @@ def decode_ids(ids: list[int], model: str) -> str:
     return b"".join(map(texts.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def _coder(model: str, seed: int, dropout: float, variants: int):
+def _coder(model: str, seed: int, dropout: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(model).texts
         for batch in batches:
             for part in slices(batch, "_text", SLICE_BYTES // 2):
                 texts = part["_text"].to_pylist()
                 keys = part["_k"].to_numpy().view(np.uint64)
-                flat, bounds = encode_texts(part["_text"], keys, model, seed, dropout, variants)
+                flat, bounds = encode_texts(part["_text"], keys, model, seed, dropout)
                 same = [
                     b"".join(map(table.__getitem__, flat[a:b].tolist()))[1:] == (t or "").encode("utf-8", "surrogatepass")
                     for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
@@ -331,15 +397,14 @@ def _coder(model: str, seed: int, dropout: float, variants: int):
 
 def encode(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
-    seed: int = 1, dropout: float = DROPOUT, variants: int = VARIANTS,
+    seed: int = 1, dropout: float = DROPOUT,
 ) -> DataFrame:
     """_id, ids, n_ids and lossless (the ids decode to the text) of every row; no shuffle.
 
-    A merge is skipped when the hash of seed, variant, both pieces and their place falls below the dropout;
-    what is skipped stays skipped, so the agenda needs no random state and every run gives the same ids. Which
-    of the variants a unit (a word with the blanks before it) gets depends on its number and its row, so a
-    word is cut in several ways within one text; a unit is worked out once a batch and variant. With no dropout
-    the ids are those of the model itself.
+    A merge is skipped when the hash of seed, row, the unit's number in its text (a unit is a word with the blanks
+    before it), both pieces and their place falls below the dropout: every occurrence of a word has draws of its
+    own. What is skipped stays skipped, so the agenda needs no random state and every run gives the same ids. With
+    no dropout the ids are those of the model itself.
 
     Null and empty texts have no ids; characters without a piece go as bytes; very long words take the agenda
     rather than the steps; equal rows get equal ids; other columns are not read.
@@ -347,7 +412,7 @@ def encode(
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = df.select(identity.alias("_id"), text.alias("_text"), F.xxhash64(row_key(identity, text)).alias("_k"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_coder(model, seed, dropout, variants), f"_id {kind}, ids array<int>, n_ids long, lossless boolean")
+    return rows.mapInArrow(_coder(model, seed, dropout), f"_id {kind}, ids array<int>, n_ids long, lossless boolean")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:

@@ -135,7 +135,7 @@ def test_components(spark):
 def test_pieces_without_dropout_are_those_of_the_library(docs):
     reader = sentencepiece.SentencePieceProcessor(model_file=piece_coding.MODEL)
     texts = [r["text"] for r in docs.collect()] + ODD
-    flat, bounds = piece_coding.encode_texts(pa.array(texts), np.arange(len(texts), dtype=np.uint64), piece_coding.MODEL, 1, 0.0, 8)
+    flat, bounds = piece_coding.encode_texts(pa.array(texts), np.arange(len(texts), dtype=np.uint64), piece_coding.MODEL, 1, 0.0)
     for i, text in enumerate(texts):
         ids = flat[bounds[i] : bounds[i + 1]].tolist()
         assert piece_coding.decode_ids(ids, piece_coding.MODEL) == (text or "")
@@ -154,7 +154,7 @@ def test_dropout_is_seeded_varied_and_lossless(spark, docs):
     assert all(r["decoded"] == (texts[r["doc_id"]] or "") for r in decoded)
     other = {r["doc_id"]: r["ids"] for r in piece_coding.encode(rows, seed=2).withColumnRenamed("_id", "doc_id").collect()}
     assert sum(other[d] != r["ids"] for d, r in one.items()) > len(docs.collect()) / 2
-    ids, bounds = piece_coding.encode_texts(pa.array(["thonanble " * 200]), np.array([5], np.uint64), piece_coding.MODEL, 1, 0.3, 8)
+    ids, bounds = piece_coding.encode_texts(pa.array(["thonanble " * 200]), np.array([5], np.uint64), piece_coding.MODEL, 1, 0.3)
     assert len({tuple(ids[i : i + 3].tolist()) for i in range(0, 300, 3)}) > 5
 
 
@@ -169,6 +169,32 @@ def test_long_units_agree_with_short_ones():
                 assert piece_coding._long_unit(v, chars, variant, 3, dropout) == want
 
 
+def test_every_occurrence_draws_for_itself():
+    """Cut one by one, by the agenda, each with its own key: no occurrence may differ from what it gets among many."""
+    v, seed, dropout, n = piece_coding.vocabulary(piece_coding.MODEL), 1, 0.1, 4000
+    unit = " international"
+    ids, _ = piece_coding.encode_texts(pa.array([unit.strip() + unit * (n - 1)]), np.array([7], np.uint64), piece_coding.MODEL, seed, dropout)
+    chars = v.char_id[np.array([ord(c) for c in unit])]
+    keys = piece_coding.mixed(np.uint64(7) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    each = [tuple(piece_coding._long_unit(v, chars, int(k), seed, dropout)[0]) for k in keys]
+    assert [x for cut in each for x in cut] == ids.tolist()
+    assert len(set(each)) > 60
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The functions that tasks run travel with them: a process without this package can run them."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a word or two"]), pa.array([5])], ["_id", "_text", "_k"])
+    (tmp_path / "job").write_bytes(cloudpickle.dumps((piece_coding._coder(piece_coding.MODEL, 1, 0.1), batch)))
+    code = "import pickle, sys; f, b = pickle.load(open(sys.argv[1], 'rb')); print(next(iter(f([b])))['lossless'][0])"
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "job")], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin"})
+    assert done.stdout.strip() == "True", done.stderr
+
+
 # language model
 
 
