@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,11 +36,15 @@ ASIDE_NAMES = frozenset(
     "comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup login popup modal overlay "
     "pagination pager toolbar skip complementary contentinfo search form".split()
 )
+LISTS = frozenset("ul ol dl table select".split())
+NOTHING = frozenset().__contains__
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
 NAMED = re.compile(r"(?:\b(?:id|class|role|aria-label)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 BLANK = re.compile(r"[\s]+")
+#: First part of the path that has another behind it.
+SECTION = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/+([^/?#]+)/"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -48,15 +53,37 @@ class Node:
     name: str
     aside: bool = False
     parts: list = field(default_factory=list)  # texts and nodes in page order
+    value: int = 0  # hash of the subtree, once subtree_hashes has been through
 
 
-def parse(page: str) -> Node:
-    """A tolerant element tree: open elements end with their parent, unknown ends are passed over.
+class Open:
+    """The elements that are open, innermost last, and how many there are of each name. Pages may nest to any depth."""
 
-    Depth is bounded by reusing the parent beyond 400 levels, which changes no text.
-    """
+    def __init__(self, root: Node):
+        self.stack, self.names = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.names[node.name] += 1
+
+    def close(self, name: str, barrier) -> None:
+        """Ends the innermost element of this name, unless one that the barrier holds back stands between."""
+        if not self.names[name]:
+            return
+        for depth in range(len(self.stack) - 1, 0, -1):
+            if self.stack[depth].name == name:
+                self.names.subtract(n.name for n in self.stack[depth:])
+                del self.stack[depth:]
+                return
+            if barrier(self.stack[depth].name):
+                return
+
+
+def parse(page: str) -> Node:
+    """A tolerant element tree of any depth: open elements end with their parent, unknown ends are passed over."""
     root = Node("#root")
-    stack = [root]
+    opened = Open(root)
+    stack = opened.stack
     end = 0
     while end < len(page):
         match = TOKEN.match(page, end)
@@ -68,14 +95,7 @@ def parse(page: str) -> Node:
             continue
         closing, name, attributes = match.group(1), match.group(2).lower(), match.group(3)
         if closing:
-            if name == "p" and not any(n.name == "p" for n in stack):
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                if name in INLINE and stack[depth].name not in INLINE:
-                    break
+            opened.close(name, (lambda n: n not in INLINE) if name in INLINE else NOTHING)
             continue
         if name in RAW and not attributes.rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, end)
@@ -86,31 +106,21 @@ def parse(page: str) -> Node:
                 stack[-1].parts.append(Node(name))
             continue
         if name in CLOSES_P:
-            _close(stack, "p", CLOSES_P - {"p"})
+            opened.close("p", CLOSES_P.__contains__)
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             group = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
             for own in group:
-                _close(stack, own, {"ul", "ol", "dl", "table", "select"})
+                opened.close(own, LISTS.__contains__)
         names = {w for m in NAMED.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower())} if attributes else ()
         node = Node(name, name in ASIDE or bool(attributes and HIDDEN.search(attributes)) or bool(ASIDE_NAMES.intersection(names)))
         if name in ("html", "body", "article", "main"):
             node.aside = False
         stack[-1].parts.append(node)
-        if len(stack) < 400 and not (attributes and attributes.rstrip().endswith("/") and name not in ("p", "div")):
-            stack.append(node)
+        if not (attributes and attributes.rstrip().endswith("/") and name not in ("p", "div")):
+            opened.push(node)
     return root
 
 
-def _close(stack: list[Node], name: str, barrier: set[str]) -> None:
-    """Ends the innermost open element of this name, unless one of the barrier stands between."""
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].name == name:
-            del stack[depth:]
-            return
-        if stack[depth].name in barrier:
-            return
-
-
 def main_part(root: Node) -> list[Node]:
     """The outermost article elements, or else main, or else the whole page without its sides."""
     for names in (("article",), ("main",)):
@@ -121,10 +131,13 @@ def main_part(root: Node) -> list[Node]:
 
 def _find_open(node: Node, names: tuple[str, ...]) -> list[Node]:
     """Outermost elements of these names that are in no element at the side, in page order."""
-    found = []
-    for part in node.parts:
-        if isinstance(part, Node) and not part.aside:
-            found += [part] if part.name in names else _find_open(part, names)
+    found, ahead = [], [node]
+    while ahead:
+        own = ahead.pop()
+        if own is not node and own.name in names:
+            found.append(own)
+        else:
+            ahead += [part for part in reversed(own.parts) if isinstance(part, Node) and not part.aside]
     return found
 
 
@@ -132,19 +145,23 @@ def _text(node: Node) -> str:
     return " ".join(blocks(node, frozenset()))
 
 
-def subtree_hashes(node: Node) -> tuple[int, list[int]]:
-    """Hash of an element from its name, texts and children; and those of all block elements below that have text."""
-    own, below = xxhash.xxh3_64(node.name.encode()), []
-    for part in node.parts:
-        if isinstance(part, Node):
-            value, more = subtree_hashes(part)
-            own.update(value.to_bytes(8, "little"))
-            below += more
-            if part.name not in INLINE and part.parts:
-                below.append(value)
-        else:
-            own.update(BLANK.sub(" ", part).strip().encode("utf-8", "surrogatepass"))
-    return own.intdigest(), below
+def subtree_hashes(root: Node) -> list[int]:
+    """Gives every element its hash, from its name, texts and children; those of all block elements that have content."""
+    order = [root]
+    for node in order:  # grows by the children of each: parents stand before them
+        order += [part for part in node.parts if isinstance(part, Node)]
+    found = []
+    for node in reversed(order):
+        own = xxhash.xxh3_64(node.name.encode())
+        for part in node.parts:
+            if isinstance(part, Node):
+                own.update(part.value.to_bytes(8, "little"))
+            else:
+                own.update(BLANK.sub(" ", part).strip().encode("utf-8", "surrogatepass"))
+        node.value = own.intdigest()
+        if node is not root and node.name not in INLINE and node.parts:
+            found.append(node.value)
+    return found
 
 
 def blocks(node: Node, template: frozenset[int]) -> Iterator[str]:
@@ -163,28 +180,31 @@ def blocks(node: Node, template: frozenset[int]) -> Iterator[str]:
 
 def _stream(node: Node, template: frozenset[int]) -> Iterator[str | None]:
     """Raw texts, and None where a block begins or ends."""
-    for part in node.parts:
+    ahead: list = [*reversed(node.parts)]
+    while ahead:
+        part = ahead.pop()
         if not isinstance(part, Node):
             yield part
-        elif part.name in ("br", "hr"):
-            yield None
-        elif part.aside or (template and part.name not in INLINE and subtree_hashes(part)[0] in template):
+        elif part.name in ("br", "hr") or part.aside or (part.name not in INLINE and part.value in template):
             yield None
         elif part.name in INLINE:
-            yield from _stream(part, template)
+            ahead += reversed(part.parts)
         else:
             yield None
-            yield from _stream(part, template)
-            yield None
+            ahead.append(None)  # the end of the block
+            ahead += reversed(part.parts)
 
 
 def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of one page; empty for null and empty pages."""
-    return " ".join(" ".join(blocks(n, template)) for n in main_part(parse(page or ""))).strip()
+    root = parse(page or "")
+    if template:
+        subtree_hashes(root)
+    return " ".join(" ".join(blocks(n, template)) for n in main_part(root)).strip()
 
 
 def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_host, _body (hash of the main text) and _trees (hashes of the distinct subtrees) of every page."""
+    """_groups, _body (hash of the main text) and _trees (hashes of the distinct subtrees) of every page."""
     for batch in batches:
         for part in slices(batch, "_html"):
             bodies, trees = [], []
@@ -192,9 +212,9 @@ def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 root = parse(page or "")
                 body = " ".join(_text(n) for n in main_part(root))
                 bodies.append(_signed(xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass"))))
-                trees.append([_signed(t) for t in set(subtree_hashes(root)[1])])
-            columns = [part["_host"], pa.array(bodies, pa.int64()), pa.array(trees, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_host", "_body", "_trees"])
+                trees.append([_signed(t) for t in set(subtree_hashes(root))])
+            columns = [part["_groups"], pa.array(bodies, pa.int64()), pa.array(trees, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_groups", "_body", "_trees"])
 
 
 def _signed(value: int) -> int:
@@ -202,32 +222,35 @@ def _signed(value: int) -> int:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """_host and _template: hashes of the subtrees that recur across many pages of the host.
+    """_group and _template: hashes of the subtrees that recur across many pages of a host, or of a section of it.
 
     Pages of equal main text count as one, that of the fewest subtrees, so copies of an article don't make
     it a template. Counts are summed in tasks first. A page has a bounded number of subtrees on average, so
-    those on at least a share s of the pages are at most that number / s: the array of a host is bounded
+    those on at least a share s of the pages are at most that number / s: the array of a group is bounded
     however many pages it has.
     """
-    trees = pages.mapInArrow(_page_subtrees, "_host string, _body long, _trees array<long>")
-    one = stored(trees.groupBy("_host", "_body").agg(F.min(F.struct(F.size("_trees").alias("n"), "_trees")).alias("_m")).select("_host", "_m._trees"), "subtrees")
-    totals = one.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least_pages)
-    counts = one.select("_host", F.explode("_trees").alias("_tree")).groupBy("_host", "_tree").agg(F.count("*").alias("_n"))
-    often = counts.where(F.col("_n") >= least_pages).join(totals, "_host").where(F.col("_n") >= least_share * F.col("_pages"))
-    return often.groupBy("_host").agg(F.sort_array(F.collect_list("_tree")).alias("_template"))
+    trees = pages.mapInArrow(_page_subtrees, "_groups array<string>, _body long, _trees array<long>")
+    grouped = trees.select(F.explode("_groups").alias("_group"), "_body", "_trees").groupBy("_group", "_body")
+    one = stored(grouped.agg(F.min(F.struct(F.size("_trees").alias("n"), "_trees")).alias("_m")).select("_group", "_m._trees"), "subtrees")
+    totals = one.groupBy("_group").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least_pages)
+    counts = one.select("_group", F.explode("_trees").alias("_tree")).groupBy("_group", "_tree").agg(F.count("*").alias("_n"))
+    often = counts.where(F.col("_n") >= least_pages).join(totals, "_group").where(F.col("_n") >= least_share * F.col("_pages"))
+    return often.groupBy("_group").agg(F.sort_array(F.collect_list("_tree")).alias("_template"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ready: dict[str, frozenset[int]] = {}
+    ready: dict[tuple, frozenset[int]] = {}
     for batch in batches:
         for part in slices(batch, "_html"):
             texts = []
-            for host, page, template in zip(part["_host"].to_pylist(), part["_html"].to_pylist(), part["_template"], strict=True):
-                if host not in ready:
+            given = zip(part["_groups"].to_pylist(), part["_html"].to_pylist(), part["_host_template"], part["_section_template"], strict=True)
+            for groups, page, *found in given:
+                key = tuple(groups)
+                if key not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[host] = frozenset(t % (1 << 64) for t in template.as_py() or ())
-                texts.append(extract(page, ready[host]))
+                    ready[key] = frozenset(t % (1 << 64) for template in found for t in template.as_py() or ())
+                texts.append(extract(page, ready[key]))
             columns = [part["_id"], part["_url"], pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_url", "text"])
 
@@ -238,20 +261,26 @@ def extract_pages(
 ) -> DataFrame:
     """_id, _url and text of every page.
 
-    Elements at the side by their HTML role or name go, then subtrees of the host's template, from the
-    article elements (main, or the body, where there is none). Null and empty pages give an empty text; null
-    urls and urls without a host are one host; repeated rows are extracted each; a long page is parsed whole;
-    an empty table gives no rows; other columns are not read. Templates join pages by host: broadcast while
-    their number is small, else over salted hosts, so that a host of any size is spread.
+    Elements at the side by their HTML role or name go, then subtrees that recur across the page's host or its
+    section of it (the first part of the path), from the article elements (main, or the body, where there is none).
+    Elements may nest to any depth. Null and empty pages give an empty text; null urls and urls without a host have
+    no template; repeated rows are extracted each; a long page is parsed whole; an empty table gives no rows; other
+    columns are not read. Templates join pages by group: broadcast while their number is small, else over salted
+    groups, so that a host of any size is spread.
     """
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), HOST, 1), F.lit("")))
-    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"), host.alias("_host"))
-    found = stored(templates(rows.select("_host", "_html"), least_pages, least_share), "templates")
-    salted = found.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("_url", "_id"), F.lit(SALTS)).cast("int"))
-    joined = spread.join(small(stored(salted, "salted-templates"), 20_000), ["_host", "_salt"], "left")
+    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    host, section = F.lower(F.regexp_extract(url, HOST, 1)), F.regexp_extract(url, SECTION, 1)
+    groups = F.when(host == "", F.array().cast("array<string>")).otherwise(F.array(host, F.concat_ws("/", host, section)))
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"), groups.alias("_groups"))
+    found = stored(templates(rows.select("_groups", "_html"), least_pages, least_share), "templates")
+    salted = stored(found.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), "salted-templates")
+    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("_url", "_id"), F.lit(SALTS)).cast("int"))
+    for i, name in enumerate(("_host_template", "_section_template")):
+        own = salted.withColumnRenamed("_template", name)
+        joined = joined.withColumn("_group", F.get("_groups", F.lit(i))).join(small(own, 20_000), ["_group", "_salt"], "left").drop("_group")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return joined.select("_id", "_url", "_host", "_html", "_template").mapInArrow(_extracted, f"_id {kinds['_id']}, _url {kinds['_url']}, text string")
+    slim = joined.select("_id", "_url", "_groups", "_html", "_host_template", "_section_template")
+    return slim.mapInArrow(_extracted, f"_id {kinds['_id']}, _url {kinds['_url']}, text string")
 
 
 def report(pages: DataFrame) -> DataFrame:

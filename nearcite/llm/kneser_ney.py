@@ -23,7 +23,7 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Pairs or words that a task holds before it hands them on, and those that a shard has about.
 HELD = 4_000_000
 PER_SHARD = 2_000_000
-KINDS = {"key": np.uint64, "count": np.uint32, "total": np.uint64, "weight": np.float64}
+KINDS = {"key": np.uint64, "count": np.uint64, "total": np.uint64, "weight": np.float64}
 
 
 # --- arrays in the shared folder -------------------------------------------------------------------------
@@ -271,7 +271,7 @@ def _pair_shards(folder: str, per: int, shards: int):
         names = ["shard", "kind", "n", "run"]
         for shard, keys, counts in _merged(batches):
             _put(folder, f"pairs-{shard}.key", keys)
-            _put(folder, f"pairs-{shard}.count", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+            _put(folder, f"pairs-{shard}.count", counts.astype(np.uint64))
             context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             own, first = np.unique(context, return_index=True)
             classes = np.minimum(counts, 3)
@@ -312,7 +312,7 @@ def _context_shards(folder: str, per: int, discounts: tuple[float, float, float]
             weight = (discounts[0] * own[1] + discounts[1] * own[2] + discounts[2] * own[3]) / np.maximum(own[0], 1)
             _put(folder, f"contexts-{shard}.total", own[0].astype(np.uint64))
             _put(folder, f"contexts-{shard}.weight", np.where(own[0] > 0, weight, 1.0))
-            _put(folder, f"contexts-{shard}.count", own[4].astype(np.uint32))
+            _put(folder, f"contexts-{shard}.count", own[4].astype(np.uint64))
             seen = np.bincount(np.minimum(own[4], 5), minlength=6)[1:5]
             columns = [pa.array([shard], pa.int32()), pa.array([int(own[4].sum())], pa.int64()), pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([int((own[4] > 2).sum())], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "total", "seen", "more"])

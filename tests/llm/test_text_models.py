@@ -404,6 +404,26 @@ def test_site_templates_go_and_copies_stay(spark):
     assert html_extraction.report(pages.limit(0)).count() == 0
 
 
+def test_elements_nest_to_any_depth():
+    for n in (450, 5000, 100_000):
+        deep = "<div>" * n + "<nav>MENU</nav>body" + "</div>" * n + "tail"
+        assert html_extraction.extract(page(deep)) == "body tail"
+        assert html_extraction.extract(page("<b>" * n + "x" + "</i>" * n + "<div>y</div>")) == "x y"
+        root = html_extraction.parse(page(deep))
+        assert len(html_extraction.subtree_hashes(root)) >= n
+
+
+def test_a_section_has_a_template_of_its_own(spark):
+    """A notice on every page of one section, a sixth of the site, that no name gives away; pages without a host have none."""
+    note = "<div class=x1><p>call our desk</p></div>"
+    rows = [(i, f"https://a.example/news/{i}", page(f"{note}<div><p>news number {i}</p></div>")) for i in range(8)]
+    rows += [(100 + i, f"https://a.example/{'abcdef'[i % 6]}/{i}", page(f"<div><p>text number {i}</p></div>")) for i in range(40)]
+    rows += [(200 + i, None, page(f"{note}<div><p>lost number {i}</p></div>")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"news number {i}" for i in range(8)) and all(got[100 + i] == f"text number {i}" for i in range(40))
+    assert all(got[200 + i] == f"call our desk lost number {i}" for i in range(8))
+
+
 def test_given_pages_give_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extraction.report(pages).collect()}
