@@ -24,4 +24,4 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_all_operators_are_registered(spark):
     names = set(entry.queries())
     assert "pipeline" in names and set(queries.QUERIES) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
