@@ -17,7 +17,7 @@ from nearcite.operators import context as contexts
 from nearcite.operators.knn import knn_join, knn_join_mixed
 from nearcite.operators.pagerank import minmax_normalize, personalized_pagerank, top_scores
 from nearcite.operators.resolve import cleaned_inputs, resolve_ids
-from nearcite.plans.lifecycle import lifecycle
+from nearcite.plans.lifecycle import lifecycle, refresh_index, stored_index
 from nearcite.plans.search import Search, resolved_queries, second_level_knn
 from nearcite.schema import CORPUS
 from nearcite.session import checkpoint_dir, materialize
@@ -81,9 +81,7 @@ class Tables:
 
     @cached_property
     def index(self) -> ivf.IvfIndex:
-        path = f"{checkpoint_dir(self.spark)}/index-{uuid.uuid4().hex}"
-        ivf.write_index(ivf.fit_ivf(self.corpus), path)
-        return ivf.read_index(self.spark, path)
+        return stored_index(self.corpus)
 
     @cached_property
     def given_index(self) -> ivf.IvfIndex:
@@ -375,9 +373,54 @@ def ivf_assign(t: Tables) -> DataFrame:
     return ivf.assign_lists(t.corpus, t.given_index).select("publication_number", "list_id")
 
 
-@query("SELECT count(*) AS rows, count(*) AS indexed, 100e0 AS coverage_pct FROM corpus")
+@query("""SELECT count(*) AS rows, count(c.publication_number) AS indexed,
+  round(count(c.publication_number) * 100e0 / count(*), 6) AS coverage_pct FROM docs d LEFT JOIN corpus c USING (publication_number)""")
 def ivf_coverage(t: Tables) -> DataFrame:
-    return ivf.ivf_coverage(t.corpus, t.index)
+    """Of all documents, those of the indexed corpus have a list."""
+    table = ivf.ivf_coverage(t.source.documents().select("publication_number"), t.index)
+    return table.withColumn("coverage_pct", F.round("coverage_pct", 6))
+
+
+@query(f"""SELECT round(count(p.publication_number)::DOUBLE / count(*), 9) AS recall
+  FROM topk f LEFT JOIN ({_PROBED}) p ON p.query_id = f.query_id AND p.publication_number = f.publication_number""")
+def ivf_recall(t: Tables) -> DataFrame:
+    """Share of the true neighbours that two lists per query give."""
+    found = ivf.ivf_topk(t.search.vectors, t.given_index, 20, nprobe=2)
+    return t.spark.range(1).select(F.round(ivf.recall(found, t.search.found), 9).alias("recall"))
+
+
+def _indexed_raw(t: Tables, distance: str) -> DataFrame:
+    """All vectors as they are, each against all, through an index of the distance."""
+    queries, corpus = t.raw_vectors()
+    index = stored_index(corpus.select(F.col("vec_id").cast("string").alias("publication_number"), "embedding"), distance=distance, vector="embedding")
+    found = ivf.ivf_topk(queries, index, 10, exact=True, query_vector="embedding")
+    # ties go to the smaller id as text: the number behind it is put back after the search
+    return found.select("query_id", F.col("publication_number").cast("bigint").alias("vec_id"), r("distance").alias("distance"))
+
+
+def _raw_knn_by_text(distance: str) -> str:
+    q = "(SELECT vec_id AS query_id, embedding::DOUBLE[] AS vec FROM embeddings)"
+    c = "(SELECT vec_id::VARCHAR AS vec_id, embedding::DOUBLE[] AS vec FROM embeddings)"
+    return f"SELECT query_id, vec_id::BIGINT AS vec_id, {_r('distance')} AS distance FROM ({oracles._nearest(q, c, 'vec_id', distance, 10)})"
+
+
+@query(_raw_knn_by_text("round(list_distance(q.vec, c.vec), 12)"))
+def ivf_exact_l2(t: Tables) -> DataFrame:
+    return _indexed_raw(t, "euclidean")
+
+
+@query(_raw_knn_by_text("round(-list_dot_product(q.vec, c.vec), 12)"))
+def ivf_exact_dot(t: Tables) -> DataFrame:
+    return _indexed_raw(t, "dot_product")
+
+
+@query(f"""SELECT query_id, publication_number, {_r('distance')} AS distance FROM ({oracles._nearest(
+  "queries", "(SELECT * FROM named n WHERE publication_number IN (SELECT publication_number FROM corpus UNION SELECT publication_number FROM snapshot))",
+  "publication_number", oracles._COSINE, 20)})""")
+def ivf_update(t: Tables) -> DataFrame:
+    """An index of the snapshot, brought up to the merged corpus by its new rows alone: must equal a full search."""
+    index = refresh_index(stored_index(t.snapshot), t.snapshot, t.corpus)
+    return ivf.ivf_topk(t.search.vectors, index, 20, exact=True).withColumn("distance", r("distance"))
 
 
 _VIA = """SELECT DISTINCT f.query_id, l.other AS via_id FROM found f JOIN links l USING (publication_number)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearcite.operators import ivf, knn
 from nearcite.plans.search import Search
@@ -134,3 +135,90 @@ def test_query_lost_among_copies(spark, make_corpus):
     ]
     assert search.query_card().first()["publication_number"] == "p0"
     assert {r.node for r in search.nodes.collect()} == {"p0", "p1", "p2", "p7"}
+
+
+# other distances, two levels, upkeep
+
+
+@pytest.mark.parametrize("distance", ["euclidean", "dot_product"])
+@pytest.mark.parametrize("nprobe", [1, 4])
+def test_bounded_search_is_exact_for_other_distances(spark, distance, nprobe):
+    vectors = vectors_with_copies(240, 80) * RNG.uniform(0.2, 4.0, size=(240, 1))  # of many lengths
+    corpus, queries = frame(spark, vectors, "publication_number"), frame(spark, vectors[::9], "query_id")
+    index = ivf.fit_ivf(corpus, 12, distance=distance)
+    assert result(ivf.ivf_topk(queries, index, 7, nprobe=nprobe, exact=True)) == result(knn.knn_join(queries, corpus, 7, distance))
+    longer = vectors[:30] * 5
+    new = frame(spark, longer, "n").selectExpr("concat('n', n) AS publication_number", "embedding_v1")
+    grown = ivf.add_rows(index, new)
+    wider = corpus.unionByName(new)
+    assert result(ivf.ivf_topk(queries, grown, 7, nprobe=nprobe, exact=True)) == result(knn.knn_join(queries, wider, 7, distance))
+
+
+def test_the_second_pass_leaves_lists_out(spark):
+    centers = RNG.normal(size=(16, 6)) * 8
+    vectors = np.concatenate([c + RNG.normal(size=(30, 6)) for c in centers])
+    corpus, queries = frame(spark, vectors, "publication_number"), frame(spark, vectors[::40], "query_id")
+    for distance in knn.METRICS:
+        index = ivf.fit_ivf(corpus, 16, distance=distance)
+        q = knn.with_vector(queries, "query_id", "embedding_v1")
+        found = ivf._search_lists(ivf._visit(q, index, nprobe=2), index, 5)
+        bounded = q.join(found.groupBy("query_id").agg({"distance": "max"}).withColumnRenamed("max(distance)", "reach"), "query_id")
+        more = ivf._visit(bounded, index, nprobe=2, beyond=True).count()
+        assert more < 0.6 * queries.count() * (len(index.centers) - 2), distance
+
+
+def test_very_many_lists_by_two_levels(spark):
+    vectors = RNG.normal(size=(60_000, 4)).round(3)
+    corpus = spark.createDataFrame([(f"d{i:05d}", v.tolist()) for i, v in enumerate(vectors)], "publication_number string, embedding_v1 array<double>").repartition(4)
+    index = ivf.fit_ivf(corpus, 30_000, max_iter=2)
+    assert 25_000 < len(index.centers) <= 30_000 and len(index.coarse) == 173
+    assert index.lists.count() == 60_000
+    queries = corpus.where("publication_number < 'd00005'").withColumnRenamed("publication_number", "query_id")
+    assert result(ivf.ivf_topk(queries, index, 5, nprobe=20, exact=True)) == result(knn.knn_join(queries, corpus, 5))
+
+
+def _list_files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_updates_rewrite_only_the_lists_they_touch(spark, tmp_path):
+    centers = RNG.normal(size=(10, 6)) * 6
+    vectors = np.concatenate([c + RNG.normal(size=(30, 6)) for c in centers])
+    corpus, queries = frame(spark, vectors, "publication_number"), frame(spark, vectors[::11], "query_id")
+    path = tmp_path / "index"
+    ivf.write_index(ivf.fit_ivf(corpus, 10), str(path))
+    index = ivf.read_index(spark, str(path))
+    before = _list_files(path / "lists")
+    rows = spark.createDataFrame([("new", vectors[5].tolist()), ("d0007", vectors[8].tolist())], "publication_number string, embedding_v1 array<double>")
+    updated = ivf.update_index(index, rows)
+    after = _list_files(path / "lists")
+    assert all(after[f] == t for f, t in before.items()) and 1 <= len(after) - len(before) <= 3
+    wider = corpus.where("publication_number <> 'd0007'").unionByName(rows)
+    assert result(ivf.ivf_topk(queries, updated, 6, nprobe=2, exact=True)) == result(knn.knn_join(queries, wider, 6))
+    assert result(ivf.ivf_topk(queries, ivf.read_index(spark, str(path), 0), 6, nprobe=2, exact=True)) == brute(vectors[::11], vectors, 6, "cosine")
+    radii = {r["list_id"]: r["radius"] for r in updated.centroids.collect()}
+    assert all(radii[r["list_id"]] == r["radius"] for r in updated.lists.groupBy("list_id").agg(F.max("gap").alias("radius")).collect())
+    assert ivf.update_index(updated, rows).version == 2
+
+
+@pytest.mark.parametrize("distance", knn.METRICS)
+def test_overfull_lists_are_split(spark, tmp_path, distance):
+    vectors = RNG.normal(size=(80, 5))
+    corpus = frame(spark, vectors, "publication_number")
+    ivf.write_index(ivf.fit_ivf(corpus, 8, distance=distance), str(tmp_path / "index"))
+    index = ivf.read_index(spark, str(tmp_path / "index"))
+    many = vectors[3] + RNG.normal(size=(300, 5)) * 0.2
+    new = frame(spark, many, "n").selectExpr("concat('n', n) AS publication_number", "embedding_v1")
+    updated = ivf.update_index(index, new)
+    assert len(updated.centers) > len(index.centers) + 3
+    assert updated.lists.count() == 380 and ivf.ivf_coverage(corpus.unionByName(new), updated).first()["coverage_pct"] == 100.0
+    queries = frame(spark, np.concatenate([vectors[:5], many[:5]]), "query_id")
+    expected = result(knn.knn_join(queries, corpus.unionByName(new), 6, distance))
+    assert result(ivf.ivf_topk(queries, updated, 6, nprobe=2, exact=True)) == expected
+
+
+def test_an_index_of_nothing(spark):
+    empty = frame(spark, np.ones((1, 3)), "publication_number").limit(0)
+    for distance in knn.METRICS:
+        index = ivf.fit_ivf(empty, distance=distance)
+        assert index.lists.count() == 0 and len(index.centers) == 0
