@@ -134,19 +134,17 @@ def _pair_rank(v: Vocabulary, left: np.ndarray, right: np.ndarray, variant, begi
 
 
 class Trace:
-    """Merges that came up while units were cut without dropout: unit, and hash of the merge.
+    """Merges that units made when they were cut without dropout: unit, and hash of the merge.
 
-    An occurrence that skips none of them is cut the same way.
+    An occurrence that skips none of them is cut the same way: other merges that it may skip were never chosen.
     """
 
     def __init__(self, seed: int):
         self.seed, self.units, self.merges = seed, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
 
-    def add(self, unit: np.ndarray, rank: np.ndarray, left, right, begin, end) -> None:
-        at = np.flatnonzero(rank != NEVER)
-        if len(at):
-            self.units.append(unit[at])
-            self.merges.append(_merge_key(self.seed, left[at], right[at], begin[at], end[at]))
+    def add(self, unit: np.ndarray, left, right, begin, end) -> None:
+        self.units.append(unit)
+        self.merges.append(_merge_key(self.seed, left, right, begin, end))
 
     def by_unit(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Merges in the order of their units, and where those of each unit begin."""
@@ -169,9 +167,6 @@ def _short_units(
     s = [np.ascontiguousarray(symbols[:, c]) for c in range(width)]
     b = [np.full(rows, c, np.int32) for c in range(width + 1)]  # the last begin is the end
     r = [_pair_rank(v, s[c], s[c + 1], variant, b[c], b[c + 2], seed, dropout) for c in range(width - 1)]
-    if trace is not None:
-        for c, rank in enumerate(r):
-            trace.add(units, rank, s[c], s[c + 1], b[c], b[c + 2])
     while True:
         key = np.full(len(own), np.int64(NEVER) << 8)
         for c, rank in enumerate(r):
@@ -204,8 +199,11 @@ def _short_units(
         one = _pair_rank(v, left[0], made, variant, left[1], end, seed, dropout)
         two = _pair_rank(v, made, right[0], variant, begin, right[1], seed, dropout)
         if trace is not None:
-            trace.add(units[own], one, left[0], made, left[1], end)
-            trace.add(units[own], two, made, right[0], begin, right[1])
+            first, second = np.empty(len(own), np.int32), np.empty(len(own), np.int32)
+            for c in range(n - 1):
+                np.copyto(first, s[c], where=best == c)
+                np.copyto(second, s[c + 1], where=best == c)
+            trace.add(units[own], first, second, begin, end)
         s = [np.where(best == c, made, np.where(best < c, s[c + 1], s[c])) for c in range(n - 1)]
         b = [np.where(best < c, b[c + 1], b[c]) for c in range(n)]
         moved = [np.where(best <= c, r[c + 1], r[c]) for c in range(n - 2)]
@@ -229,8 +227,6 @@ def _long_unit(
         one, two = np.array([s[x] for x in i.tolist()], np.int32), np.array([s[x] for x in j.tolist()], np.int32)
         begins, ends = np.array([begin[x] for x in i.tolist()]), np.array([end[x] for x in j.tolist()])
         ranks = _pair_rank(v, one, two, np.full(len(i), variant, np.uint64), begins, ends, seed, dropout)
-        if trace is not None:
-            trace.add(np.full(len(i), unit, np.int64), ranks, one, two, begins, ends)
         for x, r, e in zip(i.tolist(), ranks.tolist(), ends.tolist(), strict=True):
             if r != NEVER:
                 heapq.heappush(agenda, (r, begin[x], e, x, int(v.by_rank[r])))
@@ -241,6 +237,8 @@ def _long_unit(
         j = right[i] if s[i] is not None else -1
         if j < 0 or end[j] != e or v.texts[s[i]] + v.texts[s[j]] != v.texts[piece]:
             continue
+        if trace is not None:
+            trace.add(np.array([unit]), np.array([s[i]]), np.array([s[j]]), np.array([begin[i]]), np.array([end[j]]))
         s[i], end[i], s[j] = piece, end[j], None
         right[i] = right[j]
         if right[j] >= 0:
@@ -307,7 +305,7 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 
 def _skipping(which: np.ndarray, occurrence: np.ndarray, merges: np.ndarray, starts: np.ndarray, dropout: float) -> np.ndarray:
-    """True for occurrences (of the units ``which``) that skip a merge which came up when their unit was cut."""
+    """True for occurrences (of the units ``which``) that skip a merge which their unit made without dropout."""
     many = starts[which + 1] - starts[which]
     out = np.zeros(len(which), bool)
     ends = np.cumsum(many)
@@ -326,8 +324,8 @@ def _skipping(which: np.ndarray, occurrence: np.ndarray, merges: np.ndarray, sta
 def encode_texts(texts: pa.Array, keys: np.ndarray, model: str, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of the texts (null: none), flat, and offsets. keys: values that, with a unit's number, make its own draws.
 
-    Each different unit is cut once without dropout. Occurrences that skip none of the merges that came up then are
-    cut alike; all others are cut for themselves. Units are held without their first blank. Texts of words between
+    Each different unit is cut once without dropout. Occurrences that skip none of the merges made then are cut
+    alike; all others are cut for themselves. Units are held without their first blank. Texts of words between
     single blanks are cut by Arrow.
     """
     v = vocabulary(model)
