@@ -36,6 +36,8 @@ SUM_GROUPS = 64  # groups in which the sums of all tasks are added up
 SEEDS_SEEN = 16  # rows a list, about, that its first centroid is drawn from
 OVERFULL = 4  # times the usual size, at which a list is split
 
+FACTS = "distance string, length double, longest double, coarse array<array<double>>"
+
 _GAP_MARGIN = 1e-6  # covers rounding of gaps and of the 12-decimal distance, as a share of the longest vector
 
 
@@ -170,7 +172,9 @@ def _placer(distance: str, length: float):
     return place
 
 
-def _coarse(points: DataFrame, k: int, seed: int, distance: str) -> np.ndarray:
+def _coarse(points: DataFrame, k: int, seed: int, distance: str) -> np.ndarray | None:
+    if k < 2:
+        return None
     measure = "cosine" if distance == "cosine" else "euclidean"
     model = KMeans(k=k, seed=seed, maxIter=10, distanceMeasure=measure).fit(points.select(array_to_vector("vec").alias("features")))
     return _centered(np.array(model.clusterCenters(), dtype=float), distance)
@@ -182,7 +186,9 @@ def _centered(centers: np.ndarray, distance: str) -> np.ndarray:
     return centers / np.maximum(np.sqrt((centers**2).sum(axis=1)), 1e-300)[:, None]
 
 
-def _celled(points: DataFrame, coarse: np.ndarray, distance: str) -> DataFrame:
+def _celled(points: DataFrame, coarse: np.ndarray | None, distance: str) -> DataFrame:
+    if coarse is None:
+        return points.withColumn("cell", F.lit(0))
     shipped = points.sparkSession.sparkContext.broadcast(coarse)
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +386,7 @@ def read_index(spark: SparkSession, path: str, version: int | None = None) -> Iv
     version = _index_versions(spark, path)[-1] if version is None else version
     centroids = spark.read.parquet(f"{path}/centroids/version={version:08d}")
     rows = centroids.orderBy("list_id").toArrow().to_pylist()
-    facts = spark.read.json(f"{path}/facts/version={version:08d}").collect()[0]
+    facts = spark.read.schema(FACTS).json(f"{path}/facts/version={version:08d}").collect()[0]
     width = len(rows[0]["center"]) if rows else 0
     coarse = np.array([list(c) for c in facts["coarse"] or []], dtype=float) if facts["coarse"] else None
     versions = {r["list_id"]: r["written"] for r in rows}
@@ -471,8 +477,7 @@ def _write_centroids(index: IvfIndex, centroids: DataFrame) -> None:
     )
     table = centroids.select("list_id", "center", "radius").join(written, "list_id")
     facts = [(index.distance, index.length, index.longest, None if index.coarse is None else index.coarse.tolist())]
-    schema = "distance string, length double, longest double, coarse array<array<double>>"
-    spark.createDataFrame(facts, schema).coalesce(1).write.mode("overwrite").json(f"{index.path}/facts/{name}")
+    spark.createDataFrame(facts, FACTS).coalesce(1).write.mode("overwrite").json(f"{index.path}/facts/{name}")
     table.coalesce(1).write.mode("overwrite").parquet(f"{index.path}/centroids/{name}")
 
 

@@ -168,13 +168,15 @@ def test_the_second_pass_leaves_lists_out(spark):
 
 
 def test_very_many_lists_by_two_levels(spark):
-    vectors = RNG.normal(size=(60_000, 4)).round(3)
-    corpus = spark.createDataFrame([(f"d{i:05d}", v.tolist()) for i, v in enumerate(vectors)], "publication_number string, embedding_v1 array<double>").repartition(4)
-    index = ivf.fit_ivf(corpus, 30_000, max_iter=2)
+    corpus = spark.range(40_000).select(
+        F.concat(F.lit("d"), F.lpad("id", 5, "0")).alias("publication_number"), F.array(*[F.randn(i) for i in range(4)]).alias("embedding_v1")
+    ).persist()
+    index = ivf.fit_ivf(corpus, 30_000, max_iter=1)
     assert 25_000 < len(index.centers) <= 30_000 and len(index.coarse) == 173
-    assert index.lists.count() == 60_000
-    queries = corpus.where("publication_number < 'd00005'").withColumnRenamed("publication_number", "query_id")
-    assert result(ivf.ivf_topk(queries, index, 5, nprobe=20, exact=True)) == result(knn.knn_join(queries, corpus, 5))
+    assert index.lists.count() == 40_000
+    queries = corpus.where("publication_number < 'd00002'").withColumnRenamed("publication_number", "query_id")
+    assert result(ivf.ivf_topk(queries, index, 3, nprobe=30, exact=True)) == result(knn.knn_join(queries, corpus, 3))
+    corpus.unpersist()
 
 
 def _list_files(path):
