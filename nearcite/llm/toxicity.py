@@ -5,20 +5,25 @@ product of two learned vectors: an insult beside the mention of a group can weig
 
 Terms are words and their first letters, hashed into a fixed number of buckets. Counts of all labelled training
 texts tell which buckets stand in one class more than chance explains; the machine is fitted on those, on Spark,
-over all training texts. Everything runs in the JVM.
+over all training texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearcite.llm.common import WORDLESS, stored
+from nearcite.llm.common import stored
+from nearcite.llm.ranked_search import terms_of
+from nearcite.llm.tokens import slices
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 1 << 18
 #: Words count whole and by so many first letters: inflected and compound words share their stems.
 STEMS = (4, 5)
@@ -27,6 +32,8 @@ LEAST_Z, LEAST_TEXTS = 4.0, 3
 FACTORS, STEPS, STEP_SIZE, REGULARIZATION, SEED = 8, 80, 0.1, 1e-4, 17
 #: Most labelled texts that the machine is fitted on, and the files they are kept in.
 FIT_ROWS, FIT_FILES = 200_000, 8
+#: Words whose buckets a task remembers.
+WORDS_KNOWN = 200_000
 THRESHOLD = 0.7
 HELD_OUT = 1  # of three
 
@@ -36,16 +43,43 @@ def held_out(identity: Column) -> Column:
     return F.coalesce(F.crc32(identity.cast("string")) % 3 == HELD_OUT, F.lit(False))
 
 
-def buckets(text: Column) -> Column:
-    """The distinct buckets of a text's terms."""
-    small = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    words = F.array_distinct(F.filter(F.split(small, WORDLESS), lambda w: w != ""))
-    whole = F.transform(words, lambda w: F.xxhash64(w))
-    stems = [
-        F.transform(F.array_distinct(F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.substring(w, 1, k))), lambda s, k=k: F.xxhash64(F.lit(k), s))
-        for k in STEMS
-    ]
-    return F.array_distinct(F.transform(F.concat(whole, *stems), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+def buckets_of(word: bytes) -> tuple[int, ...]:
+    """Buckets of a word and its stems."""
+    text = word.decode("utf-8", "surrogatepass")
+    stems = [xxhash.xxh3_64_intdigest(text[:k].encode("utf-8", "surrogatepass"), seed=k) for k in STEMS if len(text) > k]
+    return tuple(h % BUCKETS for h in [xxhash.xxh3_64_intdigest(word), *stems])
+
+
+def _bucketer(chosen: list[int] | None):
+    """Adds _buckets, the distinct buckets of a text (those chosen), in place of _text."""
+    wanted = None if chosen is None else frozenset(chosen)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, ...]] = {}  # of words met before
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                found = []
+                for raw in batch["_text"].cast(pa.binary()).to_pylist():
+                    own: set[int] = set()
+                    for word in set(terms_of(raw or b"")):
+                        held = known.get(word)
+                        if held is None:
+                            held = tuple(b for b in buckets_of(word) if wanted is None or b in wanted)
+                            if len(known) >= WORDS_KNOWN:
+                                known.clear()
+                            known[word] = held
+                        own.update(held)
+                    found.append(sorted(own))
+                names = [n for n in batch.schema.names if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, pa.list_(pa.int32()))], [*names, "_buckets"])
+
+    return bucketed
+
+
+def with_buckets(rows: DataFrame, chosen: list[int] | None = None) -> DataFrame:
+    """The rows with _buckets instead of _text, their last column."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return rows.mapInArrow(_bucketer(chosen), f"{kinds}, _buckets array<int>")
 
 
 def telling_buckets(rows: DataFrame, n: int, positive: int) -> list[int]:
@@ -59,15 +93,9 @@ def telling_buckets(rows: DataFrame, n: int, positive: int) -> list[int]:
 
 
 def vectorized(rows: DataFrame, chosen: list[int]) -> DataFrame:
-    """The rows with _x, the chosen buckets that a text holds: a bit for each bucket tells, however many are chosen."""
-    bits = bytearray(BUCKETS // 8)
-    for b in chosen:
-        bits[b >> 3] |= 1 << (b & 7)
-    words = [int.from_bytes(bits[i : i + 8], "little", signed=True) for i in range(0, len(bits), 8)]
-    table = F.from_json(F.lit(str(words)), "array<bigint>")
-    telling = F.filter("_buckets", lambda b: F.getbit(F.get(table, F.shiftright(b, 6)), b.bitwiseAND(63)) == 1)
+    """The rows with _x, the chosen buckets that a text holds; others are left out."""
     model = CountVectorizerModel.from_vocabulary([str(b) for b in chosen], inputCol="_terms", outputCol="_x").setBinary(True)
-    return model.transform(rows.withColumn("_terms", F.transform(telling, lambda b: b.cast("string")))).drop("_terms", "_buckets")
+    return model.transform(rows.withColumn("_terms", F.col("_buckets").cast("array<string>"))).drop("_terms", "_buckets")
 
 
 def fit(rows: DataFrame, **settings) -> FMClassificationModel:
@@ -97,7 +125,7 @@ def score(
     given = stored(given.where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))), "given-labels")
     share = min(1.0, 0.9 * fit_rows / max(given.count(), 1))
     sample = given.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < F.lit(share * (1 << 31)))
-    train = stored(docs.join(F.broadcast(sample), "_id").select(buckets(F.col("_text")).alias("_buckets"), "_y"), "training-texts")
+    train = stored(with_buckets(docs.join(F.broadcast(sample), "_id").select("_y", "_text")), "training-texts")
     counts = train.agg(F.count("*").alias("n"), F.sum("_y").alias("y")).collect()[0]
     n, positive = counts["n"], counts["y"] or 0
     chosen = telling_buckets(train, n, positive) if 0 < positive < n else []
@@ -106,7 +134,7 @@ def score(
         return docs.select("_id", "held_out", value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
     # the sample is bounded and a text holds few telling buckets: a few files, which every step reads
     machine = fit(stored(vectorized(train, chosen).coalesce(FIT_FILES), "training-vectors"))
-    rows = vectorized(docs.select("_id", "held_out", buckets(F.col("_text")).alias("_buckets")), chosen)
+    rows = vectorized(with_buckets(docs, chosen), chosen)
     machine.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
     value = F.get(vector_to_array("_p"), F.lit(1))
     return machine.transform(rows).select("_id", "held_out", value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
