@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearcite.functions.text import clean_id, id_number, is_formatted_id
+from nearcite.session import materialize
+from nearcite.sources.ranges import StoredCorpus
 
 # Kind codes tried first, in this order.
 KIND_CODES = ("B1", "B2", "A1")
@@ -19,7 +23,7 @@ MODES = {
 
 
 def resolve_ids(
-    inputs: DataFrame, corpus: DataFrame, mode: str = "auto", *, raw: str = "raw", steps: tuple[str, ...] | None = None
+    inputs: DataFrame, corpus: DataFrame | StoredCorpus, mode: str = "auto", *, raw: str = "raw", steps: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Add ``(publication_number, step, found)`` to every input row; misses stay, as nulls.
 
@@ -30,6 +34,9 @@ def resolve_ids(
     All steps share one pass over the corpus: inputs and corpus rows both name the lookup keys they
     can meet under, and one equi-join brings them together. Inputs are reduced to distinct numbers
     before it, and the best match is a minimum, so repeated inputs and short prefixes combine early.
+
+    In a corpus stored by key range, ids are looked up in the ranges they fall in and prefixes in those they meet;
+    only application numbers read all of it.
     """
     steps = steps or MODES[mode]
     spelled = inputs.withColumn("_cleaned", clean_id(F.col(raw)))
@@ -58,23 +65,12 @@ def cleaned_inputs(inputs: DataFrame, *, raw: str = "raw") -> DataFrame:
 
 def _matches(wanted: DataFrame, corpus: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     looked_up = wanted.select("_cleaned", F.inline(_wanted_keys(F.col("_cleaned"), steps)))
-    # The best row of a key does not depend on who asks, so each key keeps one before the join. A digit
-    # that begins most ids is then one row rather than most of the corpus.
-    offered = (
-        corpus.select("publication_number", F.explode(_offered_keys(steps)).alias("key"))
-        .groupBy("key")
-        .agg(F.min(F.struct(F.length("publication_number").alias("size"), "publication_number")).alias("of_prefix"),
-             F.min("publication_number").alias("of_key"))
-    )
-    is_prefix = F.col("step") == STEPS.index("prefix")
-    best = F.min(
-        F.struct(
-            "step",
-            "preference",
-            F.when(is_prefix, F.col("of_prefix.size")).otherwise(0).alias("size"),
-            F.when(is_prefix, F.col("of_prefix.publication_number")).otherwise(F.col("of_key")).alias("publication_number"),
-        )
-    )
+    if isinstance(corpus, StoredCorpus):
+        looked_up = materialize(looked_up)
+        offered = _offered_by_ranges(corpus, looked_up.select("key").distinct(), steps)
+    else:
+        offered = _offered(corpus, steps)
+    best = F.min(F.struct("step", "preference", "size", "publication_number"))
     return (
         offered.join(looked_up, "key")
         .groupBy("_cleaned")
@@ -87,6 +83,38 @@ def _matches(wanted: DataFrame, corpus: DataFrame, steps: tuple[str, ...]) -> Da
     )
 
 
+def _offered(corpus: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """``(key, size, publication_number)``: the best row of each key.
+
+    It does not depend on who asks, so each key keeps one before the join. A digit that begins most ids is then one
+    row rather than most of the corpus.
+    """
+    is_prefix = F.col("key").startswith("prefix:")
+    keyed = corpus.select("publication_number", F.explode(_offered_keys(steps)).alias("key"))
+    size = F.when(is_prefix, F.length("publication_number")).otherwise(0)
+    best = F.min(F.struct(size.alias("size"), "publication_number")).alias("best")
+    return keyed.groupBy("key").agg(best).select("key", "best.*")
+
+
+def _offered_by_ranges(store: StoredCorpus, keys: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """The same for the keys asked for, a row a key at most."""
+
+    def named(kind: str) -> DataFrame:
+        return keys.where(F.col("key").startswith(f"{kind}:")).select(F.substr("key", F.lit(len(kind) + 2)).alias("name"))
+
+    pub, none = F.col("publication_number"), F.lit(0).alias("size")
+    ids = store.lookup(named("id").withColumnRenamed("name", "publication_number"), ["publication_number"])
+    parts = [ids.select(F.concat(F.lit("id:"), pub).alias("key"), none, pub)]
+    if "prefix" in steps:
+        prefixes = store.best_of_prefix(named("prefix").withColumnRenamed("name", "prefix"))
+        parts.append(prefixes.select(F.concat(F.lit("prefix:"), "prefix").alias("key"), "size", pub))
+    if "application" in steps:
+        rows = store.read().select(F.concat(F.lit("application:"), "application_number").alias("key"), pub)
+        rows = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(pub).alias("publication_number"))
+        parts.append(rows.select("key", none, "publication_number"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _wanted_keys(cleaned: Column, steps: tuple[str, ...]) -> Column:
     """Lookup keys of one cleaned input: structs of (key, step, preference)."""
     number = id_number(cleaned)

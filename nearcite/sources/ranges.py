@@ -15,6 +15,9 @@ import math
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +88,41 @@ class StoredCorpus:
             if row["range"] in reach and row["least"] <= reach[row["range"]][1] and row["greatest"] >= reach[row["range"]][0]
         }
 
+    def best_of_prefix(self, prefixes: DataFrame) -> DataFrame:
+        """``(prefix, size, publication_number)``: of the keys that begin with a prefix the shortest, then the least.
+
+        Keys that begin alike stand together: a prefix is an interval of keys and goes to the ranges that it meets,
+        which for most is one. A range sorts its keys, finds both ends of every interval and answers with one key.
+        """
+        borders, numbers = [row["border"] for row in self.map], _literal([row["range"] for row in self.map], "array<int>")
+        prefix = F.col("prefix")
+        ends = F.sequence(position(prefix, borders), position(F.concat(prefix, F.lit("\U0010ffff")), borders))
+        routed = materialize(
+            prefixes.select("prefix").where(prefix.isNotNull()).distinct().select("prefix", F.explode(F.transform(ends, lambda p: F.get(numbers, p))).alias("range"))
+        )
+        met = {row["range"] for row in routed.select("range").distinct().collect()}
+        keys = self.read(met).select(self.range_of(F.col(KEY)).alias("key_range"), KEY)
+
+        def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+            found = held[KEY].combine_chunks().drop_null()
+            found = found.take(pc.sort_indices(found))
+            wanted = asked["prefix"].combine_chunks()
+            texts = np.array(found.cast(pa.binary()).to_pylist(), dtype=bytes) if len(found) else np.empty(0, "S1")
+            raw = [p.encode() for p in wanted.to_pylist()]
+            low = np.searchsorted(texts, np.array(raw, dtype=bytes))
+            high = np.searchsorted(texts, np.array([p + b"\xff" for p in raw], dtype=bytes))
+            at = np.flatnonzero(high > low)
+            sizes = pc.utf8_length(found).to_numpy()
+            order = np.lexsort((np.arange(len(sizes)), sizes))  # keys by length, then as sorted
+            rank = np.empty(len(order) + 1, np.int64)
+            rank[order], rank[-1] = np.arange(len(order)), len(order)
+            best = order[np.minimum.reduceat(rank, np.column_stack([low[at], high[at]]).ravel())[::2]] if len(at) else at
+            return pa.table({"prefix": wanted.take(pa.array(at)), "size": pa.array(sizes[best].astype(np.int32)), KEY: found.take(pa.array(best))})
+
+        groups = routed.groupBy("range").cogroup(keys.groupBy("key_range"))
+        answers = groups.applyInArrow(search, f"prefix string, size int, {KEY} string")
+        return answers.groupBy("prefix").agg(F.min(F.struct("size", KEY)).alias("best")).select("prefix", "best.*")
+
     def merge(self, source: DataFrame, update_cols: tuple[str, ...] = LINK_COLUMNS, version: int | None = None) -> StoredCorpus:
         """The next version: new rows whole, known rows with ``update_cols`` of the source, nothing deleted.
 

@@ -218,12 +218,12 @@ def _one_step(step: int) -> str:
 
 @query(_one_step(1))
 def resolve_suffix(t: Tables) -> DataFrame:
-    return resolve_ids(t.source.inputs(), t.corpus, steps=("suffix",)).select("input_id", "publication_number", "found")
+    return resolve_ids(t.source.inputs(), t.store, steps=("suffix",)).select("input_id", "publication_number", "found")
 
 
 @query(_one_step(2))
 def resolve_prefix(t: Tables) -> DataFrame:
-    return resolve_ids(t.source.inputs(), t.corpus, steps=("prefix",)).select("input_id", "publication_number", "found")
+    return resolve_ids(t.source.inputs(), t.store, steps=("prefix",)).select("input_id", "publication_number", "found")
 
 
 @query(_one_step(3))
@@ -233,7 +233,7 @@ def resolve_application(t: Tables) -> DataFrame:
 
 @query("SELECT input_id, publication_number, step, found FROM resolved")
 def resolve_inputs(t: Tables) -> DataFrame:
-    return resolve_ids(t.source.inputs(), t.corpus).select("input_id", "publication_number", "step", "found")
+    return resolve_ids(t.source.inputs(), t.store).select("input_id", "publication_number", "step", "found")
 
 
 @query("""SELECT 'publication' AS mode, input_id, CASE WHEN step <> 'application' THEN publication_number END AS publication_number,
