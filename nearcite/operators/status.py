@@ -15,16 +15,27 @@ _DAY = 86_400_000_000
 _SECOND = 1_000_000
 
 
+def job_states(runs: DataFrame) -> DataFrame:
+    """``(job_id, last, last_success_time)`` from ``(job_id, run_id, run_time timestamp, state, error)``.
+
+    Latest run and latest success are maxima, so a job with most of the runs combines early, and a stream of runs
+    keeps no more than these of a job.
+    """
+    latest = F.max(F.struct("run_time", "run_id", "state", "error"))
+    success = F.max(F.when(F.col("state") == "SUCCEEDED", F.col("run_time")))
+    return runs.groupBy("job_id").agg(latest.alias("last"), success.alias("last_success_time"))
+
+
 def refresh_status(runs: DataFrame, now: datetime | Column, configured: Column | bool = True) -> DataFrame:
     """One row per job from ``(job_id, run_id, run_time timestamp, state, error)``.
 
-    Latest run and latest success are maxima, so a job with most of the runs combines early.
     ``now`` is a timestamp; a naive datetime counts as UTC.
     """
-    latest = F.max(F.struct("run_time", "run_id", "state", "error"))
-    success = F.max(F.when(F.col("state") == "SUCCEEDED", F.col("run_time")))
-    per_job = runs.groupBy("job_id").agg(latest.alias("last"), success.alias("last_success_time"))
+    return status_of(job_states(runs), now, configured)
+
 
+def status_of(per_job: DataFrame, now: datetime | Column, configured: Column | bool = True) -> DataFrame:
+    """The same from the states of the jobs."""
     if isinstance(now, datetime):
         utc = now.replace(tzinfo=timezone.utc) if now.tzinfo is None else now
         now = F.to_timestamp(F.lit(utc.isoformat()))

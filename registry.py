@@ -25,6 +25,7 @@ from nearcite.sources import corpus as corpora
 from nearcite.sources import ranges, sinks
 from nearcite.sources.derived import Derived
 from nearcite.streaming import refresh
+from nearcite.streaming.status import read_states, stream_status
 
 NOW = datetime(2024, 2, 10)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -925,7 +926,7 @@ def merge_dup_check(t: Tables) -> DataFrame:
 _DAY = 86_400_000_000
 
 
-@query(f"""SELECT job_id, epoch_us(last_time) AS last_run_us, last_state, last_error, last_run_id, epoch_us(success) AS last_success_us,
+_STATUS = f"""SELECT job_id, epoch_us(last_time) AS last_run_us, last_state, last_error, last_run_id, epoch_us(success) AS last_success_us,
   days AS days_since, CASE WHEN days <= 60 THEN 'current' WHEN days <= 90 THEN 'aging' ELSE 'stale' END AS freshness,
   CASE days WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE days || ' days ago' END AS refreshed, cooldown AS cooldown_days,
   last_state IN ('PENDING', 'RUNNING') AS in_flight, last_state <> 'SUCCEEDED' AS failed,
@@ -939,9 +940,10 @@ _DAY = 86_400_000_000
         7 * {_DAY} - (epoch_us(TIMESTAMP '2024-02-10') - epoch_us(max(ts) FILTER (WHERE state = 'SUCCEEDED'))) AS left_us
       FROM (SELECT *, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'PENDING'
           ELSE 'SUCCEEDED' END AS state, CASE WHEN event_type = 'error' THEN props END AS error FROM events)
-      GROUP BY user_id))""")
-def refresh_status(t: Tables) -> DataFrame:
-    table = status.refresh_status(t.source.runs(), NOW)
+      GROUP BY user_id))"""
+
+
+def _status_columns(table: DataFrame) -> DataFrame:
     return table.select(
         "job_id", F.unix_micros("last_run_time").alias("last_run_us"), "last_state", "last_error", "last_run_id",
         F.unix_micros("last_success_time").alias("last_success_us"), "days_since", "freshness", "refreshed",
@@ -949,6 +951,22 @@ def refresh_status(t: Tables) -> DataFrame:
     )
 
 
+@query(_STATUS)
+def refresh_status(t: Tables) -> DataFrame:
+    return _status_columns(status.refresh_status(t.source.runs(), NOW))
+
+
+@query(_STATUS)
+def status_stream(t: Tables) -> DataFrame:
+    """The runs arrive in two parts, by time; the stream keeps what the status needs of each job."""
+    folder, runs = _new_path(t, "status"), t.source.runs()
+    middle = runs.agg(F.to_timestamp(F.timestamp_seconds(F.avg(F.col("run_time").cast("double")))).alias("m")).scalar()
+    for part in (F.col("run_time") < middle, F.col("run_time") >= middle):
+        runs.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream_status(t.spark, f"{folder}/in", f"{folder}/states", f"{folder}/state", runs.schema).awaitTermination(600)
+    return _status_columns(status.status_of(read_states(t.spark, f"{folder}/states"), NOW))
+
+
 # Sinks, copies and exports: written to the shared folder and read back
 
 

@@ -9,6 +9,7 @@ from nearcite.plans.lifecycle import lifecycle
 from nearcite.sources import corpus as corpora
 from nearcite.sources import sinks
 from nearcite.streaming import refresh
+from nearcite.streaming import status as stream
 
 
 def links(row):
@@ -180,3 +181,21 @@ def test_refresh_status(spark):
     assert not got["six"]["can_trigger"] and got["seven"]["can_trigger"]
     off = status.refresh_status(runs, NOW, configured=False)
     assert off.where("can_trigger").count() == 0
+
+
+def test_a_stream_of_runs_keeps_the_status(spark, tmp_path):
+    def rows(runs):
+        return spark.createDataFrame(runs, "job_id string, run_id int, run_time timestamp, state string, error string")
+
+    first = [("a", 1, NOW - timedelta(days=9), "SUCCEEDED", None), ("a", 2, NOW - timedelta(days=3), "FAILED", "x"), ("b", 1, NOW - timedelta(days=70), "FAILED", None)]
+    later = [("a", 3, NOW - timedelta(hours=1), "RUNNING", None), ("c", 1, NOW, "SUCCEEDED", None), ("b", 2, NOW - timedelta(days=80), "SUCCEEDED", None)]
+    folders = [str(tmp_path / n) for n in ("in", "states", "checkpoint")]
+    seen = []
+    for part in (first, later, []):
+        if part:
+            rows(part).coalesce(1).write.mode("append").parquet(folders[0])
+            seen += part
+        stream.stream_status(spark, *folders, rows(first).schema).awaitTermination(120)
+        got = status.status_of(stream.read_states(spark, folders[1]), NOW)
+        assert sorted(map(str, got.collect())) == sorted(map(str, status.refresh_status(rows(seen), NOW).collect()))
+    assert spark.read.parquet(folders[1]).where("batch = 1").count() == 3
