@@ -105,15 +105,16 @@ def id_position_map(df: DataFrame, key: str = "publication_number") -> DataFrame
             F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
         )
     )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
+    starts = _starts(ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
     return ranged.join(starts, "part").select(key, (F.col("start") + F.col("place")).alias("position"))
 
 
+def _starts(parts: DataFrame) -> DataFrame:
+    """``(part, start)``: what stands in all parts before each, from ``(part, n)`` with a row a partition."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+
 def file_row_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Rows of each file and where they start in file-name order: ``(file, n_rows, first_row)``."""
     files = (
@@ -121,5 +122,9 @@ def file_row_ranges(spark: SparkSession, path: str) -> DataFrame:
         .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first_row", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    # running sums within ranges of files, then over the ranges: one place sees a row a range, not a row a file
+    ranged = materialize(files.repartitionByRange("file").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("_before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    starts = _starts(ranged.groupBy("part").agg(F.sum("n_rows").alias("n")))
+    return within.join(starts, "part").select("file", "n_rows", (F.col("start") + F.col("_before")).alias("first_row"))

@@ -197,10 +197,16 @@ def filter_build(t: Tables) -> DataFrame:
 def id_position_map(t: Tables) -> DataFrame:
     return corpora.id_position_map(t.corpus)
 
-@query("SELECT 'orders.parquet' AS file, count(*) AS n_rows, 0::BIGINT AS first_row FROM orders")
+
+@query("""SELECT file, n_rows, (sum(n_rows) OVER (ORDER BY file) - n_rows)::BIGINT AS first_row FROM (
+  SELECT 'filed=' || filing_date AS file, count(*) AS n_rows FROM docs GROUP BY filing_date)""")
 def file_row_ranges(t: Tables) -> DataFrame:
-    ranges = corpora.file_row_ranges(t.spark, f"{t.source.folder}/orders.parquet")
-    return ranges.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    """Of a copy of all documents with a file for every filing date."""
+    path = _new_path(t, "dated")
+    rows = t.source.documents().select("publication_number", F.col("filing_date").alias("filed"))
+    rows.repartition("filed").write.partitionBy("filed").parquet(path)
+    ranges = corpora.file_row_ranges(t.spark, path)
+    return ranges.withColumn("file", F.element_at(F.split("file", "/"), -2))
 
 
 # Identifiers
