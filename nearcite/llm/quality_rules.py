@@ -18,12 +18,16 @@ RUN = 1000
 
 
 def _parts(df: DataFrame, text_col: str) -> DataFrame:
-    """Rows as struct _row, with the text _t, its words _w and the lines _l that have a word."""
+    """Rows as struct _row, with the text _t, its words _w and the lines _l that have a word.
+
+    An outer explode of one struct keeps what reads words and lines from cutting the text again.
+    """
     out = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t")
     )
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return out.select("_row", "_t", words(F.col("_t")).alias("_w"), lines.alias("_l"))
+    cut = F.array(F.struct(words(F.col("_t")).alias("w"), lines.alias("l")))
+    return out.select("_row", "_t", F.explode_outer(cut).alias("_cut")).select("_row", "_t", F.col("_cut.w").alias("_w"), F.col("_cut.l").alias("_l"))
 
 
 def measures() -> dict[str, Column]:
@@ -146,15 +150,18 @@ def quality(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 def filter_documents(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with their columns as they came.
 
-    The cascade cut short: a rule works out the measures it needs in its turn, the contract's among the others, so
-    a row that an early rule rejects never pays for the costly ones.
+    The cascade cut short: measures that several rules share are worked out once, all else that a rule needs, such as
+    the contract's repeated windows, in its turn, so a row that an early rule rejects never pays for it.
     """
     every = measures()
-    expressions = {**base_rules(every), **rules(every)}
-    verdict = F.when(F.col("_t").isNull(), F.lit(True))
+    shared = {n: c for n, c in every.items() if n != "n_repeat_words"}
+    rows = _parts(df, text_col).select("_row", "_w", "_l", F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in shared.items()]))).alias("_m"))
+    m = {n: F.col(f"_m.{n}") for n in shared} | {"n_repeat_words": every["n_repeat_words"]}
+    expressions = {**base_rules(m), **rules(m)}
+    kept = F.when(F.col("_w").isNull(), F.lit(False))
     for name, _, _ in rule_order(df, text_col, sample_rows):
-        verdict = verdict.when(expressions[name], F.lit(True))
-    return _parts(df, text_col).where(verdict.isNull()).select("_row.*")
+        kept = kept.when(expressions[name], F.lit(False))
+    return rows.where(kept.otherwise(F.lit(True))).select("_row.*")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
