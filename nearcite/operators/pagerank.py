@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearcite.session import Turns, materialize
+from nearcite.session import Turns, broadcast_small, materialize
 
 GROUPED_EDGES = 500_000  # a larger graph (or one with as many nodes) is solved iteratively
 EDGES_PER_SALT = 100_000  # edges of one source that stay in one partition
@@ -216,12 +216,15 @@ def _iterative(
 
 
 def minmax_normalize(scores: DataFrame, column: str = "ppr_raw", into: str = "ppr_score") -> DataFrame:
-    """Scale ``column`` to 0..1 per query; a query whose scores are all equal gets 1.0 throughout."""
+    """Scale ``column`` to 0..1 per query; a query whose scores are all equal gets 1.0 throughout.
+
+    The spans, a row a query, travel to the scores while they are few, so one query of very many nodes stays spread.
+    """
     span = scores.groupBy("query_id").agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     scaled = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise(
         (F.col(column) - F.col("_low")) / F.when(F.col("_high") != F.col("_low"), F.col("_high") - F.col("_low"))
     )
-    return scores.join(span, "query_id").withColumn(into, scaled).drop("_low", "_high")
+    return scores.join(broadcast_small(materialize(span)), "query_id").withColumn(into, scaled).drop("_low", "_high")
 
 
 def top_scores(scores: DataFrame, n: int = 3, column: str = "ppr_raw") -> DataFrame:

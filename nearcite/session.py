@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "nearcite") -> SparkSession:
@@ -65,6 +66,11 @@ def materialize(df: DataFrame, spread: tuple[str, ...] = ()) -> DataFrame:
     return _store(df, path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most so many; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _store(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path)

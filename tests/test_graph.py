@@ -201,3 +201,13 @@ def test_query_missing_from_its_own_list(spark, make_corpus):
     assert sorted(nodes) == [("p0", "result"), ("p1", "result"), ("p2", "result"), ("p7", "query")]
     assert ("p7", "p0", "similar", "Score: 0%") in edges
     assert {n for e in edges for n in e[:2]} <= {n for n, _ in nodes}
+
+
+def test_scaling_does_not_depend_on_how_spans_travel(spark, monkeypatch):
+    rows = [(f"q{i % 3}", f"n{i}", float(RNG.normal())) for i in range(60)] + [("even", "a", 0.5), ("even", "b", 0.5)]
+    scores = spark.createDataFrame(rows, "query_id string, node string, ppr_raw double")
+    plan = pagerank.minmax_normalize(scores)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pagerank, "broadcast_small", lambda df: df)
+    columns = ("query_id", "node", "ppr_score")
+    assert as_set(plan, *columns) == as_set(pagerank.minmax_normalize(scores), *columns)
