@@ -372,7 +372,8 @@ def near_duplicates(
     the classes of larger regions are joined with each other exactly, by the members of their sets.
 
     Null and empty texts have an empty set, link with nothing and are their own component. Rows of equal id
-    count as one document. Null ids: smallest of the others; null if there is none. An empty table gives no
+    and text count as one document; rows of equal id and other texts are documents of their own, linked only if
+    their sets are. Null ids: smallest of the others; null if there is none. An empty table gives no
     rows. Very long texts and any number of copies are whole: sets travel only for candidates.
     """
     margin = MARGIN - (0.8 - similarity)
