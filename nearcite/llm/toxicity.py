@@ -29,6 +29,8 @@ BUCKETS = 1 << 18
 STEMS = (4, 5)
 #: Standard errors by which a bucket's share of the classes must differ from chance, and texts that must hold it.
 LEAST_Z, LEAST_TEXTS = 4.0, 3
+#: Inputs of the machine. A gradient step takes as long as texts times inputs, so their number does not grow with the data.
+TELLING = 1024
 FACTORS, STEPS, STEP_SIZE, REGULARIZATION, SEED = 8, 80, 0.1, 1e-4, 17
 #: Most labelled texts that the machine is fitted on, and the files they are kept in.
 FIT_ROWS, FIT_FILES = 200_000, 8
@@ -83,13 +85,14 @@ def with_buckets(rows: DataFrame, chosen: list[int] | None = None) -> DataFrame:
 
 
 def telling_buckets(rows: DataFrame, n: int, positive: int) -> list[int]:
-    """Buckets whose texts' share of label 1 differs from that of all; rows: _buckets, _y. At most BUCKETS numbers."""
+    """Buckets whose texts' share of label 1 differs most from that of all; rows: _buckets, _y. At most TELLING numbers."""
     counts = rows.select(F.explode("_buckets").alias("_bucket"), "_y").groupBy("_bucket")
     counts = counts.agg(F.count("*").alias("n"), F.sum("_y").alias("y"))
     share = positive / n
     error = F.sqrt(F.col("n") * share * (1 - share))
     z = F.abs(F.col("y") - F.col("n") * share) / error
-    return sorted(r[0] for r in counts.where((F.col("n") >= LEAST_TEXTS) & (z >= LEAST_Z)).select("_bucket").collect())
+    telling = counts.where((F.col("n") >= LEAST_TEXTS) & (z >= LEAST_Z)).select("_bucket", z.alias("z"))
+    return sorted(r["_bucket"] for r in telling.orderBy(F.desc("z"), "_bucket").limit(TELLING).collect())
 
 
 def vectorized(rows: DataFrame, chosen: list[int]) -> DataFrame:
