@@ -211,3 +211,30 @@ def test_scaling_does_not_depend_on_how_spans_travel(spark, monkeypatch):
     monkeypatch.setattr(pagerank, "broadcast_small", lambda df: df)
     columns = ("query_id", "node", "ppr_score")
     assert as_set(plan, *columns) == as_set(pagerank.minmax_normalize(scores), *columns)
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_blocks_of_queries_give_the_edges_of_joins(spark, make_corpus, monkeypatch, after):
+    ids = [f"n{i:02d}" for i in range(30)]
+    corpus = make_corpus([((i,), {c: [*RNG.choice([*ids, "out"], 6), None, ""] for c in ("citation", "cited_by", "parent", "child")}) for i in [*ids, "n01"]])
+    rows = [(q, n, None if n == "n07" else int(k), bool(k % 2), n == q) for q in ids[:9] for k, n in enumerate([*RNG.choice(ids, 9, replace=False), "n07", "n03", "lost"])]
+    rows += [("n00", None, 1, False, False), (None, "n03", 1, False, False)]
+    nodes = spark.createDataFrame(rows, "query_id string, node string, row_no bigint, is_expanded boolean, is_seed boolean")
+    nodes = nodes if after else nodes.drop("is_expanded")
+    columns = ("query_id", "src", "dst", "edge_type")
+    expected = as_set(expand._joined_edges(nodes, links_module.link_pieces(corpus)), *columns)
+    assert len(expected) > 100
+    for settings in ({"NODES_IN_BLOCK": 20, "LINKS_IN_BLOCK": 50}, {"NODES_OF_QUERY": 11}):
+        for name, value in settings.items():
+            monkeypatch.setattr(expand, name, value)
+        got = expand.graph_edges(nodes, corpus)
+        assert as_set(got, *columns) == expected and got.count() == len(expected)
+
+
+def test_links_are_not_unfolded_for_each_node(small, monkeypatch):
+    corpus, rows = small
+    monkeypatch.setattr(expand, "possible_links", None)  # the way of queries of very many nodes
+    nodes = expand.graph_nodes(rows)
+    assert as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type") == {
+        ("q", "q", "a", "cites"), ("q", "a", "b", "cited_by"), ("q", "b", "a", "child"),
+    }

@@ -224,3 +224,19 @@ def test_an_index_of_nothing(spark):
     for distance in knn.METRICS:
         index = ivf.fit_ivf(empty, distance=distance)
         assert index.lists.count() == 0 and len(index.centers) == 0
+
+
+def test_a_vector_travels_once_to_a_block_of_lists(spark, monkeypatch):
+    vectors = vectors_with_copies(200, 60)
+    corpus, queries = frame(spark, vectors, "publication_number"), frame(spark, vectors[::7], "query_id")
+    index = ivf.fit_ivf(corpus, 16)
+    q = knn.with_vector(queries, "query_id", "embedding_v1")
+    assert ivf._visit(q, index, nprobe=len(index.centers)).count() == q.count()
+    expected = result(knn.knn_join(queries, corpus, 5))
+    monkeypatch.setattr(ivf, "CORPUS_BLOCK", 40)
+    monkeypatch.setattr(ivf, "SMALL_BLOCK", 10)
+    monkeypatch.setattr(knn, "CORPUS_BLOCK", 16)
+    monkeypatch.setattr(knn, "WINNERS_HELD", 5)
+    index = ivf.replace(index)
+    assert index.blocks.max() > 3
+    assert result(ivf.ivf_topk(queries, index, 5, nprobe=2, exact=True)) == expected
