@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import as_set
 from nearcite.operators import expand, network, pagerank
 from nearcite.operators import links as links_module
+from nearcite.sources import ranges
 
 RNG = np.random.default_rng(11)
 
@@ -238,3 +239,20 @@ def test_links_are_not_unfolded_for_each_node(small, monkeypatch):
     assert as_set(expand.graph_edges(nodes, corpus), "query_id", "src", "dst", "edge_type") == {
         ("q", "q", "a", "cites"), ("q", "a", "b", "cited_by"), ("q", "b", "a", "child"),
     }
+
+
+def test_neighbors_of_a_stored_corpus_are_found_once(small, spark, tmp_path):
+    corpus, rows = small
+    store = ranges.create(corpus, str(tmp_path / "store"), 2)
+    tested = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            tested.add(batch.num_rows)
+            yield batch
+
+    neighbors = expand.citation_neighbors(rows, corpus)
+    neighbors = neighbors.mapInArrow(count, neighbors.schema)
+    got = expand.fetch_neighbors(neighbors, store, ["publication_number"])
+    assert as_set(got, "query_id", "publication_number") == {("q", "c"), ("q", "d"), ("z", "a")}
+    assert tested.value == 4
