@@ -256,3 +256,40 @@ def test_neighbors_of_a_stored_corpus_are_found_once(small, spark, tmp_path):
     got = expand.fetch_neighbors(neighbors, store, ["publication_number"])
     assert as_set(got, "query_id", "publication_number") == {("q", "c"), ("q", "d"), ("z", "a")}
     assert tested.value == 4
+
+
+@pytest.mark.parametrize("settings", [{}, {"NODES_IN_BLOCK": 5, "LINKS_IN_BLOCK": 7, "SMALL_BLOCK": 2}, {"NODES_OF_QUERY": 6}])
+def test_links_of_a_view_are_not_shuffled_to_each_row(spark, make_corpus, monkeypatch, settings):
+    """Links and rows that repeat are drawn as often, whichever way they meet."""
+    ids = [f"n{i}" for i in range(12)]
+    names = ("citation", "cited_by", "parent", "child")
+    links = {i: {c: [*RNG.choice([*ids, "out"], 5).tolist(), None, ""] for c in names} for i in ids}
+    corpus = make_corpus([((i,), links[i]) for i in ids])
+    rows = [(q, n) for k, q in enumerate(ids[:3]) for n in [*ids[k : k + 5 + k], "lost", ids[k]]] + [("q", None), (None, "n1")]
+    shown = spark.createDataFrame([], "query_id string, publication_number string, score double")
+    for name, value in settings.items():
+        monkeypatch.setattr(expand, name, value)
+    for caps in (None, {"citation": 2, "cited_by": 3, "parent": 1, "child": 4}):
+        expected = [
+            (q, o, n, kind) if kind in ("cited_by", "parent") else (q, n, o, kind)
+            for q, n in rows if q and n in links
+            for c, kind in zip(names, ("cites", "cited_by", "parent", "child"))
+            for o in links[n][c][: caps[c] if caps else None] if o and o != n and (q, o) in rows
+        ]
+        got = network.viz_edges(shown, spark.createDataFrame(rows, "query_id string, publication_number string"), corpus, caps)
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString() or "NODES_OF_QUERY" in settings
+        assert sorted(map(tuple, got.select("query_id", "src", "dst", "kind").collect())) == sorted(expected) and expected
+
+
+def test_edges_between_results_are_filtered_before_they_move(spark):
+    edges = spark.createDataFrame([("q", f"a{i}", f"a{i * 7 % 400}", "cites") for i in range(400)], "query_id string, src string, dst string, edge_type string")
+    results = spark.createDataFrame([("q", f"a{i}") for i in (1, 2, 7, 14)], "query_id string, publication_number string")
+    got = expand.result_edges(edges, results)
+    assert as_set(got, "src", "dst") == {("a1", "a7"), ("a2", "a14")}
+    assert "subquery" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_known_neighbors_stay_where_they_are(small):
+    corpus, rows = small
+    found = expand.fetch_neighbors(expand.citation_neighbors(rows, corpus), corpus.repartition(2), ["publication_number"])
+    assert "rightHint=(strategy=broadcast)" in found._jdf.queryExecution().optimizedPlan().toString()
