@@ -105,3 +105,33 @@ def test_context_sections(spark):
     assert "\n\nShared assignees:\n  ACME: 2 patents\n" in q
     assert q.endswith("via citation network:\n  e4: E4 (PPR: 4.0000)\n  e3: E3 (PPR: 3.0000)\n  e2: E2 (PPR: 2.0000)")
     assert got["z"].endswith("Blended: 30.00%\n---")
+
+
+def test_scores_outside_the_results_are_dropped_before_they_move(spark):
+    rows = spark.createDataFrame([("q", "a5", 0.5), ("z", "a5", 0.25), (None, "a5", 0.5)], "query_id string, publication_number string, similarity double")
+    scores = spark.createDataFrame([("q", f"a{i}", i / 500, i / 500) for i in range(500)], "query_id string, node string, ppr_raw double, ppr_score double")
+    blended = ranking.blend(rows, scores)
+    assert as_set(blended, "query_id", "ppr_available", "ppr_score") == {("q", True, 0.01), ("z", False, None), (None, False, None)}
+    assert "subquery" in blended._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_meet_only_the_expanded_rows_a_table_shows(spark, make_corpus, monkeypatch):
+    ids = [f"p{i}" for i in range(20)]
+    twice = [((p, [1.0, i / 3.0]), {"citation": [ids[(i * 3 + j) % 20] for j in range(6)]}) for i, p in enumerate(ids)]
+    corpus = make_corpus([*twice, ((ids[5], [1.0, 5 / 3.0]), {"citation": ["p1"]})]).persist()
+    search = Search(spark.createDataFrame([("p0",), ("p9",)], "query_id string"), corpus, k=3)
+    whole = search.expanded.persist()
+    assert whole.groupBy("query_id").count().agg({"count": "min"}).collect()[0][0] > 4
+    expected = {tuple(r) for r in ranking.structural_top(whole, 4).collect()}
+    met, with_corpus = [], search.with_corpus
+
+    def counted(rows, *columns):
+        if "first_seen" in rows.columns:
+            assert "ppr_score" in rows.columns
+            met.append(rows.groupBy("query_id").count().agg({"count": "max"}).collect()[0][0])
+        return with_corpus(rows, *columns)
+
+    monkeypatch.setattr(search, "with_corpus", counted)
+    assert {tuple(r) for r in search.structural_top(4).collect()} == expected and met == [4]
+    search.prompt().collect()
+    assert met == [4, 3]
