@@ -60,6 +60,41 @@ def test_equals_brute_force(spark, monkeypatch, distance, plan):
     assert result(got) == brute(queries, vectors, 6, distance)
 
 
+def test_candidates_do_not_grow_with_corpus_blocks(spark, monkeypatch):
+    """A task answers once for all the corpus blocks that pass it; every row still counts."""
+    monkeypatch.setattr(knn, "SHIPPED_QUERIES", 3)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(knn, "CORPUS_BLOCK", 17)
+    sent, nearest = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda found, k: sent.append(found.count()) or nearest(found, k))
+    vectors = vectors_with_copies(120, 40)
+    corpus = frame(spark, vectors, "publication_number").repartition(5)
+    got = knn.knn_join(frame(spark, vectors[::3], "query_id"), corpus, 6, "euclidean")
+    assert result(got) == brute(vectors[::3], vectors, 6, "euclidean")
+    assert sent == [40 * 6]
+
+
+@pytest.mark.parametrize("distance", knn.METRICS)
+def test_pieces_of_the_corpus(spark, monkeypatch, distance):
+    """More pieces than one, some of them empty, and ties that fall into different pieces and blocks."""
+    for name, value in {"SHIPPED_QUERIES": 3, "QUERY_BLOCK": 11, "CORPUS_BLOCK": 4, "STREAMED_ROWS": 7}.items():
+        monkeypatch.setattr(knn, name, value)
+    vectors = vectors_with_copies(60, 40)
+    got = knn.knn_join(frame(spark, vectors[::3], "query_id"), frame(spark, vectors, "publication_number"), 6, distance)
+    assert result(got) == brute(vectors[::3], vectors, 6, distance)
+
+
+def test_null_keys_come_last_among_equals_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHIPPED_QUERIES", 1)
+    queries = spark.createDataFrame([("q1", [1.0, 0.0]), (None, [0.0, 1.0])], "query_id string, embedding_v1 array<double>")
+    corpus = spark.createDataFrame(
+        [(None, [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("c", [0.0, 1.0]), ("d", None)],
+        "publication_number string, embedding_v1 array<double>",
+    )
+    got = sorted(((r[0] or "", r[1] or "") for r in knn.knn_join(queries, corpus, 2).collect()))
+    assert got == [("", "c"), ("", "c"), ("q1", "a"), ("q1", "b")]
+
+
 def test_fewer_rows_than_k_and_no_queries(spark):
     corpus = frame(spark, RNG.normal(size=(3, 8)), "publication_number")
     queries = frame(spark, RNG.normal(size=(2, 8)), "query_id")
