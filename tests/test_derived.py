@@ -27,3 +27,19 @@ def test_parts_of_a_document_meet_by_one_key(spark, tmp_path):
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
     assert "abstract_value" not in base._jdf.queryExecution().analyzed().toString()  # texts are not joined in vain
+
+
+def test_a_snapshot_moves_only_its_own_texts(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("embeddings", [(i, [1.0, float(i)], i % 2) for i in range(50)], "vec_id bigint, embedding array<float>, label int")
+    write("part", [(i, f"p{i}", f"t{i}") for i in range(60)], "p_partkey bigint, p_name string, p_type string")
+    write("documents", [(i, f"text {i}") for i in range(100)], "doc_id bigint, text string")
+    write("orders", [(9, 3, datetime(1998, 1, 1), "1-URGENT")], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string")
+    derived = Derived(spark, str(tmp_path))
+    whole = {r["publication_number"]: (r["title_value"], r["abstract_value"]) for r in derived.documents().where("publication_date < 20150101").collect()}
+    older = {r["publication_number"]: (r["title"]["value"], r["abstract"]["value"]) for r in derived.snapshot().collect()}
+    assert older == whole and 0 < len(older) < 50
+    texts = derived._joined("documents", "doc_id", "text", "abstract_value", 20150101)
+    assert texts.count() == len(older)

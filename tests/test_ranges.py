@@ -109,3 +109,25 @@ def test_an_empty_corpus(spark, make_corpus, tmp_path):
     assert store.read().count() == 0 and store.lookup(ids(spark, ["a"])).count() == 0
     merged = store.merge(make_corpus([(("a",), {})]))
     assert as_set(merged.read(), "publication_number") == {("a",)}
+
+
+def test_a_merge_moves_a_row_once(spark, make_corpus, corpus, tmp_path, monkeypatch):
+    """Beside the partitions it writes, only keys are stored; texts of known rows stay at home."""
+    stored, placed, real = [], [], ranges._upserted
+    monkeypatch.setattr(ranges, "materialize", lambda df, keep=ranges.materialize: stored.append(df.columns) or keep(df))
+    monkeypatch.setattr(ranges, "_upserted", lambda rows, *a: placed.append(rows) or real(rows, *a))
+    store = ranges.create(corpus, str(tmp_path / "corpus"), rows_per_range=25)
+    source = make_corpus([((f"US-{i:04d}-B2", [0.0, 1.0]), {"child": ["c"], "citation": None}) for i in range(200, 500)])
+    merged = store.merge(source)
+    assert rows_of(merged.read()) == rows_of(merge.merge(corpus, source))
+    assert stored and all({"title", "abstract", "embedding_v1"}.isdisjoint(columns) for columns in stored)
+    sent = placed[0].where(F.col("_new"))
+    assert sent.count() == 300 and sent.where("abstract IS NOT NULL").count() < 150
+    assert placed[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(piece") == 1
+
+
+def test_null_and_repeated_keys_of_stored_rows(spark, make_corpus, tmp_path):
+    store = ranges.create(make_corpus([(("a", [1.0]), {}), (("a", [2.0]), {}), ((None, [3.0]), {})]), str(tmp_path / "corpus"))
+    source = make_corpus([(("a", [9.0]), {"citation": ["x"]}), ((None, [4.0]), {"citation": ["y"]})])
+    got = {(r[0], r[1][0], tuple(x[0] for x in r[2])) for r in store.merge(source).read().select("publication_number", "embedding_v1", "citation").collect()}
+    assert got == {("a", 1.0, ("x",)), ("a", 2.0, ("x",)), (None, 3.0, ()), (None, 4.0, ("y",))}
