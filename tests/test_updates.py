@@ -139,6 +139,47 @@ def test_stream_into_an_empty_folder(spark, make_corpus, tmp_path):
     assert refresh.read_latest(spark, folder).count() == 1
 
 
+def test_a_stream_that_fails_gives_no_result(spark, make_corpus, tmp_path):
+    arriving, folder, checkpoint = (str(tmp_path / n) for n in ("in", "corpus", "checkpoint"))
+    refresh.publish(make_corpus([(("a",), {})]), folder, 0)
+    with pytest.raises(RuntimeError, match="no version above 0"):  # the corpus before the stream is not its result
+        refresh.read_latest(spark, folder, above=0)
+    with pytest.raises(RuntimeError, match="no version above 0"):
+        refresh.read_latest(spark, str(tmp_path / "none"), above=0)
+    make_corpus([(("c",), {})]).write.parquet(arriving)
+
+    def fails(batch):
+        raise ValueError("broken batch")
+
+    with pytest.raises(Exception, match="broken batch"):
+        refresh.finish(refresh.stream_merge(spark, arriving, folder, checkpoint, rows_of=fails))
+    with pytest.raises(RuntimeError, match="no version above 0"):
+        refresh.read_latest(spark, folder, above=0)
+    refresh.finish(refresh.stream_merge(spark, arriving, folder, checkpoint))
+    assert as_set(refresh.read_latest(spark, folder, above=0), "publication_number") == {("a",), ("c",)}
+
+
+def test_stream_queries_wait_to_the_end(spark, make_corpus, tmp_path, monkeypatch):
+    """A merge that outlasts any given time is waited for: what stood there before it is never returned."""
+    import registry
+
+    corpus = make_corpus([(("a",), {"citation": ["x"]}), (("b",), {})])
+    tables = registry.Tables(spark, str(tmp_path))
+    tables.corpus, tables.snapshot, waits, start = corpus, corpus.where("publication_number = 'a'"), [], refresh.stream_merge
+
+    class Slow:
+        def __init__(self, query):
+            self.query = query
+
+        def awaitTermination(self, timeout=None):
+            waits.append(timeout)
+            return False if timeout else self.query.awaitTermination()
+
+    monkeypatch.setattr(refresh, "stream_merge", lambda *a: Slow(start(*a)))
+    got = {r["publication_number"] for r in registry.stream_merge(tables).collect()}
+    assert got == {"a", "b"} and waits == [None]
+
+
 def test_lifecycle(spark):
     def rows(names):
         return spark.createDataFrame([document(n, [1.0, float(i) - 2, 0.5]) for i, n in names], CORPUS_DDL)
