@@ -180,6 +180,24 @@ def test_stream_queries_wait_to_the_end(spark, make_corpus, tmp_path, monkeypatc
     assert got == {"a", "b"} and waits == [None]
 
 
+def test_a_batch_moves_keys_to_find_newer_rows(spark, make_corpus, tmp_path, monkeypatch):
+    arriving, folder, checkpoint = (str(tmp_path / n) for n in ("in", "corpus", "checkpoint"))
+    refresh.publish(make_corpus([(("a",), {})]), folder, 0)
+    merged, real = [], refresh.ranges.StoredCorpus.merge
+
+    def merge_(store, rows, **how):
+        merged.append(rows._jdf.queryExecution().executedPlan().toString())
+        return real(store, rows, **how)
+
+    monkeypatch.setattr(refresh.ranges.StoredCorpus, "merge", merge_)
+    make_corpus([(("c",), {"citation": ["x"]}), ((None,), {})]).coalesce(1).write.parquet(arriving)
+    make_corpus([(("c",), {"citation": ["y"]}), (("d",), {}), ((None,), {})]).coalesce(1).write.mode("append").parquet(arriving)
+    refresh.finish(refresh.stream_merge(spark, arriving, folder, checkpoint))
+    rows = sorted((str(r["publication_number"]), links(r)["citation"]) for r in refresh.read_latest(spark, folder, above=0).collect())
+    assert [k for k, _ in rows] == ["None", "a", "c", "d"] and rows[2][1] in (["x"], ["y"])
+    assert "hashpartitioning" not in merged[0] and "Aggregate" not in merged[0]
+
+
 def test_lifecycle(spark):
     def rows(names):
         return spark.createDataFrame([document(n, [1.0, float(i) - 2, 0.5]) for i, n in names], CORPUS_DDL)
