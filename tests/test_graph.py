@@ -293,3 +293,58 @@ def test_known_neighbors_stay_where_they_are(small):
     corpus, rows = small
     found = expand.fetch_neighbors(expand.citation_neighbors(rows, corpus), corpus.repartition(2), ["publication_number"])
     assert "rightHint=(strategy=broadcast)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_of_a_stored_corpus_stand_by_document(spark, make_corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(expand, "DOCUMENTS_OF_TASK", 4)
+    monkeypatch.setattr(expand, "ROWS_OF_DOCUMENT", 20)
+    corpus = make_corpus([((f"d{i:03d}", [1.0]), {"abstract": f"text {i}"}) for i in range(100)])
+    store = ranges.create(corpus, str(tmp_path / "corpus"), rows_per_range=30)
+    asked = [(f"q{q:03d}", "d001", q) for q in range(90)] + [(f"q{q}", f"d{i:03d}", i) for q in range(4) for i in range(2, 100)] + [("q1", "gone", 7), ("q1", None, 8)]
+    neighbors = spark.createDataFrame(asked, "query_id string, publication_number string, first_seen int")
+    found = expand.fetch_neighbors(neighbors, store).withColumn("task", F.spark_partition_id())
+    rows = found.select("query_id", "publication_number", "first_seen", "abstract.value", "task").collect()
+    assert sorted(r[:4] for r in rows) == sorted((q, d, n, f"text {int(d[1:])}") for q, d, n in asked if d and d != "gone")
+    texts = {t: len({r[1] for r in rows if r[4] == t}) for t in {r[4] for r in rows}}
+    assert max(texts.values()) <= 16 and len(texts) > 8
+    assert len({r[4] for r in rows if r[1] == "d001"}) > 1
+    orders = {}
+    for r in rows:
+        orders.setdefault(r[4], []).append(r[1])
+    assert all(sum(a != b for a, b in zip(o, o[1:], strict=False)) == len(set(o)) - 1 for o in orders.values())
+
+
+def test_reach_beyond_the_filters(spark, monkeypatch):
+    """Bloom filters only drop what cannot matter: also when they are full."""
+    monkeypatch.setattr(links_module, "MOST_WORDS", 1)
+    nodes = spark.createDataFrame([("q", n) for n in "abcdef"] + [("z", n) for n in "abc"], "query_id string, node string")
+    edges = spark.createDataFrame([("q", "a", "b"), ("q", "c", "b"), ("q", "c", "d"), ("q", "e", "f"), ("z", "b", "a")], "query_id string, src string, dst string")
+    seeds = spark.createDataFrame([("q", "a"), ("z", "a")], "query_id string, node string")
+    want = {("q", "a", 0), ("q", "b", 1), ("q", "c", 2), ("q", "d", None), ("q", "e", None), ("q", "f", None), ("z", "a", 0), ("z", "b", 1), ("z", "c", None)}
+    assert as_set(network.khop(nodes, edges, seeds), "query_id", "node", "hop") == want
+    monkeypatch.undo()
+    assert as_set(network.khop(nodes, edges, seeds), "query_id", "node", "hop") == want
+    plan = network.khop(nodes, edges, seeds)._jdf.queryExecution().analyzed().toString()
+    assert "member_bits" in plan
+
+
+def test_ranks_are_the_same_with_numbers_and_with_ids(spark, monkeypatch):
+    nodes = spark.createDataFrame([(q, n, n == "a") for q in ("q", "z") for n in "abcd"] + [("lone", "a", True)], "query_id string, node string, is_seed boolean")
+    edges = spark.createDataFrame([("q", "a", "b"), ("q", "b", "c"), ("z", "a", "d"), ("z", "d", "a")], "query_id string, src string, dst string")
+    scores = pagerank.personalized_pagerank(nodes, edges)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_no" in plan
+    numbered = as_set(scores, "query_id", "node", "ppr_raw")
+    monkeypatch.setattr(pagerank, "NAMES_SENT", 2)
+    assert as_set(pagerank.personalized_pagerank(nodes, edges), "query_id", "node", "ppr_raw") == numbered
+    assert {k for k in numbered if k[0] == "lone"} == set() and len(numbered) == 8
+
+
+def test_nodes_are_merged_by_hashing(spark):
+    results = spark.createDataFrame([("q", "a", 2), ("q", "b", 1)], "query_id string, publication_number string, row_no int")
+    far = (1 << 30) * (1 << 32) - 1
+    expanded = spark.createDataFrame([("q", "c", far), ("q", "a", 5), ("q", "q", 9)], "query_id string, publication_number string, first_seen bigint")
+    nodes = expand.graph_nodes(results, expanded)
+    assert as_set(nodes, "node", "is_expanded", "row_no", "is_seed") == {("a", False, 2, False), ("b", False, 1, False), ("c", True, far, False), ("q", True, 9, True)}
+    assert as_set(expand.graph_nodes(results), "node", "is_expanded", "row_no") == {("a", False, 2), ("b", False, 1), ("q", None, None)}
+    assert "SortAggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
